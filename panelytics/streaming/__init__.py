@@ -1,0 +1 @@
+"""Intentionally empty: the workload reads two finished panels once and has no streaming operator."""
