@@ -65,14 +65,14 @@ def build_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.join(customer, orders.o_custkey == customer.c_custkey)
         .groupBy(F.col("c_nationkey").alias("nk"), F.col("o_orderdate").cast("date").alias("date"))
         .agg(
-            F.max("o_orderpriority").alias("priority"),
+            F.max(F.col("o_orderpriority") != "1-URGENT").alias("ordinary"),
             F.sum(cents("o_totalprice")).alias("cents"),
             F.sum(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("new_deaths"),
         )
         .select(
             "nk",
             "date",
-            F.when(F.col("priority") != "1-URGENT", F.floor(F.col("cents") / 100_000))
+            F.when(F.col("ordinary"), F.floor(F.col("cents") / 100_000))
             .cast("double")
             .alias("new_cases"),
             "new_deaths",
