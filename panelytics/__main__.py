@@ -17,12 +17,22 @@ def main() -> None:
     parser.add_argument("--focus", default=FOCUS_ENTITY, help="entity of the single-entity reports")
     parser.add_argument("--compare", nargs="+", default=list(COMPARED_ENTITIES), help="entities compared over time")
     parser.add_argument("--only", nargs="+", default=[], help="names of the reports to write")
+    parser.add_argument("--require-unique-keys", action="store_true", help="stop if a panel repeats a key")
+    parser.add_argument("--shuffle-partitions", type=int, help="about the GB shuffled times 8; surplus is merged")
     parser.add_argument("--master", help="Spark master, where spark-submit has not set one")
     args = parser.parse_args()
-    spark = build_session(master=args.master)
-    for name in run(
-        spark, args.input, args.output, args.format, args.only, focus=args.focus, compared=args.compare
-    ):
+    spark = build_session(master=args.master, shuffle_partitions=args.shuffle_partitions)
+    names = run(
+        spark,
+        args.input,
+        args.output,
+        args.format,
+        args.only,
+        args.require_unique_keys,
+        focus=args.focus,
+        compared=args.compare,
+    )
+    for name in names:
         print(name)
 
 

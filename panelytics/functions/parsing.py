@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from panelytics.contract import DATE_FORMATS, ISO, MISSING_TOKENS
 
-# Spark's text-to-double cast also takes Java literals (1d, 1f, hexadecimal floats); a data file means no number by them.
-_JAVA_NUMBER = r"(?i)[0-9.][df]\s*$|x"
+# Spark's text-to-double cast also takes Java literals (1d, 1f, hexadecimal floats); a data file means no number by
+# them. Their letters occur in no other number but infinity.
+_JAVA_LETTERS = "[dDfFxX]"
+_INFINITY = r"(?i)^\s*[+-]?inf"
 
 
 def blank_to_null(text: Column, tokens: Sequence[str] = MISSING_TOKENS) -> Column:
@@ -19,9 +21,8 @@ def blank_to_null(text: Column, tokens: Sequence[str] = MISSING_TOKENS) -> Colum
 
 
 def parse_number(text: Column) -> Column:
-    """DOUBLE from text; unreadable text and NaN become NULL, ``inf`` stays infinite."""
-    value = F.when(~text.rlike(_JAVA_NUMBER), text.try_cast("double"))
-    return nan_to_null(value)
+    """DOUBLE from text; unreadable text becomes NULL, ``inf`` stays infinite, ``nan`` is left to ``nan_to_null``."""
+    return F.when(~text.rlike(_JAVA_LETTERS) | text.rlike(_INFINITY), text.try_cast("double"))
 
 
 def nan_to_null(value: Column) -> Column:

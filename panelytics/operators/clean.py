@@ -1,4 +1,4 @@
-"""From a raw text panel to a typed one, as a single projection over the scan."""
+"""From a raw text panel to a typed one, as projections over the scan (no shuffle, no Python)."""
 
 from __future__ import annotations
 
@@ -30,21 +30,31 @@ def clean_panel(
 ) -> DataFrame:
     """Normalise names, parse ``date_column``, keep ``text_columns``, and make every other column DOUBLE."""
     named = normalise_names(df)
-
-    def typed(field: T.StructField) -> Column:
-        column = F.col(f"`{field.name}`")
-        is_text = isinstance(field.dataType, T.StringType)
-        if field.name == date_column:
-            value = parse_date(blank_to_null(column, tokens), formats) if is_text else column.cast("date")
-        elif field.name in text_columns:
-            value = blank_to_null(column.cast("string"), tokens)
-        elif is_text:
-            value = parse_number(blank_to_null(column, tokens))
-        else:
-            value = nan_to_null(column.cast("double"))
-        return value.alias(field.name)
-
-    return named.select(*[typed(field) for field in named.schema.fields])
+    is_text = {field.name: isinstance(field.dataType, T.StringType) for field in named.schema.fields}
+
+    def cell(name: str) -> Column:
+        column = F.col(f"`{name}`")
+        if is_text[name]:
+            return blank_to_null(column, tokens)
+        return column if name == date_column else column.cast("string" if name in text_columns else "double")
+
+    def value(name: str) -> Column:
+        column = F.col(f"`{name}`")
+        if name == date_column:
+            return parse_date(column, formats) if is_text[name] else column.cast("date")
+        if name in text_columns:
+            return column
+        return parse_number(column) if is_text[name] else column
+
+    def finished(name: str) -> Column:
+        column = F.col(f"`{name}`")
+        return column if name == date_column or name in text_columns else nan_to_null(column)
+
+    # One projection per step: a step that uses the previous result twice then does not compute it twice.
+    result = named
+    for step in (cell, value, finished):
+        result = result.select(*[step(name).alias(name) for name in named.columns])
+    return result
 
 
 def iso_dates(df: DataFrame, columns: Sequence[str] = (TIME,)) -> DataFrame:

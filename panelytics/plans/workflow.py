@@ -17,7 +17,7 @@ from panelytics.contract import (
     PROGRAM_TABLE,
 )
 from panelytics.operators.clean import clean_panel
-from panelytics.operators.profile import compare_profiles, coverage, missingness, rollup_labels
+from panelytics.operators.profile import assert_unique_keys, compare_profiles, coverage, missingness, rollup_labels
 from panelytics.plans import questions as q
 from panelytics.sources.csv_panels import read_csv_panel
 from panelytics.sources.sinks import export, write_panel
@@ -31,11 +31,18 @@ def require_columns(df: DataFrame, columns: Sequence[str], name: str) -> DataFra
     return df
 
 
-def load(spark: SparkSession, root: str, store: str | None = None, **reader) -> tuple[DataFrame, DataFrame]:
-    """Find, read, clean and register both panels.
+def load(
+    spark: SparkSession,
+    root: str,
+    store: str | None = None,
+    cluster_by: Sequence[str] = (),
+    require_unique_keys: bool = False,
+    **reader,
+) -> tuple[DataFrame, DataFrame]:
+    """Find, read, clean and register both panels; optionally refuse panels with repeated keys.
 
-    With ``store`` the typed panels are first written there as Parquet, so that text is parsed once rather than in
-    every query.
+    With ``store`` the typed panels are first written there as Parquet (see ``write_panel``), so that text is parsed
+    once rather than in every query.
     """
     panels = []
     for keyword, name, columns in (
@@ -44,7 +51,9 @@ def load(spark: SparkSession, root: str, store: str | None = None, **reader) ->
     ):
         panel = require_columns(clean_panel(read_csv_panel(spark, root, keyword, **reader)), columns, name)
         if store is not None:
-            panel = write_panel(panel, f"{store.rstrip('/')}/{name}")
+            panel = write_panel(panel, f"{store.rstrip('/')}/{name}", cluster_by)
+        if require_unique_keys:
+            assert_unique_keys(panel)
         panels.append(register(panel, name))
     return panels[0], panels[1]
 
@@ -91,9 +100,19 @@ def reports(
     }
 
 
-def run(spark: SparkSession, root: str, output: str, fmt: str = "parquet", only: Sequence[str] = (), **options) -> list[str]:
+def run(
+    spark: SparkSession,
+    root: str,
+    output: str,
+    fmt: str = "parquet",
+    only: Sequence[str] = (),
+    require_unique_keys: bool = False,
+    **options,
+) -> list[str]:
     """Load the panels below ``root`` and write every report (or those in ``only``) below ``output``."""
-    outcomes, program = load(spark, root, store=f"{output.rstrip('/')}/panels")
+    outcomes, program = load(
+        spark, root, store=f"{output.rstrip('/')}/panels", require_unique_keys=require_unique_keys
+    )
     available = reports(outcomes, program, **options)
     names = list(only) or list(available)
     for name in names:

@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 def find_csv(spark: SparkSession, root: str, keyword: str) -> list[str]:
     """Paths of all CSV files below ``root`` whose name contains ``keyword`` in any case, sorted.
 
-    A folder named like a CSV file (as Spark writes one) stands for the part files inside. Lists, reads nothing.
+    A folder named like a CSV file (as Spark writes one) counts as one such file. Lists, reads nothing.
     """
     below = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root).inputFiles()
     wanted = keyword.lower()
-    matches = [
-        path
-        for path in map(unquote, below)
-        if any(part.endswith(".csv") and wanted in part.lower() for part in path.split("/"))
-    ]
+    matches = set()
+    for path in map(unquote, below):
+        parts = path.split("/")
+        depth = next((i for i, part in enumerate(parts) if part.endswith(".csv") and wanted in part.lower()), None)
+        if depth is not None:
+            matches.add("/".join(parts[: depth + 1]))
     if not matches:
         raise FileNotFoundError(f"no CSV file with '{keyword}' in its name below {root}")
     return sorted(matches)
@@ -43,4 +44,6 @@ def read_csv_panel(
         quote='"',
         escape='"',
         multiLine=multi_line,
+        recursiveFileLookup=True,
+        pathGlobFilter="*.csv",
     )

@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from panelytics.contract import ENTITY, TIME
 from panelytics.operators.clean import iso_dates
 
 
-def write_panel(df: DataFrame, path: str, cluster_by: Sequence[str] = (ENTITY, TIME)) -> DataFrame:
-    """Store a panel as Parquet and return it read back.
+def write_panel(df: DataFrame, path: str, cluster_by: Sequence[str] = ()) -> DataFrame:
+    """Store a panel as Parquet, without a shuffle by default, and return it read back.
 
-    Rows are range-partitioned and sorted by ``cluster_by``: files get even sizes even when one entity holds most
-    rows, and a filter on one entity skips the row groups of all others. Empty ``cluster_by`` keeps the layout.
+    With ``cluster_by`` (say entity and time) rows are range-partitioned and sorted: files get even sizes even when
+    one entity holds most rows, and a filter on one entity skips the row groups of all others. That costs a shuffle
+    of the panel and a second read to find the ranges, so it pays for panels often filtered by entity.
     """
     if cluster_by:
         df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)

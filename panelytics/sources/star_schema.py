@@ -225,6 +225,6 @@ def load_panels(spark: SparkSession, sf_dir: str) -> Panels:
         if folder is None:
             return panels
         for name, panel in panels._asdict().items():
-            write_panel(panel, f"{folder}/{name}", cluster_by=())
+            write_panel(panel, f"{folder}/{name}")
         _stored[key] = [(f"{folder}/{name}", panel.schema) for name, panel in panels._asdict().items()]
     return Panels(*[spark.read.schema(schema).parquet(path) for path, schema in _stored[key]])

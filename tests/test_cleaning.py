@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelytics.contract import MISSING_TOKENS
-from panelytics.functions import parse_date, parse_number
+from panelytics.functions import nan_to_null, parse_date, parse_number
 from panelytics.operators import clean_panel, iso_dates, normalise_names
 
 
@@ -67,11 +67,16 @@ def test_numbers(spark):
         "1d": None,
         "1f": None,
         "1.5D ": None,
+        "1d\t": None,
+        "1e999f": None,
+        "infinite": None,
+        "inf1d": None,
+        " +Infinity ": math.inf,
         "": None,
         "NaN": None,
         "-nan": None,
     }
-    assert _parsed(spark, parse_number, list(cases)) == list(cases.values())
+    assert _parsed(spark, lambda t: nan_to_null(parse_number(t)), list(cases)) == list(cases.values())
 
 
 def test_every_missing_token_is_null_in_text_and_number_columns(spark):

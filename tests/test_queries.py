@@ -114,6 +114,19 @@ def test_reports_survive_a_csv_round_trip(spark, panels, tmp_path):
     assert sorted(again.collect()) == sorted(direct["top_cases"]().collect())
 
 
+def test_repeated_keys_are_refused_on_request(spark, tmp_path):
+    from panelytics.contract import OUTCOMES_COLUMNS, PROGRAM_COLUMNS
+    from panelytics.plans.workflow import load
+
+    for name, columns in (("deaths.csv", OUTCOMES_COLUMNS), ("vacc.csv", PROGRAM_COLUMNS)):
+        row = ",".join({"iso_code": "X", "date": "1/1/2021"}.get(c, "") for c in columns)
+        (tmp_path / name).write_text(",".join(columns) + f"\n{row}\n{row}\n")
+    outcomes, _ = load(spark, str(tmp_path))
+    assert outcomes.count() == 2
+    with pytest.raises(ValueError, match="repeat a key"):
+        load(spark, str(tmp_path), require_unique_keys=True)
+
+
 def test_missing_required_column_is_named(spark, tmp_path):
     from panelytics.plans.workflow import load
 

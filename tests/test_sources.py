@@ -94,9 +94,10 @@ def test_persistent_table_is_replaced(spark):
     assert register(_panel(spark, "b"), "kept_table", persistent=True).columns == ["iso_code", "date", "b"]
 
 
-def test_stored_panel_keeps_rows_and_types(spark, tmp_path):
+@pytest.mark.parametrize("cluster_by", [(), ("location", "date")])
+def test_stored_panel_keeps_rows_and_types(spark, tmp_path, cluster_by):
     panel = _panel(spark, "a").withColumnRenamed("iso_code", "location")
-    stored = write_panel(panel, str(tmp_path / "p"))
+    stored = write_panel(panel, str(tmp_path / "p"), cluster_by)
     assert stored.schema == panel.schema
     assert sorted(stored.collect()) == sorted(panel.collect())
 
