@@ -335,11 +335,12 @@ def catalogue() -> dict[str, str]:
         ),
         "d10_corr_long": with_panels(correlations(CORRELATED, "model"), MATCHED, MODEL),
         "d10_corr_matrix": with_panels(
-            "PIVOT (" + correlations(CORRELATED, "model", square=True) + ") ON y IN ("
-            + ", ".join(f"'{c}'" for c in CORRELATED) + ") USING first(corr) GROUP BY x",
+            'SELECT x AS "column", '
+            + ", ".join(f"max(corr) FILTER (y = '{c}') AS {c}" for c in CORRELATED)
+            + f" FROM ({correlations(CORRELATED, 'model', square=True)}) GROUP BY x",
             MATCHED,
             MODEL,
-        ).replace("PIVOT (", "SELECT x AS \"column\", * EXCLUDE (x) FROM (PIVOT (", 1) + ")",
+        ),
         "d11_running_tail": with_panels(
             "SELECT * FROM running ORDER BY location DESC, date DESC LIMIT 10", MATCHED, running(FOUR)
         ),

@@ -12,6 +12,11 @@ from panelytics.contract import DATE_FORMATS, MISSING_TOKENS, TEXT_COLUMNS, TIME
 from panelytics.functions.parsing import blank_to_null, iso_text, nan_to_null, parse_date, parse_number
 
 
+def exact_column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def normalise_names(df: DataFrame) -> DataFrame:
     """Trim and lower-case the column names; refuse names that collide."""
     names = [name.strip().lower() for name in df.columns]
@@ -33,13 +38,13 @@ def clean_panel(
     is_text = {field.name: isinstance(field.dataType, T.StringType) for field in named.schema.fields}
 
     def cell(name: str) -> Column:
-        column = F.col(f"`{name}`")
+        column = exact_column(name)
         if is_text[name]:
             return blank_to_null(column, tokens)
         return column if name == date_column else column.cast("string" if name in text_columns else "double")
 
     def value(name: str) -> Column:
-        column = F.col(f"`{name}`")
+        column = exact_column(name)
         if name == date_column:
             return parse_date(column, formats) if is_text[name] else column.cast("date")
         if name in text_columns:
@@ -47,7 +52,7 @@ def clean_panel(
         return parse_number(column) if is_text[name] else column
 
     def finished(name: str) -> Column:
-        column = F.col(f"`{name}`")
+        column = exact_column(name)
         return column if name == date_column or name in text_columns else nan_to_null(column)
 
     # One projection per step: a step that uses the previous result twice then does not compute it twice.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelytics.contract import CODE, ENTITY, GROUP, KEYS, MISSINGNESS_SIZE, TIME
+from panelytics.operators.clean import exact_column
 from panelytics.operators.rank import top_k
 
 
@@ -102,7 +103,7 @@ def missingness(df: DataFrame, k: int | None = MISSINGNESS_SIZE) -> DataFrame:
     """Share of missing values per column in percent, worst first, ``k`` rows (all when None). One pass."""
 
     def present(field: T.StructField):
-        column = F.col(f"`{field.name}`")
+        column = exact_column(field.name)
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             column = F.when(~F.isnan(column), column)
         return F.count(column)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelytics.contract import MISSING_TOKENS
 from panelytics.functions import nan_to_null, parse_date, parse_number
-from panelytics.operators import clean_panel, iso_dates, normalise_names
+from panelytics.operators import clean_panel, iso_dates, missingness, normalise_names
 
 
 def _parsed(spark, parse, texts):
@@ -108,6 +108,13 @@ def test_whole_panel(spark):
     ]
 
 
+def test_names_with_special_characters(spark):
+    raw = spark.createDataFrame([("1", "x")], ["share. of `all`", "tests_units"])
+    cleaned = clean_panel(raw)
+    assert cleaned.collect() == [(1.0, "x")]
+    assert missingness(cleaned).count() == 2
+
+
 def test_typed_input_is_accepted(spark):
     typed = spark.createDataFrame(
         [("X", dt.date(2021, 1, 2), 3, float("nan"))], "iso_code string, date date, a int, b double"

@@ -26,6 +26,19 @@ def test_equals_sql(spark, duck, sf_dir, name):
     assert check_oracle.compare(spark, duck, name, sf_dir) is None
 
 
+def _is_ordered(name):
+    tail = entry.oracle_sql()[name].rsplit(")", 1)[-1] if name != "d08_coverage_chart" else "ORDER BY"
+    return "ORDER BY" in tail
+
+
+@pytest.mark.parametrize("name", [name for name in entry.queries() if _is_ordered(name)])
+def test_rows_come_in_the_order_of_the_sql(spark, duck, sf_dir, name):
+    df = entry.queries()[name](spark, sf_dir)
+    cursor = duck.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in cursor.description]
+    assert [tuple(row) for row in df.select(*columns).collect()] == cursor.fetchall()
+
+
 def test_every_query_has_sql():
     assert set(entry.queries()) == set(entry.oracle_sql())
 
