@@ -2,6 +2,10 @@
 
 Every function returns a lazy DataFrame. Cumulative metrics are reduced by their maximum, daily metrics by their
 sum, and rows without a group (pre-aggregated roll-ups) never enter a ranking or a total.
+
+Rankings take one of three summaries, each one pass over the panels: ``country_peaks``, ``daily_totals`` and
+``matched_peaks``. Build a summary inline for a single question (columns it does not need are pruned from the scan), or
+store it once and ask several.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from panelytics.operators.windows import running_total, trailing_mean
 OUTCOME_PEAKS = ["population", "total_cases", "total_deaths"]
 DAILY_FLOWS = ["new_cases", "new_deaths"]
 DAILY_MEANS = ["new_cases_7d", "new_deaths_7d"]
+DOSES = ["people_vaccinated", "people_fully_vaccinated", "total_boosters"]
 ATTRIBUTES = [
     "gdp_per_capita",
     "human_development_index",
@@ -44,6 +49,7 @@ ATTRIBUTES = [
     "hospital_beds_per_thousand",
     "life_expectancy",
 ]
+PROGRAM_PEAKS = [*DOSES, "total_tests_per_thousand", "positive_rate", *ATTRIBUTES]
 # name: (numerator, denominator, per)
 RATES = {
     "infected_population_pct": ("total_cases", "population", 100),
@@ -63,10 +69,19 @@ def _rates(*names: str) -> list[Column]:
     return [rate(*RATES[name]).alias(name) for name in names]
 
 
-def _country_peaks(outcomes: DataFrame) -> DataFrame:
+# --- summaries
+
+
+def country_peaks(outcomes: DataFrame) -> DataFrame:
+    """One row per country: peaks of the outcomes panel."""
     return entity_peaks(real_entities(outcomes), OUTCOME_PEAKS)
 
 
+def daily_totals(outcomes: DataFrame) -> DataFrame:
+    """One row per calendar day: sums over all countries."""
+    return flow_totals(real_entities(outcomes), DAILY_FLOWS, [TIME])
+
+
 def _matched_days(
     outcomes: DataFrame, program: DataFrame, outcome_columns: Sequence[str], program_columns: Sequence[str]
 ) -> DataFrame:
@@ -77,6 +92,12 @@ def _matched_days(
     )
 
 
+def matched_peaks(outcomes: DataFrame, program: DataFrame) -> DataFrame:
+    """One row per country: peaks of both panels over the days present in both, and the mean daily positive rate."""
+    days = _matched_days(outcomes, program, OUTCOME_PEAKS, PROGRAM_PEAKS)
+    return entity_peaks(days, [*OUTCOME_PEAKS, *PROGRAM_PEAKS], means=["positive_rate"])
+
+
 # --- totals and rankings on the outcomes panel
 
 
@@ -88,30 +109,6 @@ def global_totals(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def top_cases(outcomes: DataFrame, k: int = RANKING_SIZE) -> DataFrame:
-    peaks = _country_peaks(outcomes).select(
-        ENTITY, GROUP, *OUTCOME_PEAKS, *_rates("infected_population_pct", "case_fatality_pct")
-    )
-    return top_k(peaks, "total_cases", k)
-
-
-def top_infection_rate(
-    outcomes: DataFrame, min_population: float = RATE_MIN_POPULATION, k: int = RANKING_SIZE
-) -> DataFrame:
-    peaks = _country_peaks(outcomes).filter(F.col("population") >= min_population)
-    rated = peaks.select(
-        ENTITY, GROUP, "population", "total_cases", *_rates("infected_population_pct", "case_fatality_pct")
-    )
-    return top_k(rated, "infected_population_pct", k)
-
-
-def top_deaths(outcomes: DataFrame, k: int = RANKING_SIZE) -> DataFrame:
-    peaks = _country_peaks(outcomes).select(
-        ENTITY, GROUP, *OUTCOME_PEAKS, *_rates("deaths_per_100k", "case_fatality_pct")
-    )
-    return top_k(peaks, "total_deaths", k)
-
-
 def totals_by_group(outcomes: DataFrame) -> DataFrame:
     totals = flow_totals(real_entities(outcomes), DAILY_FLOWS, [GROUP]).select(
         GROUP,
@@ -122,30 +119,48 @@ def totals_by_group(outcomes: DataFrame) -> DataFrame:
     return ordered(totals, "total_deaths", [GROUP], ascending=False)
 
 
-def top_fatality(outcomes: DataFrame, min_cases: float = FATALITY_MIN_CASES, k: int = RANKING_SIZE) -> DataFrame:
-    peaks = _country_peaks(outcomes).filter(F.col("total_cases") >= min_cases)
-    return top_k(peaks.select(ENTITY, GROUP, *OUTCOME_PEAKS, *_rates("case_fatality_pct")), "case_fatality_pct", k)
+def top_cases(peaks: DataFrame, k: int = RANKING_SIZE) -> DataFrame:
+    rates = _rates("infected_population_pct", "case_fatality_pct")
+    return top_k(peaks.select(ENTITY, GROUP, *OUTCOME_PEAKS, *rates), "total_cases", k)
 
 
-# --- daily series
+def top_infection_rate(
+    peaks: DataFrame, min_population: float = RATE_MIN_POPULATION, k: int = RANKING_SIZE
+) -> DataFrame:
+    rates = _rates("infected_population_pct", "case_fatality_pct")
+    large = peaks.filter(F.col("population") >= min_population)
+    return top_k(large.select(ENTITY, GROUP, "population", "total_cases", *rates), "infected_population_pct", k)
 
 
-def _daily_totals(outcomes: DataFrame) -> DataFrame:
-    return flow_totals(real_entities(outcomes), DAILY_FLOWS, [TIME])
+def top_deaths(peaks: DataFrame, k: int = RANKING_SIZE) -> DataFrame:
+    rates = _rates("deaths_per_100k", "case_fatality_pct")
+    return top_k(peaks.select(ENTITY, GROUP, *OUTCOME_PEAKS, *rates), "total_deaths", k)
+
+
+def top_fatality(peaks: DataFrame, min_cases: float = FATALITY_MIN_CASES, k: int = RANKING_SIZE) -> DataFrame:
+    major = peaks.filter(F.col("total_cases") >= min_cases)
+    return top_k(major.select(ENTITY, GROUP, *OUTCOME_PEAKS, *_rates("case_fatality_pct")), "case_fatality_pct", k)
+
+
+# --- daily series
 
 
-def daily_series(outcomes: DataFrame) -> DataFrame:
-    return ordered(_daily_totals(outcomes), TIME, ())
+def daily_series(daily: DataFrame) -> DataFrame:
+    return ordered(daily, TIME, ())
 
 
-def daily_series_smoothed(outcomes: DataFrame) -> DataFrame:
-    """Daily totals with trailing means. The window has no partition key, but its input is one row per calendar
+def _smoothed(daily: DataFrame) -> DataFrame:
+    """Trailing means of the daily totals. The window has no partition key, but its input is one row per calendar
     day, which the DATE range bounds whatever the panel's size."""
-    return ordered(trailing_mean(_daily_totals(outcomes), DAILY_FLOWS, entity=()), TIME, ())
+    return trailing_mean(daily, DAILY_FLOWS, entity=())
+
+
+def daily_series_smoothed(daily: DataFrame) -> DataFrame:
+    return ordered(_smoothed(daily), TIME, ())
 
 
-def peak_days(outcomes: DataFrame, by: str, k: int = PEAK_DAYS) -> DataFrame:
-    return top_k(trailing_mean(_daily_totals(outcomes), DAILY_FLOWS, entity=()), by, k, ties=[TIME])
+def peak_days(daily: DataFrame, by: str, k: int = PEAK_DAYS) -> DataFrame:
+    return top_k(_smoothed(daily), by, k, ties=[TIME])
 
 
 def _entity_days(outcomes: DataFrame, entity: str) -> DataFrame:
@@ -174,44 +189,60 @@ def all_entities_smoothed(outcomes: DataFrame) -> DataFrame:
 # --- both panels
 
 
-def _coverage_rates(
-    outcomes: DataFrame, program: DataFrame, measures: Sequence[str], rates: Sequence[str], min_population: float
-) -> DataFrame:
-    peaks = entity_peaks(
-        _matched_days(outcomes, program, ["population"], measures), ["population", *measures]
-    ).filter((F.col("population") >= min_population) & F.col("people_fully_vaccinated").isNotNull())
-    return peaks.select(ENTITY, GROUP, "population", *measures, *_rates(*rates))
+def _vaccinated_countries(matched: DataFrame, min_population: float) -> DataFrame:
+    return matched.filter((F.col("population") >= min_population) & F.col("people_fully_vaccinated").isNotNull())
 
 
 def top_coverage(
-    outcomes: DataFrame, program: DataFrame, min_population: float = COVERAGE_MIN_POPULATION, k: int = COVERAGE_SIZE
+    matched: DataFrame, min_population: float = COVERAGE_MIN_POPULATION, k: int = COVERAGE_SIZE
 ) -> DataFrame:
-    rated = _coverage_rates(
-        outcomes,
-        program,
-        ["people_vaccinated", "people_fully_vaccinated", "total_boosters"],
-        ["vaccinated_pct", "fully_vaccinated_pct", "booster_pct"],
-        min_population,
-    )
-    return top_k(rated, "fully_vaccinated_pct", k)
+    rates = _rates("vaccinated_pct", "fully_vaccinated_pct", "booster_pct")
+    countries = _vaccinated_countries(matched, min_population)
+    return top_k(countries.select(ENTITY, GROUP, "population", *DOSES, *rates), "fully_vaccinated_pct", k)
 
 
-def top_coverage_ascending(outcomes: DataFrame, program: DataFrame, **limits) -> DataFrame:
+def top_coverage_ascending(matched: DataFrame, **limits) -> DataFrame:
     """The rows of ``top_coverage``, lowest first, as a bar chart lists them."""
-    return ordered(top_coverage(outcomes, program, **limits), "fully_vaccinated_pct")
+    return ordered(top_coverage(matched, **limits), "fully_vaccinated_pct")
 
 
 def bottom_coverage(
-    outcomes: DataFrame, program: DataFrame, min_population: float = COVERAGE_MIN_POPULATION, k: int = COVERAGE_SIZE
+    matched: DataFrame, min_population: float = COVERAGE_MIN_POPULATION, k: int = COVERAGE_SIZE
+) -> DataFrame:
+    rates = _rates("vaccinated_pct", "fully_vaccinated_pct")
+    countries = _vaccinated_countries(matched, min_population)
+    shown = countries.select(ENTITY, GROUP, "population", "people_vaccinated", "people_fully_vaccinated", *rates)
+    return bottom_k(shown, "fully_vaccinated_pct", k)
+
+
+def top_positive_rate(
+    matched: DataFrame, min_population: float = COVERAGE_MIN_POPULATION, k: int = COVERAGE_SIZE
 ) -> DataFrame:
-    rated = _coverage_rates(
-        outcomes,
-        program,
-        ["people_vaccinated", "people_fully_vaccinated"],
-        ["vaccinated_pct", "fully_vaccinated_pct"],
-        min_population,
+    tested = matched.filter((F.col("population") >= min_population) & F.col("avg_positive_rate").isNotNull())
+    rated = tested.select(
+        ENTITY,
+        GROUP,
+        "population",
+        "total_tests_per_thousand",
+        scaled("avg_positive_rate").alias("avg_positive_rate_pct"),
+        scaled("positive_rate").alias("max_positive_rate_pct"),
     )
-    return bottom_k(rated, "fully_vaccinated_pct", k)
+    return top_k(rated, "avg_positive_rate_pct", k)
+
+
+def model_table(matched: DataFrame, min_population: float = RATE_MIN_POPULATION) -> DataFrame:
+    """One row per country with rounded rates and static attributes, for export and correlation."""
+    rates = ["infected_population_pct", "deaths_per_100k", "case_fatality_pct", "fully_vaccinated_pct", "booster_pct"]
+    large = matched.filter(F.col("population") >= min_population)
+    return large.select(GROUP, ENTITY, "population", *_rates(*rates), *ATTRIBUTES)
+
+
+def correlations(matched: DataFrame, **limits) -> DataFrame:
+    return corr_matrix(model_table(matched, **limits), CORRELATED_COLUMNS)
+
+
+def correlation_pairs(matched: DataFrame, **limits) -> DataFrame:
+    return corr_pairs(model_table(matched, **limits), CORRELATED_COLUMNS)
 
 
 def _running_doses(outcomes: DataFrame, program: DataFrame, entities: Sequence[str] | None) -> DataFrame:
@@ -248,27 +279,9 @@ def running_doses_tail(
     return tail(running, [ENTITY, TIME, CODE], k).select(*_RUNNING_COLUMNS)
 
 
-def top_positive_rate(
-    outcomes: DataFrame, program: DataFrame, min_population: float = COVERAGE_MIN_POPULATION, k: int = COVERAGE_SIZE
-) -> DataFrame:
-    days = _matched_days(outcomes, program, ["population"], ["total_tests_per_thousand", "positive_rate"])
-    peaks = entity_peaks(
-        days, ["population", "total_tests_per_thousand", "positive_rate"], means=["positive_rate"]
-    ).filter((F.col("population") >= min_population) & F.col("avg_positive_rate").isNotNull())
-    rated = peaks.select(
-        ENTITY,
-        GROUP,
-        "population",
-        "total_tests_per_thousand",
-        scaled("avg_positive_rate").alias("avg_positive_rate_pct"),
-        scaled("positive_rate").alias("max_positive_rate_pct"),
-    )
-    return top_k(rated, "avg_positive_rate_pct", k)
-
-
 def entity_summary(outcomes: DataFrame, program: DataFrame, entity: str = FOCUS_ENTITY) -> DataFrame:
     """One row; each panel is reduced on its own, so a day missing from one does not hide the other's peak."""
-    program_peaks = ["people_vaccinated", "people_fully_vaccinated", "total_boosters", "total_vaccinations"]
+    program_peaks = [*DOSES, "total_vaccinations"]
     both = join_summaries(
         entity_peaks(_entity_days(outcomes, entity), OUTCOME_PEAKS, keys=[ENTITY]),
         entity_peaks(_entity_days(program, entity), program_peaks, keys=[ENTITY]),
@@ -282,37 +295,19 @@ def entity_summary(outcomes: DataFrame, program: DataFrame, entity: str = FOCUS_
     )
 
 
-def model_table(outcomes: DataFrame, program: DataFrame, min_population: float = RATE_MIN_POPULATION) -> DataFrame:
-    """One row per country with rounded rates and static attributes, for export and correlation."""
-    measures = ["people_fully_vaccinated", "total_boosters", *ATTRIBUTES]
-    peaks = entity_peaks(
-        _matched_days(outcomes, program, OUTCOME_PEAKS, measures), [*OUTCOME_PEAKS, *measures]
-    ).filter(F.col("population") >= min_population)
-    rates = ["infected_population_pct", "deaths_per_100k", "case_fatality_pct", "fully_vaccinated_pct", "booster_pct"]
-    return peaks.select(GROUP, ENTITY, "population", *_rates(*rates), *ATTRIBUTES)
-
-
-def correlations(outcomes: DataFrame, program: DataFrame, **limits) -> DataFrame:
-    return corr_matrix(model_table(outcomes, program, **limits), CORRELATED_COLUMNS)
-
-
-def correlation_pairs(outcomes: DataFrame, program: DataFrame, **limits) -> DataFrame:
-    return corr_pairs(model_table(outcomes, program, **limits), CORRELATED_COLUMNS)
-
-
 # --- plot-ready long forms: (series, x, y)
 
 
-def daily_lines(outcomes: DataFrame) -> DataFrame:
-    return to_series(trailing_mean(_daily_totals(outcomes), DAILY_FLOWS, entity=()), TIME, DAILY_MEANS)
+def daily_lines(daily: DataFrame) -> DataFrame:
+    return to_series(_smoothed(daily), TIME, DAILY_MEANS)
 
 
 def entity_lines(outcomes: DataFrame, entity: str = FOCUS_ENTITY) -> DataFrame:
     return to_series(all_entities_smoothed(_entity_days(outcomes, entity)), TIME, DAILY_MEANS)
 
 
-def coverage_bars(outcomes: DataFrame, program: DataFrame, **limits) -> DataFrame:
-    return to_series(top_coverage(outcomes, program, **limits), ENTITY, "fully_vaccinated_pct", series=GROUP)
+def coverage_bars(matched: DataFrame, **limits) -> DataFrame:
+    return to_series(top_coverage(matched, **limits), ENTITY, "fully_vaccinated_pct", series=GROUP)
 
 
 def running_lines(outcomes: DataFrame, program: DataFrame, entities: Sequence[str] | None = None) -> DataFrame:
@@ -321,7 +316,6 @@ def running_lines(outcomes: DataFrame, program: DataFrame, entities: Sequence[st
     )
 
 
-def correlation_cells(outcomes: DataFrame, program: DataFrame, **limits) -> DataFrame:
+def correlation_cells(matched: DataFrame, **limits) -> DataFrame:
     """Every cell of the square matrix."""
-    names = list(CORRELATED_COLUMNS)
-    return to_series(correlations(outcomes, program, **limits), "column", names)
+    return to_series(correlations(matched, **limits), "column", list(CORRELATED_COLUMNS))

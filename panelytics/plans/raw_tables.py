@@ -18,7 +18,7 @@ from panelytics.operators.profile import coverage, duplicate_keys, missingness,
 from panelytics.operators.rank import top_k
 from panelytics.operators.rollup import entity_peaks, flow_totals
 from panelytics.operators.windows import running_total, trailing_mean
-from panelytics.plans.questions import model_table
+from panelytics.plans.questions import matched_peaks, model_table
 from panelytics.sources.csv_panels import read_csv_panel
 from panelytics.sources.sinks import export
 from panelytics.sources.star_schema import cents, load_panels, read_table, supplier_days
@@ -87,7 +87,7 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The modelling table, written as Parquet and read back."""
-    table = model_table(*load_panels(spark, sf_dir))
+    table = model_table(matched_peaks(*load_panels(spark, sf_dir)))
     folder = workspace(spark)
     if folder is None:
         return table

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,9 +64,22 @@ def reports(
     program: DataFrame,
     focus: str = FOCUS_ENTITY,
     compared: Sequence[str] = COMPARED_ENTITIES,
+    store: str | None = None,
 ) -> dict[str, Callable[[], DataFrame]]:
-    """Every report by name, each a plan to be built on demand."""
+    """Every report by name, each a plan to be built on demand.
+
+    With ``store`` the summaries that several reports share are computed once, when first needed, and kept there.
+    """
     o, p = outcomes, program
+
+    def shared(name: str, summary: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        if store is None:
+            return summary
+        return cache(lambda: write_panel(summary(), f"{store.rstrip('/')}/{name}"))
+
+    peaks = shared("country_peaks", lambda: q.country_peaks(o))
+    daily = shared("daily_totals", lambda: q.daily_totals(o))
+    matched = shared("matched_peaks", lambda: q.matched_peaks(o, p))
     return {
         "profile": lambda: compare_profiles({OUTCOMES_TABLE: o, PROGRAM_TABLE: p}),
         "rollup_labels": lambda: rollup_labels(o),
@@ -73,30 +87,30 @@ def reports(
         "missing_program": lambda: missingness(p),
         "coverage": lambda: coverage(o),
         "global_totals": lambda: q.global_totals(o),
-        "top_cases": lambda: q.top_cases(o),
-        "top_infection_rate": lambda: q.top_infection_rate(o),
-        "top_deaths": lambda: q.top_deaths(o),
+        "top_cases": lambda: q.top_cases(peaks()),
+        "top_infection_rate": lambda: q.top_infection_rate(peaks()),
+        "top_deaths": lambda: q.top_deaths(peaks()),
         "totals_by_group": lambda: q.totals_by_group(o),
-        "top_fatality": lambda: q.top_fatality(o),
-        "daily_series": lambda: q.daily_series_smoothed(o),
-        "peak_case_days": lambda: q.peak_days(o, "new_cases"),
-        "peak_death_days": lambda: q.peak_days(o, "new_deaths"),
-        "top_coverage": lambda: q.top_coverage(o, p),
-        "bottom_coverage": lambda: q.bottom_coverage(o, p),
+        "top_fatality": lambda: q.top_fatality(peaks()),
+        "daily_series": lambda: q.daily_series_smoothed(daily()),
+        "peak_case_days": lambda: q.peak_days(daily(), "new_cases"),
+        "peak_death_days": lambda: q.peak_days(daily(), "new_deaths"),
+        "top_coverage": lambda: q.top_coverage(matched()),
+        "bottom_coverage": lambda: q.bottom_coverage(matched()),
         "running_doses": lambda: q.running_doses(o, p),
         "running_doses_compared": lambda: q.running_doses(o, p, compared),
         "running_doses_tail": lambda: q.running_doses_tail(o, p, compared),
-        "top_positive_rate": lambda: q.top_positive_rate(o, p),
+        "top_positive_rate": lambda: q.top_positive_rate(matched()),
         "entity_summary": lambda: q.entity_summary(o, p, focus),
         "entity_peak_days": lambda: q.entity_peak_days(o, focus),
         "entity_daily": lambda: q.entity_daily_smoothed(o, focus),
-        "model_table": lambda: q.model_table(o, p),
-        "correlations": lambda: q.correlations(o, p),
-        "chart_daily_lines": lambda: q.daily_lines(o),
-        "chart_coverage_bars": lambda: q.coverage_bars(o, p),
+        "model_table": lambda: q.model_table(matched()),
+        "correlations": lambda: q.correlations(matched()),
+        "chart_daily_lines": lambda: q.daily_lines(daily()),
+        "chart_coverage_bars": lambda: q.coverage_bars(matched()),
         "chart_running_lines": lambda: q.running_lines(o, p, compared),
         "chart_entity_lines": lambda: q.entity_lines(o, focus),
-        "chart_correlation_cells": lambda: q.correlation_cells(o, p),
+        "chart_correlation_cells": lambda: q.correlation_cells(matched()),
     }
 
 
@@ -110,11 +124,10 @@ def run(
     **options,
 ) -> list[str]:
     """Load the panels below ``root`` and write every report (or those in ``only``) below ``output``."""
-    outcomes, program = load(
-        spark, root, store=f"{output.rstrip('/')}/panels", require_unique_keys=require_unique_keys
-    )
-    available = reports(outcomes, program, **options)
+    output = output.rstrip("/")
+    outcomes, program = load(spark, root, store=f"{output}/panels", require_unique_keys=require_unique_keys)
+    available = reports(outcomes, program, store=f"{output}/summaries", **options)
     names = list(only) or list(available)
     for name in names:
-        export(available[name](), f"{output.rstrip('/')}/{name}", fmt)
+        export(available[name](), f"{output}/{name}", fmt)
     return names

@@ -70,6 +70,11 @@ def test_filters_and_columns_reach_the_scan(panels, plan_of):
     assert "In(location, [NATION_1,NATION_5])" in compared and "population" in compared
 
 
+def test_unused_parts_of_a_summary_are_pruned(panels, plan_of):
+    plan = plan_of(q.bottom_coverage(q.matched_peaks(*panels)))
+    assert "life_expectancy" not in plan and "total_deaths" not in plan and "avg(" not in plan
+
+
 def test_running_doses_sum_once(panels, plan_of):
     """One window for the running sum and one for the chunk totals; the rate reuses the sum."""
     assert len(re.findall(r"Window \[", plan_of(q.running_doses(*panels)))) == 2
@@ -77,12 +82,13 @@ def test_running_doses_sum_once(panels, plan_of):
 
 ROLLUP_SENSITIVE = {
     "totals": lambda o, p: q.global_totals(o),
-    "cases": lambda o, p: q.top_cases(o),
+    "cases": lambda o, p: q.top_cases(q.country_peaks(o)),
     "groups": lambda o, p: q.totals_by_group(o),
-    "fatality": lambda o, p: q.top_fatality(o, 1000),
-    "coverage": lambda o, p: q.top_coverage(o, p),
-    "tests": lambda o, p: q.top_positive_rate(o, p),
-    "model": lambda o, p: q.model_table(o, p),
+    "fatality": lambda o, p: q.top_fatality(q.country_peaks(o), 1000),
+    "daily": lambda o, p: q.daily_series(q.daily_totals(o)),
+    "coverage": lambda o, p: q.top_coverage(q.matched_peaks(o, p)),
+    "tests": lambda o, p: q.top_positive_rate(q.matched_peaks(o, p)),
+    "model": lambda o, p: q.model_table(q.matched_peaks(o, p)),
 }
 
 
@@ -121,10 +127,16 @@ def test_reports_survive_a_csv_round_trip(spark, panels, tmp_path):
         if not name.startswith(("correlations", "chart_corr", "missing", "profile")):
             assert sorted(map(str, loaded[name]().collect())) == sorted(map(str, direct[name]().collect())), name
     assert run_sql(spark, "SELECT count(*) FROM covid_vaccinations").first()[0] == panels.program.count()
-    written = run(spark, str(tmp_path / "in"), str(tmp_path / "out"), only=["top_cases", "profile"], **options)
-    assert written == ["top_cases", "profile"]
-    again = spark.read.parquet(str(tmp_path / "out" / "top_cases"))
-    assert sorted(again.collect()) == sorted(direct["top_cases"]().collect())
+    some = ["top_cases", "top_deaths", "correlations", "peak_case_days"]
+    assert run(spark, str(tmp_path / "in"), str(tmp_path / "out"), only=some, **options) == some
+    for name in ("top_cases", "top_deaths", "peak_case_days"):
+        again = spark.read.parquet(str(tmp_path / "out" / name))
+        assert sorted(map(str, again.collect())) == sorted(map(str, direct[name]().collect()))
+    assert sorted(p.name for p in (tmp_path / "out" / "summaries").iterdir()) == [
+        "country_peaks",
+        "daily_totals",
+        "matched_peaks",
+    ]
 
 
 def test_repeated_keys_are_refused_on_request(spark, tmp_path):

@@ -26,7 +26,7 @@ TEXTS = {
                round(total_deaths * 100.0 / nullif(total_cases, 0), 2) as case_fatality_pct
         from t order by total_cases desc, location limit 15
         """,
-        lambda o, p: q.top_cases(o),
+        lambda o, p: q.top_cases(q.country_peaks(o)),
     ),
     "running": (
         """
