@@ -309,6 +309,7 @@ def catalogue() -> dict[str, str]:
         "q13_entity_summary": with_panels(summary),
         "q14_entity_peaks": with_panels(f"{entity_series(FOCUS)} {by_day.format('new_cases')}"),
         "q15_model_table": with_panels("SELECT * FROM model", MATCHED, MODEL),
+        "q15_model_table_any_keys": with_panels("SELECT * FROM model", MATCHED, MODEL),
         "q16_entity_daily": with_panels(f"{entity_series(FOCUS)} ORDER BY date"),
         "d01_profile": with_panels(
             profile("covid_deaths", "outcomes", len(OUTCOMES_COLUMNS))
@@ -404,6 +405,10 @@ def operators() -> dict[str, str]:
           JOIN (SELECT l_suppkey AS supplier, l_shipdate AS date, sum(l_quantity) AS quantity FROM lineitem
                 WHERE l_returnflag = 'R' GROUP BY ALL) r USING (supplier, date)
           GROUP BY supplier""",
+        "joined_line_peaks": """SELECT k.l_suppkey AS supplier, max(k.l_quantity) AS l_quantity,
+            max(CAST(round(r.l_extendedprice * 100) AS BIGINT)) AS cents, avg(r.l_linenumber) AS avg_line
+          FROM lineitem k JOIN lineitem r ON r.l_partkey = k.l_partkey AND r.l_shipdate = k.l_shipdate
+          WHERE k.l_returnflag <> 'R' AND r.l_returnflag = 'R' GROUP BY k.l_suppkey""",
         "running_quantity_by_supplier": f"""WITH {SUPPLIER_DAYS} SELECT supplier, date, kept_quantity,
             sum(coalesce(kept_quantity, 0)) OVER (PARTITION BY supplier ORDER BY date ROWS UNBOUNDED PRECEDING)
               AS running_quantity FROM supplier_days""",

@@ -2,7 +2,7 @@
 
 from panelytics.operators.clean import clean_panel, iso_dates, normalise_names
 from panelytics.operators.corr import corr_matrix, corr_pairs
-from panelytics.operators.joins import join_panels, join_summaries
+from panelytics.operators.joins import join_panels, join_summaries, joined_peaks
 from panelytics.operators.profile import (
     assert_unique_keys,
     compare_profiles,
@@ -33,6 +33,7 @@ __all__ = [
     "iso_dates",
     "join_panels",
     "join_summaries",
+    "joined_peaks",
     "missingness",
     "normalise_names",
     "ordered",

@@ -32,7 +32,7 @@ from panelytics.contract import (
 )
 from panelytics.functions.measures import pct, rate, scaled, whole
 from panelytics.operators.corr import corr_matrix, corr_pairs
-from panelytics.operators.joins import join_panels, join_summaries
+from panelytics.operators.joins import join_panels, join_summaries, joined_peaks
 from panelytics.operators.rank import bottom_k, ordered, tail, top_k
 from panelytics.operators.reshape import to_series
 from panelytics.operators.rollup import entity_peaks, flow_totals, real_entities
@@ -92,10 +92,16 @@ def _matched_days(
     )
 
 
-def matched_peaks(outcomes: DataFrame, program: DataFrame) -> DataFrame:
-    """One row per country: peaks of both panels over the days present in both, and the mean daily positive rate."""
-    days = _matched_days(outcomes, program, OUTCOME_PEAKS, PROGRAM_PEAKS)
-    return entity_peaks(days, [*OUTCOME_PEAKS, *PROGRAM_PEAKS], means=["positive_rate"])
+def matched_peaks(outcomes: DataFrame, program: DataFrame, unique_keys: bool = False) -> DataFrame:
+    """One row per country: peaks of both panels over the days present in both, and the mean daily positive rate.
+
+    ``unique_keys`` says both panels are known to hold each key once, so that their rows can be joined directly.
+    """
+    means = ["positive_rate"]
+    if unique_keys:
+        days = _matched_days(outcomes, program, OUTCOME_PEAKS, PROGRAM_PEAKS)
+        return entity_peaks(days, [*OUTCOME_PEAKS, *PROGRAM_PEAKS], means)
+    return joined_peaks(real_entities(outcomes), program, OUTCOME_PEAKS, PROGRAM_PEAKS, means)
 
 
 # --- totals and rankings on the outcomes panel

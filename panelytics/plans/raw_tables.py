@@ -13,7 +13,7 @@ from panelytics.functions.measures import pct
 from panelytics.functions.parsing import iso_text
 from panelytics.operators.clean import clean_panel
 from panelytics.operators.corr import corr_pairs
-from panelytics.operators.joins import join_panels
+from panelytics.operators.joins import join_panels, joined_peaks
 from panelytics.operators.profile import coverage, duplicate_keys, missingness, shape, table_profile
 from panelytics.operators.rank import top_k
 from panelytics.operators.rollup import entity_peaks, flow_totals
@@ -87,7 +87,7 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The modelling table, written as Parquet and read back."""
-    table = model_table(matched_peaks(*load_panels(spark, sf_dir)))
+    table = model_table(matched_peaks(*load_panels(spark, sf_dir), unique_keys=True))
     folder = workspace(spark)
     if folder is None:
         return table
@@ -199,6 +199,19 @@ def joined_supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def joined_line_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept against returned lines of the same part on the same day, keys repeating on both sides, per supplier."""
+    lines = read_table(spark, sf_dir, "lineitem")
+    keys = [F.col("l_partkey").alias("part"), F.col("l_shipdate").alias("date")]
+    kept = lines.filter(F.col("l_returnflag") != "R").select(*keys, F.col("l_suppkey").alias("supplier"), "l_quantity")
+    returned = lines.filter(F.col("l_returnflag") == "R").select(
+        *keys, cents("l_extendedprice").alias("cents"), F.col("l_linenumber").cast("double").alias("line")
+    )
+    return joined_peaks(
+        kept, returned, ["l_quantity"], ["cents"], ["line"], keys=["part", "date"], groups=["supplier"]
+    )
+
+
 def running_quantity_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = supplier_days(spark, sf_dir).select("supplier", "date", "kept_quantity")
     return running_total(days, "kept_quantity", "running_quantity", ["supplier"], ["date"], chunk=SUPPLIER_CHUNK)

@@ -65,8 +65,9 @@ def reports(
     focus: str = FOCUS_ENTITY,
     compared: Sequence[str] = COMPARED_ENTITIES,
     store: str | None = None,
+    unique_keys: bool = False,
 ) -> dict[str, Callable[[], DataFrame]]:
-    """Every report by name, each a plan to be built on demand.
+    """Every report by name, each a plan to be built on demand. ``unique_keys``: see ``questions.matched_peaks``.
 
     With ``store`` the summaries that several reports share are computed once, when first needed, and kept there.
     """
@@ -79,7 +80,7 @@ def reports(
 
     peaks = shared("country_peaks", lambda: q.country_peaks(o))
     daily = shared("daily_totals", lambda: q.daily_totals(o))
-    matched = shared("matched_peaks", lambda: q.matched_peaks(o, p))
+    matched = shared("matched_peaks", lambda: q.matched_peaks(o, p, unique_keys))
     return {
         "profile": lambda: compare_profiles({OUTCOMES_TABLE: o, PROGRAM_TABLE: p}),
         "rollup_labels": lambda: rollup_labels(o),
@@ -126,7 +127,9 @@ def run(
     """Load the panels below ``root`` and write every report (or those in ``only``) below ``output``."""
     output = output.rstrip("/")
     outcomes, program = load(spark, root, store=f"{output}/panels", require_unique_keys=require_unique_keys)
-    available = reports(outcomes, program, store=f"{output}/summaries", **options)
+    available = reports(
+        outcomes, program, store=f"{output}/summaries", unique_keys=require_unique_keys, **options
+    )
     names = list(only) or list(available)
     for name in names:
         export(available[name](), f"{output}/{name}", fmt)

@@ -6,14 +6,17 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panelytics.operators import (
     bottom_k,
     corr_matrix,
     corr_pairs,
+    entity_peaks,
     head,
     join_panels,
     join_summaries,
+    joined_peaks,
     ordered,
     tail,
     to_series,
@@ -67,6 +70,35 @@ def test_only_matched_days_and_present_keys_join(spark):
     assert joined.collect() == [("X", D1, "Asia", 1.0, 10.0)]
 
 
+def _repeated(rng, n, columns):
+    value = lambda: rng.choice([None, *map(float, range(6))])
+    keys = [(rng.choice(["X", "Y", None]), rng.choice([D1, D2, None])) for _ in range(n)]
+    return [(*key, *[value() for _ in range(columns)]) for key in keys]
+
+
+def test_peaks_of_repeated_keys_equal_those_of_all_joined_rows(spark):
+    rng = random.Random(3)
+    left = [(*row, f"G{rng.randint(0, 3)}", "E") for row in _repeated(rng, 120, 1)]
+    right = _repeated(rng, 90, 3)
+    a = spark.createDataFrame(left, "iso_code string, date date, u double, continent string, location string")
+    b = spark.createDataFrame(right, "iso_code string, date date, v double, w double, x double").withColumn(
+        "x", F.when(F.col("iso_code") == "Y", F.col("x"))
+    )
+    slow = entity_peaks(join_panels(a, b), ["u", "v"], ["w", "x"]).orderBy("continent").collect()
+    fast = joined_peaks(a, b, ["u"], ["v"], ["w", "x"]).orderBy("continent").collect()
+    assert len(slow) == len(fast) == 4
+    for want, got in zip(slow, fast):
+        assert tuple(got)[:4] == tuple(want)[:4]
+        assert tuple(got)[4:] == pytest.approx(tuple(want)[4:], abs=1e-12)
+
+
+def test_a_key_with_very_many_copies_is_joined_once(spark):
+    key = [F.lit("X").alias("iso_code"), F.lit(D1).alias("date")]
+    a = spark.range(200_000).select(*key, F.col("id").alias("u"), F.lit("G").alias("continent"), F.lit("E").alias("location"))
+    b = spark.range(200_000).select(*key, (F.col("id") % 7).alias("v"))
+    assert joined_peaks(a, b, ["u"], ["v"], ["v"]).select("u", "v", F.round("avg_v", 4)).first() == (199999, 6, 3.0)
+
+
 def test_summaries_join(spark):
     a = spark.createDataFrame([("X", 1), ("Y", 2)], "location string, a int")
     b = spark.createDataFrame([("Y", 3), (None, 4)], "location string, b int")
