@@ -161,3 +161,8 @@ def test_long_forms(spark):
     df = spark.createDataFrame([(1, "p", 2.0, 3.0)], "t int, g string, u double, v double")
     assert sorted(to_series(df, "t", ["u", "v"]).collect()) == [("u", 1, 2.0), ("v", 1, 3.0)]
     assert to_series(df, "t", "v", series="g").collect() == [("p", 1, 3.0)]
+
+
+def test_correlated_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], "i double, `a b` double")
+    assert [row["column"] for row in corr_matrix(df, ["i", "a b"]).collect()] == ["i", "a b"]

@@ -141,3 +141,11 @@ def test_panels_without_a_workspace_are_plans_over_the_raw_tables(spark, sf_dir,
     for lazy, stored in zip(star_schema.load_panels(spark, sf_dir), panels):
         assert lazy.schema == stored.schema
         assert sorted(map(str, lazy.collect())) == sorted(map(str, stored.collect()))
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_byte_order_mark_and_windows_line_ends(spark, tmp_path, multi_line):
+    (tmp_path / "deaths.csv").write_bytes("\ufeffiso_code,date,n\r\nX,1/2/2021,5\r\n\r\nY,,\r\n".encode())
+    cleaned = clean_panel(read_csv_panel(spark, str(tmp_path), "death", multi_line=multi_line))
+    assert cleaned.columns == ["iso_code", "date", "n"]
+    assert sorted(cleaned.collect()) == [("X", dt.date(2021, 1, 2), 5.0), ("Y", None, None)]
