@@ -213,13 +213,14 @@ def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 _stored: dict[tuple[str, str], list[tuple[str, T.StructType]]] = {}
 
 
-def load_panels(spark: SparkSession, sf_dir: str) -> Panels:
-    """Both panels, built from the raw tables on first use in an application and read back from then on.
+def load_panels(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Panels:
+    """Both panels, built from the raw tables on first use in an application (or on ``refresh``) and read back from
+    then on.
 
     Where no shared folder is configured on a cluster they stay unmaterialised plans over the raw tables.
     """
     key = (spark.conf.get("spark.app.id"), sf_dir)
-    if key not in _stored:
+    if refresh or key not in _stored:
         panels = Panels(build_outcomes(spark, sf_dir), build_program(spark, sf_dir))
         folder = workspace(spark)
         if folder is None:

@@ -149,3 +149,11 @@ def test_byte_order_mark_and_windows_line_ends(spark, tmp_path, multi_line):
     cleaned = clean_panel(read_csv_panel(spark, str(tmp_path), "death", multi_line=multi_line))
     assert cleaned.columns == ["iso_code", "date", "n"]
     assert sorted(cleaned.collect()) == [("X", dt.date(2021, 1, 2), 5.0), ("Y", None, None)]
+
+
+def test_panels_are_built_once_unless_refreshed(spark, sf_dir, panels):
+    from panelytics.sources import star_schema
+
+    files = lambda loaded: loaded.outcomes.inputFiles()
+    assert files(star_schema.load_panels(spark, sf_dir)) == files(panels)
+    assert files(star_schema.load_panels(spark, sf_dir, refresh=True)) != files(panels)
