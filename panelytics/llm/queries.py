@@ -6,25 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelytics.llm import secret_scans, url_filters
+from panelytics.llm import (
+    decontaminate,
+    embeddings,
+    html_text,
+    language_id,
+    near_duplicates,
+    packing,
+    secret_scans,
+    suffix_dedup,
+    token_counts,
+    url_filters,
+)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _over(name: str, operator: Callable[..., DataFrame], *others: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(*(spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in (name, *others)))
 
-
-def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scans.report(table(spark, sf_dir, "documents"))
-
-
-def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(table(spark, sf_dir, "pages"))
+    return query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op7_secret_scans": secrets,
-        "op10_url_filters": url_verdicts,
+        "op1_suffix_dedup": _over("documents", suffix_dedup.report),
+        "op2_decontamination": _over("documents", lambda d, b: decontaminate.report(d, b).drop("matches"), "benchmark"),
+        "op3_near_duplicates": _over("documents", near_duplicates.near_duplicates),
+        "op4_packing": _over("documents", packing.pack),
+        "op5_main_text": _over("pages", html_text.extract),
+        "op6_language_id": _over("documents", language_id.report),
+        "op7_secret_scans": _over("documents", secret_scans.report),
+        "op8_near_vectors": _over("embeddings", embeddings.near_vectors),
+        "op9_token_counts": _over("documents", token_counts.report),
+        "op10_url_filters": _over("pages", url_filters.judge),
     }
 
 
