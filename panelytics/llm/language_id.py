@@ -12,19 +12,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelytics.llm.batches import text_bytes, text_chunks
+from panelytics.llm.batches import text_chunks
 
 #: What a text gets that is null or has no letter.
 UNKNOWN = "und"
 #: Most rows of each language that a dictionary is made from, and its most bytes. Both bound the driver's memory; the
 #: rows are those with the smallest hashes of their ids.
-SAMPLE_ROWS, DICTIONARY_BYTES = 600, 192 << 10
+SAMPLE_ROWS, DICTIONARY_BYTES = 600, 64 << 10
 #: Most languages.
 MOST_LANGUAGES = 400
 #: A text is compressed in blocks of about so many bytes, each with the dictionary alone, so that the end of a long
 #: text counts like its beginning. All blocks count.
 BLOCK_BYTES = 2048
-LEVEL = 3
+LEVEL = 6
+#: Bytes that end each block. The format stores a block as it is unless that saves enough; this constant run saves it,
+#: so that even a word is stored by its matches in the dictionary.
+ENDING = bytes(32)
 #: Smallest share by which the second smallest size must exceed the smallest; a text below that is rejected.
 NARROW = 0.002
 
@@ -33,9 +36,11 @@ _BLANK = re.compile(r"\s+")
 
 
 def training_rows(docs: DataFrame, may_learn: Column | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` (lang, text) of each language: those of the smallest hashes of their ids, from all rows with
-    text and language for which ``may_learn`` holds. Only ids move before the choice is made."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if may_learn is None else may_learn))
+    """At most ``rows`` (lang, doc_id, text) of each language: those of the smallest hashes of their ids, from all rows
+    with text and language for which ``may_learn`` holds. Only ids move before the choice is made, and of a longer text
+    no more than a dictionary holds is fetched."""
+    some = F.col("lang").isNotNull() & F.col("text").isNotNull()
+    labelled = docs.where(some if may_learn is None else some & may_learn)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
         labelled.select("lang", "doc_id")
@@ -43,34 +48,41 @@ def training_rows(docs: DataFrame, may_learn: Column | None = None, rows: int =
         .where(F.col("_n") <= rows)
         .select("lang", "doc_id")
     )
-    return labelled.select("lang", "doc_id", "text").join(chosen, ["lang", "doc_id"], "left_semi").select("lang", "doc_id", "text")
+    sample = labelled.select("lang", "doc_id", F.substring("text", 1, DICTIONARY_BYTES).alias("text"))
+    # MOST_LANGUAGES x SAMPLE_ROWS ids at most
+    return sample.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
 
 
 def dictionaries(docs: DataFrame, may_learn: Column | None = None) -> dict[str, bytes]:
     """For each language a dictionary of raw text, as long as for the others: pieces of the sampled rows, the same
     share of each, so that no single long text fills it."""
-    texts: dict[str, list[tuple[int, str]]] = {}
+    if (n := docs.select("lang").distinct().limit(MOST_LANGUAGES + 2).count()) > MOST_LANGUAGES + 1:
+        raise ValueError(f"{n} languages; at most {MOST_LANGUAGES} are meant")
+    texts: dict[str, list[tuple[str, str]]] = {}
     for lang, doc_id, text in training_rows(docs, may_learn).collect():  # MOST_LANGUAGES x SAMPLE_ROWS rows at most
         texts.setdefault(lang, []).append((str(doc_id), text))
-    if len(texts) > MOST_LANGUAGES:
-        raise ValueError(f"{len(texts)} languages; at most {MOST_LANGUAGES} are meant")
     out = {}
     for lang, rows in sorted(texts.items()):
-        distinct = list(dict.fromkeys(_BLANK.sub(" ", text) for _, text in sorted(rows) if _LETTER.search(text)))
+        distinct = list(dict.fromkeys(_plain(text) for _, text in sorted(rows) if _LETTER.search(text)))
         share = max(256, DICTIONARY_BYTES // max(1, len(distinct)))
         parts, room = [], DICTIONARY_BYTES
         ordered = sorted(distinct, key=len)
         for i, text in enumerate(ordered):
-            part = text.encode()[: max(share, room // (len(ordered) - i))]
+            part = text[: max(share, room // (len(ordered) - i))]
             parts.append(part)
             room = max(0, room - len(part))
-        out[lang] = b" ".join(parts)[:DICTIONARY_BYTES]
+        out[lang] = b"".join(parts)[:DICTIONARY_BYTES]
     least = min((len(d) for d in out.values() if d), default=0)
     if least >= DICTIONARY_BYTES // 8:
         return {lang: d[:least] for lang, d in out.items() if d}
     return {lang: d for lang, d in out.items() if d}
 
 
+def _plain(text: str) -> bytes:
+    """Lower case, with one blank around and between words, so that words match those of the dictionary."""
+    return f" {_BLANK.sub(' ', text).strip().lower()} ".encode()
+
+
 class Compressors:
     """One compressor for each language, ready to use."""
 
@@ -88,7 +100,7 @@ class Compressors:
     def sizes(self, text: bytes) -> list[int]:
         """Compressed bytes of the whole text with each language's dictionary."""
         return [
-            sum(len(c.compress(text[at : at + BLOCK_BYTES])) for at in range(0, len(text), BLOCK_BYTES))
+            sum(len(c.compress(text[at : at + BLOCK_BYTES] + ENDING)) for at in range(0, len(text), BLOCK_BYTES))
             for c in self._compressors
         ]
 
@@ -96,7 +108,7 @@ class Compressors:
         """The language and the margin: by which share the next size is above the smallest. 1.0 if there is no next."""
         if not text or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0
-        sizes = self.sizes(_BLANK.sub(" ", text).encode())
+        sizes = self.sizes(_plain(text))
         order = np.argsort(sizes, kind="stable")
         if len(order) == 1:
             return self.languages[0], 1.0
