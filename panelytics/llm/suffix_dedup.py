@@ -167,16 +167,17 @@ def _strings_of(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys with several rows, of which at least one is single."""
+    """Keys with several rows, of which at least one is single. Stored, so that Spark can split a join on them where a
+    key has very many rows; it can't while the keys are still being folded in the join's own stage."""
     held = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("single").alias("single"))
-    return held.where((F.col("n") > 1) & F.col("single")).select(*keys)
+    return stored(held.where((F.col("n") > 1) & F.col("single")).select(*keys))
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, packed, near, far): in the document, all strings that begin ``near`` to ``far`` bytes before the packed
     suffix also begin elsewhere. All such strings of all documents are given, some more than once."""
     samples = samples_of(docs, length)
-    several = samples.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    several = stored(samples.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     held = stored(samples.join(several, "name"))
     contexts = stored(
         held.groupBy("name", "context").agg(
@@ -202,7 +203,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     settled = likely.where("single and settled").select(
         "name", "context", (F.col("block") * BLOCK).alias("near"), (F.col("block") * BLOCK + BLOCK - 1).alias("far")
     )
-    undecided = likely.where("single and not settled").select("name", "block", "inner").distinct()
+    undecided = stored(likely.where("single and not settled").select("name", "block", "inner").distinct())
     wanted = (
         likely.join(undecided, ["name", "block", "inner"], "left_semi")
         .groupBy("name", "context")
