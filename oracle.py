@@ -184,15 +184,39 @@ def missing(columns, source: str, k: int = 12) -> str:
     return f'SELECT * FROM ({rows}) ORDER BY missing_pct DESC NULLS LAST, "column" LIMIT {k}'
 
 
+# Columns of the two panels.
 OUTCOMES_COLUMNS = (
-    "iso_code continent location date population new_cases new_deaths total_cases total_deaths "
-    "total_cases_per_million total_deaths_per_million"
-).split()
+    "iso_code",
+    "continent",
+    "location",
+    "date",
+    "population",
+    "new_cases",
+    "new_deaths",
+    "total_cases",
+    "total_deaths",
+    "total_cases_per_million",
+    "total_deaths_per_million",
+)
 PROGRAM_COLUMNS = (
-    "iso_code continent location date new_vaccinations positive_rate total_vaccinations people_vaccinated "
-    "people_fully_vaccinated total_boosters total_tests_per_thousand gdp_per_capita human_development_index median_age "
-    "hospital_beds_per_thousand life_expectancy tests_units"
-).split()
+    "iso_code",
+    "continent",
+    "location",
+    "date",
+    "new_vaccinations",
+    "positive_rate",
+    "total_vaccinations",
+    "people_vaccinated",
+    "people_fully_vaccinated",
+    "total_boosters",
+    "total_tests_per_thousand",
+    "gdp_per_capita",
+    "human_development_index",
+    "median_age",
+    "hospital_beds_per_thousand",
+    "life_expectancy",
+    "tests_units",
+)
 
 
 def profile(name: str, source: str, columns: int, entity="location", group="continent", time="date", code="iso_code"):
@@ -343,7 +367,9 @@ def catalogue() -> dict[str, str]:
             MODEL,
         ),
         "d11_running_tail": with_panels(
-            "SELECT * FROM running ORDER BY location DESC, date DESC LIMIT 10", MATCHED, running(FOUR)
+            "SELECT * FROM (SELECT * FROM running ORDER BY location DESC, date DESC LIMIT 10) ORDER BY location, date",
+            MATCHED,
+            running(FOUR),
         ),
         "d12_daily_lines": with_panels(unpivoted("smooth"), DAYS, SMOOTH_DAYS),
         "d12_entity_lines": with_panels(unpivoted("focus"), FOCUS_SMOOTH),
@@ -363,13 +389,20 @@ def catalogue() -> dict[str, str]:
     }
 
 
+BY_LOCATION = """SELECT location, count(*) AS days, max(total_cases) AS total_cases, sum(new_cases) AS new_cases
+  FROM outcomes WHERE continent IS NOT NULL GROUP BY location"""
+
+
 def operators() -> dict[str, str]:
     line_measures = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return {
         "source_csv_panel": with_panels(f"SELECT {', '.join(OUTCOMES_COLUMNS)} FROM outcomes"),
-        "source_sql_view": with_panels(
-            """SELECT location, count(*) AS days, max(total_cases) AS total_cases, sum(new_cases) AS new_cases
-            FROM outcomes WHERE continent IS NOT NULL GROUP BY location"""
+        "source_sql_view": with_panels(BY_LOCATION),
+        "source_show_sql": with_panels(BY_LOCATION),
+        "running_doses_repeated": with_panels(
+            "SELECT * FROM running ORDER BY location, date",
+            MATCHED.replace("FROM outcomes o", "FROM (SELECT * FROM outcomes UNION ALL SELECT * FROM outcomes) o"),
+            running("location IN ('NATION_1', 'NATION_5')"),
         ),
         "source_shapes": " UNION ALL ".join(
             f"SELECT '{name}' AS \"table\", count(*) AS rows, CAST({width} AS BIGINT) AS columns FROM {name}"
@@ -422,6 +455,12 @@ def operators() -> dict[str, str]:
             {trailing("cents", "cents_7d", "ts, event_id", "event_type")}
           FROM (SELECT *, round(value * 100) AS cents FROM events)""",
         "correlation_line_measures": correlations(line_measures, "lineitem"),
+        "clean_date_layouts": """SELECT o_orderkey, CASE WHEN o_orderkey % 12 < 11 THEN CAST(o_orderdate AS DATE) END AS date,
+            CASE WHEN o_orderkey % 12 = 11 THEN concat('day ', o_orderkey) END AS unread FROM orders""",
+        "correlation_with_infinities": "WITH odd AS (SELECT l_discount, "
+        "CASE WHEN l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0 THEN l_quantity END AS l_quantity, "
+        "CASE WHEN l_linenumber <> 2 THEN l_extendedprice END AS l_extendedprice FROM lineitem) "
+        + correlations(("l_quantity", "l_extendedprice", "l_discount"), "odd"),
     }
 
 

@@ -18,6 +18,10 @@ def main() -> None:
     parser.add_argument("--compare", nargs="+", default=list(COMPARED_ENTITIES), help="entities compared over time")
     parser.add_argument("--only", nargs="+", default=[], help="names of the reports to write")
     parser.add_argument("--require-unique-keys", action="store_true", help="stop if a panel repeats a key")
+    parser.add_argument("--cluster-by", nargs="+", default=[], help="sort the stored panels by these columns")
+    parser.add_argument("--buckets", type=int, help="also save the panels as tables with so many buckets by their key")
+    parser.add_argument("--refuse-unread-dates", action="store_true", help="stop if a date is in no known layout")
+    parser.add_argument("--all-matches", action="store_true", help="make one panel of all files with the keyword")
     parser.add_argument("--shuffle-partitions", type=int, help="about the GB shuffled times 8; surplus is merged")
     parser.add_argument("--master", help="Spark master, where spark-submit has not set one")
     args = parser.parse_args()
@@ -29,6 +33,10 @@ def main() -> None:
         args.format,
         args.only,
         args.require_unique_keys,
+        args.cluster_by,
+        args.buckets,
+        "refuse" if args.refuse_unread_dates else "report",
+        args.all_matches,
         focus=args.focus,
         compared=args.compare,
     )

@@ -41,11 +41,42 @@ MISSING_TOKENS = (
     "null",
 )
 
-# Date layouts in the order they are tried; ISO stands for Spark's own text-to-date cast.
+# Date layouts in the order they are tried; ISO stands for Spark's own text-to-date cast. Where a day and a month could
+# change places, the month comes first. Two-digit years are read by the pivot below.
 ISO = "iso"
-DATE_FORMATS = ("M/d/yyyy", ISO, "d/M/yyyy")
+DATE_FORMATS = (
+    "M/d/yyyy",
+    ISO,
+    "d/M/yyyy",
+    "M/d/yy",
+    "d/M/yy",
+    "yyyy/M/d",
+    "yyyyMMdd",
+    "M-d-yyyy",
+    "d-M-yyyy",
+    "M-d-yy",
+    "d-M-yy",
+    "M.d.yyyy",
+    "d.M.yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "MMM d yyyy",
+    "MMMM d yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "d-MMM-yyyy",
+    "d-MMM-yy",
+    "d MMM yy",
+    "M/d/yyyy H:mm",
+    "M/d/yyyy H:mm:ss",
+    "M/d/yy H:mm",
+    "yyyy/M/d H:mm",
+    "yyyy/M/d H:mm:ss",
+)
+# Fixed value: the first two-digit year that means the 1900s.
+TWO_DIGIT_PIVOT = 69
 
-# Columns the catalogue names; a panel may carry more.
+# Columns the catalogue names; a panel may carry more.
 OUTCOMES_COLUMNS = (
     "iso_code",
     "continent",

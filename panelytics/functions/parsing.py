@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panelytics.contract import DATE_FORMATS, ISO, MISSING_TOKENS
+from panelytics.contract import DATE_FORMATS, ISO, MISSING_TOKENS, TWO_DIGIT_PIVOT
 
 # Spark's text-to-double cast also takes Java literals (1d, 1f, hexadecimal floats); a data file means no number by
 # them. Their letters occur in no other number but infinity.
@@ -32,10 +32,16 @@ def nan_to_null(value: Column) -> Column:
 def parse_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """DATE from the first layout that reads the text; a later layout is tried only on failure."""
     trimmed = F.trim(text)
-    readings = [
-        trimmed.try_cast("date") if layout == ISO else F.try_to_date(trimmed, layout) for layout in formats
-    ]
-    return F.coalesce(*readings)
+
+    def read(layout: str) -> Column:
+        if layout == ISO:
+            return trimmed.try_cast("date")
+        day = F.try_to_date(trimmed, layout)
+        if "yy" in layout.replace("yyyy", ""):
+            return F.when(F.year(day) >= 2000 + TWO_DIGIT_PIVOT, F.add_months(day, -1200)).otherwise(day)
+        return day
+
+    return F.coalesce(*map(read, formats))
 
 
 def iso_text(day: Column | str) -> Column:

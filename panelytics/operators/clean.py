@@ -32,8 +32,12 @@ def clean_panel(
     date_column: str = TIME,
     formats: Sequence[str] = DATE_FORMATS,
     tokens: Sequence[str] = MISSING_TOKENS,
+    unread: str | None = None,
 ) -> DataFrame:
-    """Normalise names, parse ``date_column``, keep ``text_columns``, and make every other column DOUBLE."""
+    """Normalise names, parse ``date_column``, keep ``text_columns``, and make every other column DOUBLE.
+
+    A date that no layout reads becomes NULL; with ``unread``, a column of that name keeps its text.
+    """
     named = normalise_names(df)
     is_text = {field.name: isinstance(field.dataType, T.StringType) for field in named.schema.fields}
 
@@ -56,9 +60,15 @@ def clean_panel(
         return column if name == date_column or name in text_columns else nan_to_null(column)
 
     # One projection per step: a step that uses the previous result twice then does not compute it twice.
-    result = named
-    for step in (cell, value, finished):
-        result = result.select(*[step(name).alias(name) for name in named.columns])
+    result = named.select(*[cell(name).alias(name) for name in named.columns])
+    kept = []
+    if unread is not None:
+        text = exact_column(date_column) if is_text.get(date_column) else F.lit(None)
+        result, kept = result.withColumn(unread, text.cast("string")), [exact_column(unread)]
+    for step in (value, finished):
+        result = result.select(*[step(name).alias(name) for name in named.columns], *kept)
+    if unread is not None:
+        result = result.withColumn(unread, F.when(exact_column(date_column).isNull(), exact_column(unread)))
     return result
 
 

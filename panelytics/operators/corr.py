@@ -16,12 +16,23 @@ def _numeric(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def _pair_correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``(_i, _j, corr)`` for column numbers ``_i <= _j``.
 
+    Only finite values count. Each column is scaled by a power of two, taken from its largest value in a first pass, so
+    that squares neither overflow nor vanish; ordinary values give the same bits as without.
+
     Each row is fanned out to one entry per column pair and folded into per-pair moments before the shuffle, which
     therefore moves one row per pair and task. Against one aggregate expression per pair and moment this costs a
     quarter for 10 columns, where the wide aggregate no longer compiles to code.
     """
     last = F.lit(len(names) - 1)
-    values = df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("row"))
+
+    def finite(name: str) -> Column:
+        value = F.col(name).cast("double")
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+    tops = df.agg(F.array(*[F.max(F.abs(finite(c))) for c in names]).alias("tops")).scalar()
+    exponent = lambda i: F.floor(F.log2(F.nullif(tops[i], F.lit(0.0))))
+    scale = lambda i: F.coalesce(F.pow(F.lit(2.0), F.least(-exponent(i), F.lit(1000))), F.lit(1.0))
+    values = df.select(F.array(*[finite(c) * scale(i) for i, c in enumerate(names)]).alias("row"))
     # A row without values changes no moment but makes every pair appear, even when the input is empty.
     blank = df.sparkSession.range(0, 1, 1, 1).select(
         F.array_repeat(F.lit(None).cast("double"), len(names)).alias("row")
@@ -35,9 +46,9 @@ def _pair_correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
     moments = pairs.groupBy("_i", "_j").agg(
         F.regr_sxy("b", "a").alias("sxy"), F.regr_sxx("b", "a").alias("sxx"), F.regr_syy("b", "a").alias("syy")
     )
-    r = F.col("sxy") / F.nullif(F.sqrt(F.col("sxx") * F.col("syy")), F.lit(0.0))
-    # greatest and least skip NULLs, so NULL must not reach them
-    clipped = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    r = F.col("sxy") / F.nullif(F.sqrt("sxx") * F.sqrt("syy"), F.lit(0.0))
+    # greatest and least skip NULLs and rank NaN above all numbers, so neither must reach them
+    clipped = F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
     return moments.select("_i", "_j", clipped.alias("corr"))
 
 
@@ -48,15 +59,20 @@ def _name(names: Sequence[str], number: str) -> Column:
 def corr_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(x, y, corr)`` for every unordered pair of numeric columns, each with itself included.
 
-    NULL when either column is constant, or absent, over the rows where both are present.
+    NULL when either column is constant, or absent, over the rows where both are present and finite. Without numeric
+    columns there are no rows.
     """
     names = _numeric(df, columns)
+    if not names:
+        return df.sparkSession.createDataFrame([], "x string, y string, corr double")
     return _pair_correlations(df, names).select(_name(names, "_i").alias("x"), _name(names, "_j").alias("y"), "corr")
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The square matrix: one row per column, named in ``column``, in the order of ``columns``."""
     names = _numeric(df, columns)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string")
     pairs = _pair_correlations(df, names)
     both_ways = F.array(
         F.struct("_i", "_j", "corr"), F.struct(F.col("_j").alias("_i"), F.col("_i").alias("_j"), F.col("corr"))

@@ -59,19 +59,34 @@ def table_profile(
     time: str = TIME,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """One row describing the table: size, distinct entities with and without a group, time range, repeated keys."""
-    seen = df.groupBy(entity, F.col(group).isNotNull().alias("_grouped")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(time).alias("_first"), F.max(time).alias("_last")
-    )
-    size = seen.agg(
+    """One row describing the table: size, distinct entities with and without a group, time range, repeated keys.
+
+    The table is read once: both halves of the report start from the same counts per key, entity and kind of row.
+    """
+    named = [F.col(key).alias(f"_key_{i}") for i, key in enumerate(keys)]
+    counts = [F.count(F.lit(1)).alias("_n"), F.min(time).alias("_first"), F.max(time).alias("_last")]
+    seen = df.groupBy(*named, F.col(entity).alias("_entity"), F.col(group).isNotNull().alias("_grouped")).agg(*counts)
+
+    def folded(*columns: str) -> DataFrame:
+        # the same aggregates in both halves, so that they share the shuffle of ``seen``
+        sums = [F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last")]
+        return seen.groupBy(*columns).agg(*sums)
+
+    whole = [
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.count_distinct(entity).alias("unique_locations"),
-        F.count_distinct(F.when(F.col("_grouped"), F.col(entity))).alias("country_locations"),
         F.min("_first").alias("start_date"),
         F.max("_last").alias("end_date"),
+    ]
+    size = folded("_entity", "_grouped").agg(
+        *whole,
+        F.count_distinct("_entity").alias("unique_locations"),
+        F.count_distinct(F.when(F.col("_grouped"), F.col("_entity"))).alias("country_locations"),
+    )
+    repeats = folded(*[f"_key_{i}" for i in range(len(keys))]).agg(
+        *whole, F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_iso_date_rows")
     )
     # Two one-row reports side by side: stacked, then folded into one row.
-    parts = size.unionByName(duplicate_keys(df, keys), allowMissingColumns=True)
+    parts = size.unionByName(repeats, allowMissingColumns=True)
     return parts.agg(*[F.max(column).alias(column) for column in parts.columns]).select(
         F.lit(name).alias("table"),
         "rows",

@@ -37,5 +37,6 @@ def head(df: DataFrame, k: int = 5) -> DataFrame:
 
 
 def tail(df: DataFrame, order: Sequence[str], k: int = 10) -> DataFrame:
-    """The last ``k`` rows of ``df`` under ``order``, found from the far end rather than by collecting."""
-    return df.orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(k)
+    """The last ``k`` rows of ``df`` under ``order``, in that order; found from the far end rather than by collecting."""
+    last = df.orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(k)
+    return last.orderBy(*[F.col(c).asc_nulls_first() for c in order])

@@ -1,21 +1,27 @@
-"""Running totals and trailing means that do not need a whole entity in one task.
-
-With ``chunk`` set (a ``date_trunc`` unit), each entity's rows are cut by time into chunks that are windowed
-independently. What a chunk needs from earlier rows is worked out from per-chunk summaries (one total, or at most
-n-1 rows) and added to the chunk as extra leading rows before the window, then removed. The result is the same as
-one window over the whole entity; an entity holding most of the data spreads over as many tasks as it has chunks.
+"""Running totals and trailing means, with and without a whole entity in one task.
+
+Panels hold one row per entity and day, so an entity is small and one plain window is the cheapest plan. For tables
+whose entities have unbounded numbers of rows per day (events), ``chunk`` cuts each entity's rows by time (``date_trunc``
+units) into chunks that are windowed independently. What a chunk needs from earlier rows is worked out from per-chunk
+summaries (one total, or at most n-1 rows) and added to the chunk as extra leading rows before the window, then
+removed; the input is read once for the summaries and once for the rows. Running totals take several nested units, from
+coarse to fine, and carry totals from level to level, so no window holds more rows than a unit has parts. Totals of
+fractions may differ from those of one window in their last bits, as they are added in another order; whole numbers and
+trailing means of the same rows don't.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelytics.contract import ENTITY, TIME, TRAILING_ROWS
 
-_CHUNK, _OWN, _ADDED = "_chunk", "_own_row", "_added"
+_CHUNK, _OWN, _ADDED, _COARSE, _ABOVE = "_chunk", "_own_row", "_added", "_coarse", "_above"
 
 
 def _ascending(columns: Sequence[str]) -> list[Column]:
@@ -28,25 +34,22 @@ def running_total(
     out: str,
     entity: Sequence[str] = (ENTITY,),
     order: Sequence[str] = (TIME,),
-    chunk: str | None = None,
+    chunk: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` from the entity's first row to this one, missing counted as 0.
 
-    ``order`` should identify a row within the entity; the first column is the time that ``chunk`` truncates.
+    ``order`` should identify a row within the entity; the first column is the time that ``chunk`` (a unit, or nested
+    units from coarse to fine) truncates.
     """
     amount = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     if chunk is None:
         so_far = Window.partitionBy(*entity).orderBy(*_ascending(order))
         return df.withColumn(out, F.sum(amount).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-    rows = df.withColumns({_CHUNK: F.date_trunc(chunk, order[0]), _ADDED: amount})
-    totals = rows.groupBy(*entity, _CHUNK).agg(F.sum(_ADDED).alias(_ADDED))
-    earlier = (
-        Window.partitionBy(*entity).orderBy(*_ascending([_CHUNK])).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = totals.withColumns({_ADDED: F.sum(_ADDED).over(earlier), _OWN: F.lit(False)}).filter(
-        F.col(_ADDED).isNotNull()
-    )
+    units = [chunk] if isinstance(chunk, str) else list(chunk)
+    rows = df.withColumns({_CHUNK: F.date_trunc(units[-1], order[0]), _ADDED: amount})
+    carried = _carried(rows.groupBy(*entity, _CHUNK).agg(F.sum(_ADDED).alias(_ADDED)), entity, units)
+    carried = carried.withColumn(_OWN, F.lit(False)).filter(F.col(_ADDED).isNotNull())
     so_far = (
         Window.partitionBy(*entity, _CHUNK)
         .orderBy(*_ascending([_OWN, *order]))
@@ -61,6 +64,31 @@ def running_total(
     )
 
 
+def _carried(totals: DataFrame, entity: Sequence[str], units: Sequence[str]) -> DataFrame:
+    """Per chunk of the last unit, the sum of all earlier chunks of its entity; NULL for the first.
+
+    Within a chunk of the next coarser unit the sum is a window over few rows; what lies before that chunk comes from
+    the same question one level up.
+    """
+    before = lambda *parts: (
+        Window.partitionBy(*entity, *parts).orderBy(*_ascending([_CHUNK])).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    if len(units) == 1:
+        return totals.withColumn(_ADDED, F.sum(_ADDED).over(before()))
+    within = totals.withColumn(_COARSE, F.date_trunc(units[-2], _CHUNK))
+    coarse = within.groupBy(*entity, F.col(_COARSE).alias(_CHUNK)).agg(F.sum(_ADDED).alias(_ADDED))
+    above = _carried(coarse, entity, units[:-1]).filter(F.col(_ADDED).isNotNull())
+    above = above.select(*entity, F.col(_CHUNK).alias(_COARSE), F.col(_ADDED).alias(_ABOVE))
+    inside = within.withColumn(_ADDED, F.sum(_ADDED).over(before(_COARSE)))
+    same = [F.col(f"w.`{c}`").eqNullSafe(F.col(f"a.`{c}`")) for c in [*entity, _COARSE]]
+    both = inside.alias("w").join(above.alias("a"), reduce(and_, same), "left")
+    total = F.when(
+        F.coalesce(F.col(f"w.{_ADDED}"), F.col(f"a.{_ABOVE}")).isNotNull(),
+        F.coalesce(F.col(f"w.{_ADDED}"), F.lit(0.0)) + F.coalesce(F.col(f"a.{_ABOVE}"), F.lit(0.0)),
+    )
+    return both.select(*[F.col(f"w.`{c}`").alias(c) for c in [*entity, _CHUNK]], total.alias(_ADDED))
+
+
 def trailing_mean(
     df: DataFrame,
     values: Sequence[str],

@@ -33,6 +33,7 @@ from panelytics.contract import (
 from panelytics.functions.measures import pct, rate, scaled, whole
 from panelytics.operators.corr import corr_matrix, corr_pairs
 from panelytics.operators.joins import join_panels, join_summaries, joined_peaks
+from panelytics.operators.profile import assert_unique_keys
 from panelytics.operators.rank import bottom_k, ordered, tail, top_k
 from panelytics.operators.reshape import to_series
 from panelytics.operators.rollup import entity_peaks, flow_totals, real_entities
@@ -60,11 +61,6 @@ RATES = {
     "booster_pct": ("total_boosters", "population", 100),
 }
 
-# Chunk widths for the windows over one entity's days.
-RUNNING_CHUNK = "month"
-TRAILING_CHUNK = "quarter"
-
-
 def _rates(*names: str) -> list[Column]:
     return [rate(*RATES[name]).alias(name) for name in names]
 
@@ -189,7 +185,7 @@ def entity_daily_smoothed(outcomes: DataFrame, entity: str = FOCUS_ENTITY) -> Da
 def all_entities_smoothed(outcomes: DataFrame) -> DataFrame:
     """Daily flows and their trailing means for every entity; unsorted."""
     days = outcomes.select(ENTITY, CODE, TIME, *DAILY_FLOWS)
-    return trailing_mean(days, DAILY_FLOWS, order=[TIME, CODE], chunk=TRAILING_CHUNK)
+    return trailing_mean(days, DAILY_FLOWS, order=[TIME, CODE])
 
 
 # --- both panels
@@ -251,13 +247,26 @@ def correlation_pairs(matched: DataFrame, **limits) -> DataFrame:
     return corr_pairs(model_table(matched, **limits), CORRELATED_COLUMNS)
 
 
-def _running_doses(outcomes: DataFrame, program: DataFrame, entities: Sequence[str] | None) -> DataFrame:
-    days = _matched_days(outcomes, program, ["population"], ["new_vaccinations"])
+def matched_doses(outcomes: DataFrame, program: DataFrame, repeated_keys: str = "refuse") -> DataFrame:
+    """Population and doses of every country day present in both panels, for the running totals.
+
+    A key held m times on one side and n on the other would make m x n days and inflate every later total.
+    ``repeated_keys``: "refuse" counts the keys of both panels first (a job each) and raises if any repeats; "unique"
+    says they are known not to; "join" asks for all m x n rows.
+    """
+    if repeated_keys not in ("refuse", "unique", "join"):
+        raise ValueError(f"unknown choice for repeated keys: {repeated_keys}")
+    if repeated_keys == "refuse":
+        for panel in (real_entities(outcomes), program):
+            assert_unique_keys(panel)
+    return _matched_days(outcomes, program, ["population"], ["new_vaccinations"])
+
+
+def _running(days: DataFrame, entities: Sequence[str] | None) -> DataFrame:
     if entities is not None:
         days = days.filter(F.col(ENTITY).isin(*entities))
-    running = running_total(
-        days, "new_vaccinations", "rolling_vaccination_doses", order=[TIME, CODE], chunk=RUNNING_CHUNK
-    )
+    # an entity has one row per day, so its window is small
+    running = running_total(days, "new_vaccinations", "rolling_vaccination_doses", order=[TIME, CODE])
     return running.withColumn("rolling_doses_per_100_people", pct("rolling_vaccination_doses", "population"))
 
 
@@ -272,17 +281,31 @@ _RUNNING_COLUMNS = [
 ]
 
 
-def running_doses(outcomes: DataFrame, program: DataFrame, entities: Sequence[str] | None = None) -> DataFrame:
-    """Doses accumulated per entity and per 100 people; every entity unless ``entities`` are named."""
-    running = _running_doses(outcomes, program, entities)
-    return running.orderBy(ENTITY, TIME, CODE).select(*_RUNNING_COLUMNS)
+def running_days(days: DataFrame, entities: Sequence[str] | None = None) -> DataFrame:
+    """Doses accumulated per entity and per 100 people over ``matched_doses``; every entity unless some are named."""
+    return _running(days, entities).orderBy(ENTITY, TIME, CODE).select(*_RUNNING_COLUMNS)
+
+
+def running_days_tail(days: DataFrame, entities: Sequence[str] | None = None, k: int = 10) -> DataFrame:
+    """The last ``k`` of ``running_days``, in the same order."""
+    return tail(_running(days, entities), [ENTITY, TIME, CODE], k).select(*_RUNNING_COLUMNS)
+
+
+def running_doses(
+    outcomes: DataFrame, program: DataFrame, entities: Sequence[str] | None = None, repeated_keys: str = "refuse"
+) -> DataFrame:
+    """``running_days`` straight from the two panels."""
+    return running_days(matched_doses(outcomes, program, repeated_keys), entities)
 
 
 def running_doses_tail(
-    outcomes: DataFrame, program: DataFrame, entities: Sequence[str] | None = None, k: int = 10
+    outcomes: DataFrame,
+    program: DataFrame,
+    entities: Sequence[str] | None = None,
+    k: int = 10,
+    repeated_keys: str = "refuse",
 ) -> DataFrame:
-    running = _running_doses(outcomes, program, entities)
-    return tail(running, [ENTITY, TIME, CODE], k).select(*_RUNNING_COLUMNS)
+    return running_days_tail(matched_doses(outcomes, program, repeated_keys), entities, k)
 
 
 def entity_summary(outcomes: DataFrame, program: DataFrame, entity: str = FOCUS_ENTITY) -> DataFrame:
@@ -316,10 +339,9 @@ def coverage_bars(matched: DataFrame, **limits) -> DataFrame:
     return to_series(top_coverage(matched, **limits), ENTITY, "fully_vaccinated_pct", series=GROUP)
 
 
-def running_lines(outcomes: DataFrame, program: DataFrame, entities: Sequence[str] | None = None) -> DataFrame:
-    return to_series(
-        _running_doses(outcomes, program, entities), TIME, "rolling_doses_per_100_people", series=ENTITY
-    )
+def running_lines(days: DataFrame, entities: Sequence[str] | None = None) -> DataFrame:
+    """Lines over ``matched_doses``."""
+    return to_series(_running(days, entities), TIME, "rolling_doses_per_100_people", series=ENTITY)
 
 
 def correlation_cells(matched: DataFrame, **limits) -> DataFrame:

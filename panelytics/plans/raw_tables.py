@@ -18,15 +18,15 @@ from panelytics.operators.profile import coverage, duplicate_keys, missingness,
 from panelytics.operators.rank import top_k
 from panelytics.operators.rollup import entity_peaks, flow_totals
 from panelytics.operators.windows import running_total, trailing_mean
-from panelytics.plans.questions import matched_peaks, model_table
+from panelytics.plans.questions import matched_peaks, model_table, running_doses
 from panelytics.sources.csv_panels import read_csv_panel
 from panelytics.sources.sinks import export
 from panelytics.sources.star_schema import cents, load_panels, read_table, supplier_days
-from panelytics.sources.tables import register, run_sql
+from panelytics.sources.tables import register, run_sql, show_sql
 from panelytics.sources.workspace import workspace
 
-EVENT_CHUNK = "day"
-SUPPLIER_CHUNK = "quarter"
+#: Nested units for events, of which an entity has unboundedly many a day.
+EVENT_UNITS = ("day", "hour", "minute")
 
 
 def round_columns(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
@@ -36,6 +36,21 @@ def round_columns(df: DataFrame, columns: Sequence[str], digits: int) -> DataFra
 # --- sources, sinks, cleaning
 
 
+_DATE_LAYOUTS = (
+    "M/d/yyyy",
+    "yyyy-MM-dd",
+    "M/d/yy",
+    "yyyyMMdd",
+    "yyyy/MM/dd",
+    "MM-dd-yyyy",
+    "MMM d, yyyy",
+    "d MMM yyyy",
+    "d-MMM-yy",
+    "MMMM d, yyyy",
+    "M/d/yyyy H:mm",
+)
+
+
 def _mixed_layouts(day: str) -> F.Column:
     """The date as text in the layouts a raw file may mix, each read back without ambiguity."""
     return (
@@ -57,25 +72,39 @@ def _as_raw_text(panel: DataFrame) -> DataFrame:
     return panel.select(*texts)
 
 
+_csv_folders: dict[tuple[str, str], str] = {}
+
+
+def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the outcomes panel as CSV, written on first use in an application like the panels themselves."""
+    key = (spark.conf.get("spark.app.id"), sf_dir)
+    if key not in _csv_folders:
+        folder = workspace(spark)
+        export(_as_raw_text(load_panels(spark, sf_dir).outcomes), f"{folder}/covid_Deaths.csv", "csv")
+        _csv_folders[key] = folder
+    return _csv_folders[key]
+
+
 def csv_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outcomes panel written as CSV, found again by keyword, read as text and cleaned."""
-    raw = _as_raw_text(load_panels(spark, sf_dir).outcomes)
-    folder = workspace(spark)
-    if folder is not None:
-        export(raw, f"{folder}/covid_Deaths.csv", "csv")
-        raw = read_csv_panel(spark, folder, OUTCOMES_KEYWORD)
-    return clean_panel(raw)
+    """The outcomes panel as a CSV file, found by keyword, read as text and cleaned."""
+    return clean_panel(read_csv_panel(spark, _csv_folder(spark, sf_dir), OUTCOMES_KEYWORD))
+
+
+_BY_LOCATION = f"""
+SELECT location, count(*) AS days, max(total_cases) AS total_cases, sum(new_cases) AS new_cases
+FROM {OUTCOMES_TABLE} WHERE continent IS NOT NULL GROUP BY location;
+"""
 
 
 def sql_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(load_panels(spark, sf_dir).outcomes, OUTCOMES_TABLE)
-    return run_sql(
-        spark,
-        f"""
-        SELECT location, count(*) AS days, max(total_cases) AS total_cases, sum(new_cases) AS new_cases
-        FROM {OUTCOMES_TABLE} WHERE continent IS NOT NULL GROUP BY location;
-        """,
-    )
+    return run_sql(spark, _BY_LOCATION)
+
+
+def shown_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole result of a SQL text whose first rows are printed; run once, as it is stored."""
+    register(load_panels(spark, sf_dir).outcomes, OUTCOMES_TABLE)
+    return show_sql(spark, "Cases by location", _BY_LOCATION, rows=5, store=workspace(spark))
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +115,9 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The modelling table, written as Parquet and read back."""
+    """The modelling table, written as Parquet and read back. The export is the point of it, so it writes when called."""
     table = model_table(matched_peaks(*load_panels(spark, sf_dir), unique_keys=True))
     folder = workspace(spark)
-    if folder is None:
-        return table
     export(table, f"{folder}/model")
     return spark.read.schema(table.schema).parquet(f"{folder}/model")
 
@@ -119,6 +146,17 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_panel(raw).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
 
 
+def order_date_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose dates are texts in all layouts by turns, cleaned; every eleventh is no date, and its text is kept."""
+    orders = read_table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    turn = F.col("o_orderkey") % (len(_DATE_LAYOUTS) + 1)
+    texts = F.when(turn == len(_DATE_LAYOUTS), F.concat(F.lit("day "), F.col("o_orderkey")))
+    for i, layout in enumerate(_DATE_LAYOUTS):
+        texts = texts.when(turn == i, F.date_format("day", layout))
+    raw = orders.select(F.col("o_orderkey").cast("string").alias("o_orderkey"), texts.alias("DATE"))
+    return clean_panel(raw, unread="unread").withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+
+
 def order_iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = read_table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day"))
     return days.agg(F.count(F.lit(1)).alias("orders")).select("day", iso_text("day").alias("text"), "orders")
@@ -214,7 +252,13 @@ def joined_line_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def running_quantity_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = supplier_days(spark, sf_dir).select("supplier", "date", "kept_quantity")
-    return running_total(days, "kept_quantity", "running_quantity", ["supplier"], ["date"], chunk=SUPPLIER_CHUNK)
+    return running_total(days, "kept_quantity", "running_quantity", ["supplier"], ["date"])
+
+
+def running_doses_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running doses where every key of the outcomes panel occurs twice and joining all its rows is asked for."""
+    outcomes, program = load_panels(spark, sf_dir)
+    return running_doses(outcomes.unionByName(outcomes), program, ["NATION_1", "NATION_5"], repeated_keys="join")
 
 
 def _events_in_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,19 +267,31 @@ def _events_in_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_value_by_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few entities with very many rows each: every day of an event type is a task's worth of its own."""
+    """Few entities with very many rows each: a window holds one minute of an event type, and totals are carried from
+    minutes to hours to days."""
     events = _events_in_cents(spark, sf_dir)
-    return running_total(events, "cents", "running_cents", ["event_type"], ["ts", "event_id"], chunk=EVENT_CHUNK)
+    return running_total(events, "cents", "running_cents", ["event_type"], ["ts", "event_id"], chunk=EVENT_UNITS)
 
 
 def trailing_quantity_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = supplier_days(spark, sf_dir).select("supplier", "date", "kept_quantity", "quantity")
-    return trailing_mean(days, ["kept_quantity", "quantity"], ["supplier"], ["date"], chunk="year")
+    return trailing_mean(days, ["kept_quantity", "quantity"], ["supplier"], ["date"])
 
 
 def trailing_value_by_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events_in_cents(spark, sf_dir)
-    return trailing_mean(events, ["cents"], ["event_type"], ["ts", "event_id"], chunk=EVENT_CHUNK)
+    return trailing_mean(events, ["cents"], ["event_type"], ["ts", "event_id"], chunk=EVENT_UNITS[-1])
+
+
+def correlation_with_infinities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line measures of which some are infinite and some NaN; only pairs of finite values count."""
+    odd = F.when(F.col("l_orderkey") % 7 == 0, F.lit(float("inf"))).when(F.col("l_orderkey") % 11 == 0, F.lit(float("-inf")))
+    lines = read_table(spark, sf_dir, "lineitem").select(
+        odd.when(F.col("l_orderkey") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("l_quantity"),
+        F.when(F.col("l_linenumber") == 2, F.lit(float("inf"))).otherwise(F.col("l_extendedprice")).alias("l_extendedprice"),
+        "l_discount",
+    )
+    return corr_pairs(lines, ["l_quantity", "l_extendedprice", "l_discount"])
 
 
 def correlation_line_measures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from panelytics.contract import (
     COMPARED_ENTITIES,
@@ -25,6 +27,9 @@ from panelytics.sources.sinks import export, write_panel
 from panelytics.sources.tables import register
 
 
+_UNREAD = "_unread_date"
+
+
 def require_columns(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     absent = [c for c in columns if c not in df.columns]
     if absent:
@@ -38,24 +43,44 @@ def load(
     store: str | None = None,
     cluster_by: Sequence[str] = (),
     require_unique_keys: bool = False,
+    unread_dates: str = "report",
+    buckets: int | None = None,
     **reader,
 ) -> tuple[DataFrame, DataFrame]:
     """Find, read, clean and register both panels; optionally refuse panels with repeated keys.
 
     With ``store`` the typed panels are first written there as Parquet (see ``write_panel``), so that text is parsed
-    once rather than in every query.
+    once rather than in every query; with ``buckets`` they are also saved as catalog tables bucketed by their key, and
+    joined without a shuffle. ``unread_dates``: dates present that no layout reads become missing; "report" warns of
+    their number and an example, "refuse" raises, "ignore" doesn't count them. With ``store`` they are counted while
+    writing, else by a pass over the date column.
     """
+    if unread_dates not in ("report", "refuse", "ignore"):
+        raise ValueError(f"unknown choice for unread dates: {unread_dates}")
     panels = []
     for keyword, name, columns in (
         (OUTCOMES_KEYWORD, OUTCOMES_TABLE, OUTCOMES_COLUMNS),
         (PROGRAM_KEYWORD, PROGRAM_TABLE, PROGRAM_COLUMNS),
     ):
-        panel = require_columns(clean_panel(read_csv_panel(spark, root, keyword, **reader)), columns, name)
+        panel = clean_panel(read_csv_panel(spark, root, keyword, **reader), unread=_UNREAD)
+        panel = require_columns(panel, columns, name)
+        unread = [F.count(_UNREAD).alias("n"), F.min(_UNREAD).alias("example")]
         if store is not None:
-            panel = write_panel(panel, f"{store.rstrip('/')}/{name}", cluster_by)
+            seen = Observation()
+            written = panel.observe(seen, *unread).drop(_UNREAD) if unread_dates != "ignore" else panel.drop(_UNREAD)
+            typed = write_panel(written, f"{store.rstrip('/')}/{name}", cluster_by)
+            found = seen.get if unread_dates != "ignore" else {"n": 0}
+        else:
+            typed = panel.drop(_UNREAD)
+            found = panel.agg(*unread).first().asDict() if unread_dates != "ignore" else {"n": 0}
+        if found["n"]:
+            text = f"{name}: {found['n']} dates can't be read and are missing, such as {found['example']!r}"
+            if unread_dates == "refuse":
+                raise ValueError(text)
+            warnings.warn(text, stacklevel=2)
         if require_unique_keys:
-            assert_unique_keys(panel)
-        panels.append(register(panel, name))
+            assert_unique_keys(typed)
+        panels.append(register(typed, name, persistent=bool(buckets), buckets=buckets))
     return panels[0], panels[1]
 
 
@@ -72,6 +97,7 @@ def reports(
     With ``store`` the summaries that several reports share are computed once, when first needed, and kept there.
     """
     o, p = outcomes, program
+    keys = "unique" if unique_keys else "refuse"
 
     def shared(name: str, summary: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
         if store is None:
@@ -81,6 +107,7 @@ def reports(
     peaks = shared("country_peaks", lambda: q.country_peaks(o))
     daily = shared("daily_totals", lambda: q.daily_totals(o))
     matched = shared("matched_peaks", lambda: q.matched_peaks(o, p, unique_keys))
+    doses = shared("matched_doses", lambda: q.matched_doses(o, p, keys))
     return {
         "profile": lambda: compare_profiles({OUTCOMES_TABLE: o, PROGRAM_TABLE: p}),
         "rollup_labels": lambda: rollup_labels(o),
@@ -98,9 +125,9 @@ def reports(
         "peak_death_days": lambda: q.peak_days(daily(), "new_deaths"),
         "top_coverage": lambda: q.top_coverage(matched()),
         "bottom_coverage": lambda: q.bottom_coverage(matched()),
-        "running_doses": lambda: q.running_doses(o, p),
-        "running_doses_compared": lambda: q.running_doses(o, p, compared),
-        "running_doses_tail": lambda: q.running_doses_tail(o, p, compared),
+        "running_doses": lambda: q.running_days(doses()),
+        "running_doses_compared": lambda: q.running_days(doses(), compared),
+        "running_doses_tail": lambda: q.running_days_tail(doses(), compared),
         "top_positive_rate": lambda: q.top_positive_rate(matched()),
         "entity_summary": lambda: q.entity_summary(o, p, focus),
         "entity_peak_days": lambda: q.entity_peak_days(o, focus),
@@ -109,7 +136,7 @@ def reports(
         "correlations": lambda: q.correlations(matched()),
         "chart_daily_lines": lambda: q.daily_lines(daily()),
         "chart_coverage_bars": lambda: q.coverage_bars(matched()),
-        "chart_running_lines": lambda: q.running_lines(o, p, compared),
+        "chart_running_lines": lambda: q.running_lines(doses(), compared),
         "chart_entity_lines": lambda: q.entity_lines(o, focus),
         "chart_correlation_cells": lambda: q.correlation_cells(matched()),
     }
@@ -122,11 +149,28 @@ def run(
     fmt: str = "parquet",
     only: Sequence[str] = (),
     require_unique_keys: bool = False,
+    cluster_by: Sequence[str] = (),
+    buckets: int | None = None,
+    unread_dates: str = "report",
+    all_matches: bool = False,
     **options,
 ) -> list[str]:
-    """Load the panels below ``root`` and write every report (or those in ``only``) below ``output``."""
+    """Load the panels below ``root`` and write every report (or those in ``only``) below ``output``.
+
+    The layout options are those of ``load``. Reports on running doses need unique keys: without
+    ``require_unique_keys`` they check for themselves and raise.
+    """
     output = output.rstrip("/")
-    outcomes, program = load(spark, root, store=f"{output}/panels", require_unique_keys=require_unique_keys)
+    outcomes, program = load(
+        spark,
+        root,
+        f"{output}/panels",
+        cluster_by,
+        require_unique_keys,
+        unread_dates,
+        buckets,
+        all_matches=all_matches,
+    )
     available = reports(
         outcomes, program, store=f"{output}/summaries", unique_keys=require_unique_keys, **options
     )

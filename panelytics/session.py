@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+#: Parts that a shuffle starts with unless told otherwise. Adaptive execution merges small parts but splits large ones
+#: for joins only, so there have to be enough for the largest aggregation.
+INITIAL_PARTITIONS = 4000
+
+
 def build_session(
     app_name: str = "panelytics",
     master: str | None = None,
@@ -13,7 +18,8 @@ def build_session(
 ) -> SparkSession:
     """Get a session with UTC dates, ANSI arithmetic and adaptive execution.
 
-    Partition counts are left to the cluster (adaptive execution coalesces them) unless given.
+    Shuffles start with ``shuffle_partitions`` parts (many by default, for large inputs), and adaptive execution merges
+    small ones.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -27,6 +33,8 @@ def build_session(
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    else:
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(INITIAL_PARTITIONS))
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

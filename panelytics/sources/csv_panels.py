@@ -5,6 +5,13 @@ from __future__ import annotations
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelytics.operators.clean import exact_column
+
+_RAW = "_corrupt_record"
+_CELL_END = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'  # a comma that isn't inside quotes
 
 
 def find_csv(spark: SparkSession, root: str, keyword: str) -> list[str]:
@@ -26,24 +33,42 @@ def find_csv(spark: SparkSession, root: str, keyword: str) -> list[str]:
 
 
 def read_csv_panel(
-    spark: SparkSession, root: str, keyword: str, first_only: bool = False, multi_line: bool = False
+    spark: SparkSession,
+    root: str,
+    keyword: str,
+    first_only: bool = False,
+    all_matches: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Raw text columns of the matching CSV files; type them with ``clean_panel``.
+    """Raw text columns of the matching CSV file; type them with ``clean_panel``.
 
-    All matches form one panel (a large panel is many files, each with the same header); ``first_only`` reads the
-    alphabetically first. Cells are split as in RFC 4180 (doubled quotes). ``multi_line`` allows line breaks
-    inside quotes but makes files unsplittable, so leave it off for large files.
+    A folder of part files counts as one file. Several matches are an error that lists them, unless ``first_only`` asks
+    for the alphabetically first or ``all_matches`` for one panel of all (each with the same header). Cells are split as
+    in RFC 4180 (doubled quotes). A row with fewer cells than the header is padded; reading one with more is an error.
+    ``multi_line`` allows line breaks inside quotes but makes files unsplittable, so leave it off for large files.
     """
     paths = find_csv(spark, root, keyword)
-    return spark.read.csv(
-        paths[:1] if first_only else paths,
-        header=True,
-        inferSchema=False,
-        enforceSchema=False,  # a file with other headers is an error, not shifted columns
-        mode="PERMISSIVE",
-        quote='"',
-        escape='"',
-        multiLine=multi_line,
-        recursiveFileLookup=True,
-        pathGlobFilter="*.csv",
-    )
+    if first_only:
+        paths = paths[:1]
+    elif len(paths) > 1 and not all_matches:
+        raise ValueError(f"several CSV files with '{keyword}' in their names: {paths}")
+    options = {
+        "header": True,
+        "inferSchema": False,
+        "enforceSchema": False,  # a file with other headers is an error, not shifted columns
+        "mode": "PERMISSIVE",
+        "quote": '"',
+        "escape": '"',
+        "multiLine": multi_line,
+        "recursiveFileLookup": True,
+        "pathGlobFilter": "*.csv",
+    }
+    named = spark.read.csv(paths, **options).schema
+    # the reader keeps the text of rows whose number of cells differs from the header's, if it parses all cells
+    with_raw = spark.read.schema(T.StructType([*named, T.StructField(_RAW, T.StringType())]))
+    rows = with_raw.option("columnPruning", False).csv(paths, columnNameOfCorruptRecord=_RAW, **options)
+    surplus = F.size(F.split(_RAW, _CELL_END, -1)) > len(named)
+    refused = F.raise_error(F.concat(F.lit(f"a row has more than {len(named)} cells: "), F.col(_RAW))).cast("boolean")
+    # Spark refuses to read the kept text alone, so the filter names a column of the file as well
+    always = F.coalesce(F.length(exact_column(named[0].name)), F.lit(0)) >= 0
+    return rows.filter(F.when(F.col(_RAW).isNotNull() & surplus, refused).otherwise(always)).drop(_RAW)

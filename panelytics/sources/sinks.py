@@ -26,9 +26,10 @@ def write_panel(df: DataFrame, path: str, cluster_by: Sequence[str] = ()) -> Dat
 def export(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False) -> None:
     """Write a result for other tools: ``parquet``, or ``csv`` with a header and ISO dates.
 
-    ``single_file`` is for results of known small size, such as a ranking.
+    ``single_file`` is for results of known small size, such as a ranking; the rows are worked out in parallel and only
+    then brought together.
     """
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
     if fmt == "parquet":
         out.write.mode("overwrite").parquet(path)
     elif fmt == "csv":

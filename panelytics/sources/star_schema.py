@@ -215,16 +215,12 @@ _stored: dict[tuple[str, str], list[tuple[str, T.StructType]]] = {}
 
 def load_panels(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Panels:
     """Both panels, built from the raw tables on first use in an application (or on ``refresh``) and read back from
-    then on.
-
-    Where no shared folder is configured on a cluster they stay unmaterialised plans over the raw tables.
+    then on. The first use writes them to the workspace.
     """
     key = (spark.conf.get("spark.app.id"), sf_dir)
     if refresh or key not in _stored:
         panels = Panels(build_outcomes(spark, sf_dir), build_program(spark, sf_dir))
         folder = workspace(spark)
-        if folder is None:
-            return panels
         for name, panel in panels._asdict().items():
             write_panel(panel, f"{folder}/{name}")
         _stored[key] = [(f"{folder}/{name}", panel.schema) for name, panel in panels._asdict().items()]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelytics.contract import KEYS
 from panelytics.operators.rank import head
+from panelytics.sources.sinks import write_panel
 
 
 def register(
@@ -36,9 +37,16 @@ def run_sql(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(text.strip().rstrip(";"))
 
 
-def show_sql(spark: SparkSession, title: str, text: str, rows: int = 15) -> DataFrame:
-    """Print ``title`` and the first ``rows`` rows; return the whole result."""
+def show_sql(spark: SparkSession, title: str, text: str, rows: int = 15, store: str | None = None) -> DataFrame:
+    """Print ``title`` and the first ``rows`` rows; return the whole result.
+
+    With ``store`` the result is written there once, and both the preview and the caller read that. Without, the preview
+    runs the query as far as its rows need, and the caller's action runs it again; 0 rows prints the title only.
+    """
     result = run_sql(spark, text)
+    if store is not None:
+        result = write_panel(result, store)
     print(title)
-    head(result, rows).show(rows, truncate=False)
+    if rows:
+        head(result, rows).show(rows, truncate=False)
     return result

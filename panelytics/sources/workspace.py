@@ -1,4 +1,4 @@
-"""A folder for tables written once and read by many queries."""
+"""Folders for tables written once and read by many queries."""
 
 from __future__ import annotations
 
@@ -7,21 +7,24 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_local_folders: dict[str, str] = {}
 
+def workspace(spark: SparkSession) -> str:
+    """A fresh path below the cluster's shared ``spark.checkpoint.dir``; it is removed when the session's JVM ends.
 
-def workspace(spark: SparkSession) -> str | None:
-    """A fresh path below the cluster's shared ``spark.checkpoint.dir``.
-
-    Without that setting: a temporary folder when Spark runs inside this one process, else None, because a
+    Without that setting: a temporary folder when Spark runs inside this one process, else an error, because a
     machine-local folder would not be visible to all executors.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            return None
-        app = spark.conf.get("spark.app.id")
-        if app not in _local_folders:
-            _local_folders[app] = tempfile.mkdtemp(prefix="panelytics-")
-        shared = _local_folders[app]
-    return f"{shared.rstrip('/')}/panelytics-{uuid.uuid4().hex}"
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="panelytics-")
+    folder = f"{shared.rstrip('/')}/panelytics-{uuid.uuid4().hex}"
+    _remove_at_end(spark, folder)
+    return folder
+
+
+def _remove_at_end(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)

@@ -40,7 +40,20 @@ def test_colliding_names_are_refused(spark):
         ("nan", None),
         ("", None),
         ("x", None),
-        ("1/3/20", None),
+        ("1/3/20", dt.date(2020, 1, 3)),
+        ("12/31/21", dt.date(2021, 12, 31)),
+        ("1/3/68", dt.date(2068, 1, 3)),
+        ("1/3/69", dt.date(1969, 1, 3)),
+        ("20200103", dt.date(2020, 1, 3)),
+        ("2020/01/03", dt.date(2020, 1, 3)),
+        ("01-03-2020", dt.date(2020, 1, 3)),
+        ("Jan 3, 2020", dt.date(2020, 1, 3)),
+        ("3 Jan 2020", dt.date(2020, 1, 3)),
+        ("3-Jan-20", dt.date(2020, 1, 3)),
+        ("3-JAN-20", dt.date(2020, 1, 3)),
+        ("January 3, 2020", dt.date(2020, 1, 3)),
+        ("1/3/2020 0:00", dt.date(2020, 1, 3)),
+        ("2020-01-03 00:00:00", dt.date(2020, 1, 3)),
         (None, None),
     ],
 )

@@ -21,7 +21,7 @@ def duck(sf_dir):
     return check_oracle.duck(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.panel_queries()))
 def test_equals_sql(spark, duck, sf_dir, name):
     assert check_oracle.compare(spark, duck, name, sf_dir) is None
 
@@ -31,25 +31,25 @@ def _is_ordered(name):
     return "ORDER BY" in tail
 
 
-@pytest.mark.parametrize("name", [name for name in entry.queries() if _is_ordered(name)])
+@pytest.mark.parametrize("name", [name for name in entry.panel_queries() if _is_ordered(name)])
 def test_rows_come_in_the_order_of_the_sql(spark, duck, sf_dir, name):
-    df = entry.queries()[name](spark, sf_dir)
+    df = entry.panel_queries()[name](spark, sf_dir)
     cursor = duck.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
     assert [tuple(row) for row in df.select(*columns).collect()] == cursor.fetchall()
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.panel_queries()) == set(oracle.oracle_sql())
 
 
 def test_flagship(spark):
     assert entry.entry(spark).count() == 15
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.panel_queries()))
 def test_plans_stay_in_the_engine(spark, sf_dir, plan_of, name):
-    plan = plan_of(entry.queries()[name](spark, sf_dir))
+    plan = plan_of(entry.panel_queries()[name](spark, sf_dir))
     for node in ("EvalPython", "InPandas", "CartesianProduct", "NestedLoop", "SortAggregate"):
         assert node not in plan
 
@@ -66,7 +66,7 @@ def test_filters_and_columns_reach_the_scan(panels, plan_of):
     plan = plan_of(q.entity_peak_days(panels.outcomes, "NATION_15"))
     assert "EqualTo(location,NATION_15)" in plan
     assert re.search(r"ReadSchema: struct<location:string,date:date,new_cases:double,new_deaths:double>", plan)
-    compared = plan_of(q.running_doses(*panels, ["NATION_1", "NATION_5"]))
+    compared = plan_of(q.running_days(q.matched_doses(*panels, "unique"), ["NATION_1", "NATION_5"]))
     assert "In(location, [NATION_1,NATION_5])" in compared and "population" in compared
 
 
@@ -76,8 +76,31 @@ def test_unused_parts_of_a_summary_are_pruned(panels, plan_of):
 
 
 def test_running_doses_sum_once(panels, plan_of):
-    """One window for the running sum and one for the chunk totals; the rate reuses the sum."""
-    assert len(re.findall(r"Window \[", plan_of(q.running_doses(*panels)))) == 2
+    """One window, whose sum the rate reuses; each panel is scanned and joined once."""
+    spark = panels.outcomes.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(q.running_days(q.matched_doses(*panels, "unique")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Window \[", plan)) == 1
+    assert (plan.count("FileScan"), plan.count("SortMergeJoin")) == (2, 1)
+
+
+def test_repeated_keys_are_refused_or_asked_for(panels):
+    twice = panels.outcomes.unionByName(panels.outcomes)
+    with pytest.raises(ValueError, match="repeat a key"):
+        q.running_doses(twice, panels.program)
+    one = q.running_doses(*panels, ["NATION_1"])
+    both = q.running_doses(twice, panels.program, ["NATION_1"], repeated_keys="join")
+    assert both.count() == 2 * one.count()
+
+
+def test_the_profile_reads_each_table_once(panels):
+    df = entry.compare_profiles({"a": panels.outcomes, "b": panels.program})
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 2
 
 
 ROLLUP_SENSITIVE = {
@@ -137,6 +160,9 @@ def test_reports_survive_a_csv_round_trip(spark, panels, tmp_path):
         "daily_totals",
         "matched_peaks",
     ]
+    doses = ["running_doses", "running_doses_compared", "running_doses_tail", "chart_running_lines"]
+    assert run(spark, str(tmp_path / "in"), str(tmp_path / "doses"), only=doses, cluster_by=["location"], **options) == doses
+    assert [p.name for p in (tmp_path / "doses" / "summaries").iterdir()] == ["matched_doses"]
 
 
 def test_repeated_keys_are_refused_on_request(spark, tmp_path):
@@ -162,3 +188,36 @@ def test_missing_required_column_is_named(spark, tmp_path):
 
 def test_rounding_rule_of_the_sql():
     assert oracle.rounded("x", 3) == "CAST(round(CAST(x AS DECIMAL(38,10)), 3) AS DOUBLE)"
+
+
+def _two_panels(folder, dates):
+    from panelytics.contract import OUTCOMES_COLUMNS, PROGRAM_COLUMNS
+
+    fixed = {"iso_code": "X", "continent": "Asia", "location": "Xland", "population": "1000", "new_cases": "10"}
+    fixed |= {"new_deaths": "1", "new_vaccinations": "5"}
+    for name, columns in (("deaths.csv", OUTCOMES_COLUMNS), ("vacc.csv", PROGRAM_COLUMNS)):
+        rows = [",".join((fixed | {"date": date}).get(c, "") for c in columns) for date in dates]
+        (folder / name).write_text("\n".join([",".join(columns), *rows]) + "\n")
+
+
+def test_two_digit_years_answer_questions(spark, tmp_path):
+    from panelytics.plans.workflow import load
+
+    _two_panels(tmp_path, [f"1/{i}/20" for i in range(1, 9)])
+    outcomes, program = load(spark, str(tmp_path))
+    assert q.daily_series(q.daily_totals(outcomes)).count() == 8
+    running = q.running_doses(outcomes, program).collect()
+    assert [r["rolling_vaccination_doses"] for r in running] == [5.0 * i for i in range(1, 9)]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_unread_dates_are_reported_or_refused(spark, tmp_path, stored):
+    from panelytics.plans.workflow import load
+
+    _two_panels(tmp_path, ["1/1/20", "soon", "", "NA"])
+    store = str(tmp_path / "store") if stored else None
+    with pytest.warns(UserWarning, match="covid_deaths: 1 dates .* 'soon'"):
+        outcomes, _ = load(spark, str(tmp_path), store)
+    assert outcomes.filter("date IS NULL").count() == 3
+    with pytest.raises(ValueError, match="soon"):
+        load(spark, str(tmp_path), store, unread_dates="refuse")

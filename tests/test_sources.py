@@ -34,10 +34,12 @@ def test_cells_stay_text_and_quotes_are_doubled(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("A", 'Bonaire, "BES" \\ Saba', "007"), ("B", None, "NA")]
 
 
-def test_all_matches_or_only_the_first(spark, tmp_path):
+def test_one_match_unless_all_or_the_first_are_asked_for(spark, tmp_path):
     _write(tmp_path / "deaths_1.csv", "a,b\n1,2\n")
     _write(tmp_path / "deaths_2.csv", "a,b\n3,4\n")
-    assert read_csv_panel(spark, str(tmp_path), "death").count() == 2
+    with pytest.raises(ValueError, match="deaths_1.csv.*deaths_2.csv"):
+        read_csv_panel(spark, str(tmp_path), "death")
+    assert read_csv_panel(spark, str(tmp_path), "death", all_matches=True).count() == 2
     assert read_csv_panel(spark, str(tmp_path), "death", first_only=True).collect() == [("1", "2")]
 
 
@@ -45,7 +47,18 @@ def test_files_with_other_headers_are_an_error(spark, tmp_path):
     _write(tmp_path / "deaths_1.csv", "a,b\n1,2\n")
     _write(tmp_path / "deaths_2.csv", "b,a\n3,4\n")
     with pytest.raises(Exception, match="(?i)header"):
-        read_csv_panel(spark, str(tmp_path), "death").collect()
+        read_csv_panel(spark, str(tmp_path), "death", all_matches=True).collect()
+
+
+def test_rows_with_surplus_cells_are_refused(spark, tmp_path):
+    _write(tmp_path / "deaths.csv", 'a,b\n1,"2,x"\n3,4,5\n')
+    with pytest.raises(Exception, match="more than 2 cells: 3,4,5"):
+        read_csv_panel(spark, str(tmp_path), "death").select("a").collect()
+
+
+def test_a_folder_of_parts_is_one_match(spark, tmp_path):
+    export(spark.range(10).toDF("a").repartition(3), str(tmp_path / "deaths.csv"), "csv")
+    assert read_csv_panel(spark, str(tmp_path), "death").count() == 10
 
 
 def test_short_rows_are_padded_with_missing(spark, tmp_path):
@@ -72,6 +85,15 @@ def test_show_previews_but_returns_everything(spark, capsys):
     assert "Forty rows" in printed and "|2 " in printed and "|3 " not in printed
 
 
+def test_show_stores_once_or_prints_no_rows(spark, capsys, tmp_path):
+    register(spark.range(40).toDF("x"), "forty")
+    result = show_sql(spark, "Stored", "SELECT x FROM forty", rows=2, store=str(tmp_path / "forty"))
+    assert result.count() == 40 and result.inputFiles()
+    show_sql(spark, "Title", "SELECT x FROM forty", rows=0)
+    printed = capsys.readouterr().out
+    assert "Title" in printed and printed.count("+") == 6
+
+
 def _panel(spark, name):
     rows = [(f"I{i % 7}", dt.date(2021, 1, 1 + i // 7), float(i)) for i in range(140)]
     return spark.createDataFrame(rows, f"iso_code string, date date, {name} double")
@@ -124,23 +146,17 @@ class _Conf:
         return self.settings.get(key, default)
 
 
-def test_workspace_is_the_shared_folder_where_one_is_named():
+def test_workspace_is_the_shared_folder_where_one_is_named(monkeypatch):
+    removed = []
+    monkeypatch.setattr(ws, "_remove_at_end", lambda _, folder: removed.append(folder))
     path = ws.workspace(_Conf(spark_checkpoint_dir="hdfs://shared/cp/", spark_master="yarn"))
-    assert path.startswith("hdfs://shared/cp/panelytics-")
-
+    assert path.startswith("hdfs://shared/cp/panelytics-") and removed == [path]
 
-def test_no_machine_local_workspace_on_a_cluster():
-    assert ws.workspace(_Conf(spark_master="spark://host:7077", spark_app_id="a")) is None
-
-
-def test_panels_without_a_workspace_are_plans_over_the_raw_tables(spark, sf_dir, panels, monkeypatch):
-    from panelytics.sources import star_schema
 
-    monkeypatch.setattr(star_schema, "workspace", lambda _: None)
-    monkeypatch.setattr(star_schema, "_stored", {})
-    for lazy, stored in zip(star_schema.load_panels(spark, sf_dir), panels):
-        assert lazy.schema == stored.schema
-        assert sorted(map(str, lazy.collect())) == sorted(map(str, stored.collect()))
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[2,1,1024]"])
+def test_no_machine_local_workspace_on_a_cluster(master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ws.workspace(_Conf(spark_master=master, spark_app_id="a"))
 
 
 @pytest.mark.parametrize("multi_line", [False, True])
