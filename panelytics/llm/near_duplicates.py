@@ -16,7 +16,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +33,15 @@ REGISTERS, BASE, BAND = 128, 1.001, 4
 BANDS = REGISTERS // BAND
 #: Logarithm of how much less likely the registers may be under enough similarity than under their best one.
 UNLIKELY = 18.0
+#: Further registers, of which a byte each is kept, for pairs that the first can't decide.
+DIGITS = 768
 #: Members that are compared with each other in a task.
 BLOCK, WIDE_BLOCK = 256, 4096
 #: Ids that are broadcast at most when their texts are fetched; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
 
 _FACTORS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
+_FURTHER = mixed(np.arange(1000, 1000 + DIGITS, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(batch: pa.RecordBatch, size: int, column: int = 1) -> Iterator[np.ndarray]:
@@ -79,6 +81,22 @@ def registers(values: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(-np.log(exponential) / math.log(BASE)) + 4000, 0, 65535).astype(np.uint16)
 
 
+def _digits(values: np.ndarray) -> np.ndarray:
+    """Low bytes of DIGITS further registers of a set: more of them for the same room, for pairs near the threshold."""
+    least = np.full(DIGITS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), 128):
+        np.minimum(least, (values[at : at + 128, None] * _FURTHER).min(0), out=least)
+    return (mixed(least) >> np.uint64(56)).astype(np.uint8)
+
+
+def _digits_plausible(equal: np.ndarray, similar: int) -> np.ndarray:
+    """Whether so many equal digits are not too unlikely at the least similarity. Others are equal by chance in 256."""
+    expected = similar / 100 + (1 - similar / 100) / 256
+    share = np.clip(equal / DIGITS, 1e-9, 1 - 1e-9)
+    distance = share * np.log(share / expected) + (1 - share) * np.log((1 - share) / (1 - expected))
+    return (share >= expected) | (DIGITS * distance <= UNLIKELY)
+
+
 def merge(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """The sketch of the union."""
     return np.maximum(one, two)
@@ -195,14 +213,79 @@ def _matrix(held: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(held), np.uint16).reshape(-1, REGISTERS)
 
 
+def _detailed(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, n, registers, digits) of the classes in ``sets``; the digits are the low bytes of further registers."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digits = [_digits(np.frombuffer(own.as_buffer(), np.uint64)).tobytes() for own in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digits, pa.binary())], ["id", "digits"])
+
+    kind = dict(sets.dtypes)["id"]
+    digits = sets.mapInArrow(step, f"id {kind}, digits binary")
+    return stored(digits.join(classes.select("id", "n", "registers"), "id"))
+
+
+def _pairs_across(rows: pa.Table, similar: int) -> pa.RecordBatch:
+    """Plausible pairs (a, b) of the rows, which are sorted by task; of different components, each in the first band
+    that it shares."""
+    column = lambda c: rows.column(c).to_numpy()
+    bands, keys, i, j = (column(c) for c in ("band", "key", "i", "j"))
+    new = np.ones(len(bands), bool)
+    new[1:] = (np.diff(bands) != 0) | (np.diff(keys) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(bands))
+    in_main, block = column("in_main"), column("block")
+    ids, parts, sizes = column("id"), column("component"), column("n")
+    held = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    further = np.frombuffer(b"".join(rows.column("digits").to_pylist()), np.uint8).reshape(-1, DIGITS)
+    by_band = held.view(np.uint64)
+    out_a, out_b = [], []
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def decide() -> None:
+        if not waiting:
+            return
+        x, y = (np.concatenate(side) for side in zip(*waiting, strict=True))
+        waiting.clear()
+        for at in range(0, len(x), 20_000):
+            a, b = x[at : at + 20_000], y[at : at + 20_000]
+            kept = (by_band[a] == by_band[b]).argmax(1) == bands[a]
+            a, b = a[kept], b[kept]
+            kept = plausible(held[a], held[b], sizes[a], sizes[b], similar)
+            a, b = a[kept], b[kept]
+            kept = _digits_plausible((further[a] == further[b]).sum(1), similar)
+            out_a.append(np.minimum(ids[a[kept]], ids[b[kept]]))
+            out_b.append(np.maximum(ids[a[kept]], ids[b[kept]]))
+
+    due = 0
+    for start, end in zip(starts, ends, strict=True):
+        own = np.arange(start, end)
+        small = own[~in_main[own]]
+        first = small[block[small] == i[start]]
+        second = own[in_main[own]] if j[start] < 0 else small[block[small] == j[start]]
+        x, y = np.repeat(first, len(second)), np.tile(second, len(first))
+        kept = parts[x] != parts[y]
+        if j[start] == i[start]:
+            kept &= x < y
+        waiting.append((x[kept], y[kept]))
+        due += kept.sum()
+        if due > 200_000:
+            decide()
+            due = 0
+    decide()
+    none = np.zeros(0, ids.dtype)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *side])) for side in (out_a, out_b)], ["a", "b"])
+
+
 def _across(members: DataFrame, similar: int) -> DataFrame:
     """Plausible pairs (a, b) of members of one bucket that lie in different components.
 
     The largest component of a bucket is only compared with the other members, not with itself; both are dealt out in
-    blocks, and a task compares two blocks.
+    blocks, and a task's unit of work is two blocks, so its memory is bounded.
     """
     held = members.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    buckets = (
+    buckets = stored(
         held.groupBy("band", "key")
         .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts"))
         .where("parts > 1")
@@ -219,42 +302,44 @@ def _across(members: DataFrame, similar: int) -> DataFrame:
     rows = rows.withColumn(
         "block", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("n_wide")).otherwise(F.col("n_blocks"))).cast("int")
     )
-    # a task's name: (small block, other block), the others being small blocks from 0 on and wide blocks from -1 down
+    # a unit's name: (small block, other block), the others being small blocks from 0 on and wide blocks from -1 down
     others = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     wides = F.transform(F.sequence(F.lit(0), F.col("n_wide") - 1), lambda j: F.struct(F.col("block").alias("i"), (-1 - j).alias("j")))
     small = F.transform(others, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     mains = F.transform(others, lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j")))
-    dealt = rows.withColumn("task", F.explode(F.when(F.col("in_main"), mains).otherwise(F.concat(small, wides)))).select(
-        "band", "key", "task.i", "task.j", "id", "component", "n", "registers", "in_main", "block"
+    unit = ["band", "key", "i", "j"]
+    dealt = (
+        rows.withColumn("unit", F.explode(F.when(F.col("in_main"), mains).otherwise(F.concat(small, wides))))
+        .select("band", "key", "unit.i", "unit.j", "id", "component", "n", "registers", "digits", "in_main", "block")
+        .repartition(*unit)
+        .sortWithinPartitions(*unit)
     )
 
-    def compare(own: pd.DataFrame) -> pd.DataFrame:
-        first = own[~own["in_main"] & (own["block"] == own["i"])]
-        second = own[own["in_main"]] if own["j"].iloc[0] < 0 else own[~own["in_main"] & (own["block"] == own["j"])]
-        out = []
-        if len(first) and len(second):
-            theirs, sizes = _matrix(list(second["registers"])), second["n"].to_numpy()
-            ids, parts = second["id"].to_numpy(), second["component"].to_numpy()
-            for a, part, n, held in zip(first["id"], first["component"], first["n"], first["registers"], strict=True):
-                kept = parts != part
-                kept[kept] = plausible(
-                    np.broadcast_to(np.frombuffer(held, np.uint16), (kept.sum(), REGISTERS)),
-                    theirs[kept],
-                    np.full(kept.sum(), n),
-                    sizes[kept],
-                    similar,
-                )
-                out.extend((min(a, b), max(a, b)) for b in ids[kept])
-        return pd.DataFrame(out, columns=["a", "b"], dtype=own["id"].dtype)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None  # rows of a unit that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([left, rows]) if left is not None else rows
+            names = [rows.column(c).to_numpy() for c in unit]
+            same = np.logical_and.reduce([n == n[-1] for n in names])
+            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if last:
+                yield _pairs_across(rows.slice(0, last), similar)
+            left = rows.slice(last)
+        if left is not None:
+            yield _pairs_across(left, similar)
 
     kind = dict(members.dtypes)["id"]
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def class_components(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame:
     """(id, component) of the classes that are linked with others. ``classes``: id, n, registers; ids are doc_ids."""
     buckets = _buckets(classes)
     leaders = buckets.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    leaders = stored(leaders)
     shared = stored(buckets.join(leaders, ["band", "key"]))
     pairs = stored(_sketched(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), classes, similar))
     ids = shared.select("id").distinct()
@@ -272,8 +357,10 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, similar: in
         .where("low <> high")
         .select("band", "key")
     )
-    members = members.join(several, ["band", "key"], "left_semi").join(classes.select("id", "n", "registers"), "id")
-    further = stored(_across(stored(members), similar).join(pairs, ["a", "b"], "left_anti"))
+    members = stored(members.join(stored(several), ["band", "key"], "left_semi"))
+    open_sets = sets.join(stored(members.select("id").distinct()), "id", "left_semi")
+    detailed = members.join(_detailed(open_sets, classes), "id")
+    further = stored(_across(detailed, similar).join(pairs, ["a", "b"], "left_anti"))
     more = stored(_confirmed(further, sets, similar))
     if more.isEmpty():
         return known
