@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import chain
+import os
 
 import numpy as np
 import public_tokenizers
@@ -26,8 +26,9 @@ class ChunkTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each
         self._tokenizer = Tokenizer.from_file(path)
-        self._kept: dict[str, list[int]] = {}
+        self._kept: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> ChunkTokenizer:
@@ -42,8 +43,12 @@ class ChunkTokenizer:
         kept = self._kept
         if len(kept) > MOST_KEPT:
             kept.clear()
-        if new := {c for c in chunks if c not in kept}:
-            new = list(new)
-            for chunk, encoding in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                kept[chunk] = encoding.ids
-        return np.fromiter(chain.from_iterable(map(kept.__getitem__, chunks)), np.uint32)
+        if new := list({c for c in chunks if c not in kept}):
+            # one call for all of them; a token belongs to the piece in which it starts
+            encoding = self._tokenizer.encode(" ".join(new), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(c) + 1 for c in new)])
+            bounds = np.searchsorted([first for first, _ in encoding.offsets], starts).tolist()
+            ids = np.array(encoding.ids, "<u4")
+            for chunk, first, last in zip(new, bounds[:-1], bounds[1:], strict=True):
+                kept[chunk] = ids[first:last].tobytes()
+        return np.frombuffer(b"".join(map(kept.__getitem__, chunks)), "<u4")
