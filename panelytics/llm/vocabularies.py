@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
+from array import array
 
 import numpy as np
 import public_tokenizers
+import regex
 
 #: Files of the tokenizers; any other path can be given.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,17 +22,28 @@ MOST_KEPT = 400_000
 class ChunkTokenizer:
     """A tokenizer that drops white space, so that the ids of a text are those of its pieces between blanks.
 
-    Ids of pieces are kept while there are fewer than MOST_KEPT; then the memory starts anew. Results don't depend on it.
+    The tokenizer in turn cuts a piece into words, numbers and signs by a pattern of its file, and the ids of each are
+    its own. Ids of pieces and of their parts are kept while there are fewer than MOST_KEPT; then the memory starts
+    anew. Results don't depend on it.
     """
 
     _loaded: dict[str, ChunkTokenizer] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each
         self._tokenizer = Tokenizer.from_file(path)
         self._kept: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            first = json.load(file)["pre_tokenizer"]["pretokenizers"][0]
+        if (first["type"], first["behavior"], first["invert"]) != ("Split", "Removed", True):
+            raise ValueError(f"{path} doesn't cut texts by a pattern of parts that it keeps")
+        self._model = self._tokenizer.model
+        self._named = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self._find = regex.compile(first["pattern"]["Regex"]).findall
 
     @classmethod
     def of(cls, path: str) -> ChunkTokenizer:
@@ -37,18 +52,44 @@ class ChunkTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _parts_of(self, chunk: str) -> list[str] | None:
+        """The parts of a piece; None where lower case or composition could depend on neighbours."""
+        low = chunk.lower()
+        if not chunk.isascii() and (
+            len(low) != len(chunk) or "Σ" in chunk or not unicodedata.is_normalized("NFC", chunk)
+        ):
+            return None
+        return None if "<|" in chunk else self._find(low)
+
+    def _encode(self, chunk: str) -> bytes:
+        """Ids of a text without blanks."""
+        own = self._parts_of(chunk)
+        if own is None:
+            return array("I", self._tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        parts, out = self._parts, []
+        for part in own:
+            ids = parts.get(part)
+            if ids is None:
+                # signs in print are their own bytes' names; others are named by the byte-level step
+                plain = part if part.isascii() and part.isprintable() else self._named(part)[0][0]
+                ids = parts[part] = array("I", [t.id for t in self._model.tokenize(plain)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
     def ids(self, text: str) -> np.ndarray:
         """The ids of the whole text, without special tokens around it."""
         chunks = text.replace("\n", " ").split(" ")
         kept = self._kept
-        if len(kept) > MOST_KEPT:
-            kept.clear()
-        if new := list({c for c in chunks if c not in kept}):
-            # one call for all of them; a token belongs to the piece in which it starts
-            encoding = self._tokenizer.encode(" ".join(new), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(c) + 1 for c in new)])
-            bounds = np.searchsorted([first for first, _ in encoding.offsets], starts).tolist()
-            ids = np.array(encoding.ids, "<u4")
-            for chunk, first, last in zip(new, bounds[:-1], bounds[1:], strict=True):
-                kept[chunk] = ids[first:last].tobytes()
-        return np.frombuffer(b"".join(map(kept.__getitem__, chunks)), "<u4")
+        for memory in (kept, self._parts):
+            if len(memory) > MOST_KEPT:
+                memory.clear()
+        found = list(map(kept.get, chunks))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    chunk = chunks[i]
+                    ids = kept.get(chunk)
+                    if ids is None:
+                        ids = kept[chunk] = self._encode(chunk)
+                    found[i] = ids
+        return np.frombuffer(b"".join(found), np.uint32)
