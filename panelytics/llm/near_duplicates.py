@@ -33,8 +33,9 @@ REGISTERS, BASE, BAND = 128, 1.001, 4
 BANDS = REGISTERS // BAND
 #: Logarithm of how much less likely the registers may be under enough similarity than under their best one.
 UNLIKELY = 18.0
-#: Further registers, of which a byte each is kept, for pairs that the first can't decide.
-DIGITS = 768
+#: Further registers, of which a byte each is kept, for pairs that the first can't decide, and the logarithm as above
+#: for them: a pair of similarity 0.8 is refused with probability 5e-7.
+DIGITS, UNLIKELY_DIGITS = 1280, 12.0
 #: Members that are compared with each other in a task.
 BLOCK, WIDE_BLOCK = 256, 4096
 #: Ids that are broadcast at most when their texts are fetched; more are joined by a shuffle.
@@ -94,7 +95,7 @@ def _digits_plausible(equal: np.ndarray, similar: int) -> np.ndarray:
     expected = similar / 100 + (1 - similar / 100) / 256
     share = np.clip(equal / DIGITS, 1e-9, 1 - 1e-9)
     distance = share * np.log(share / expected) + (1 - share) * np.log((1 - share) / (1 - expected))
-    return (share >= expected) | (DIGITS * distance <= UNLIKELY)
+    return (share >= expected) | (DIGITS * distance <= UNLIKELY_DIGITS)
 
 
 def merge(one: np.ndarray, two: np.ndarray) -> np.ndarray:
