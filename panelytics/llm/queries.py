@@ -12,6 +12,7 @@ from panelytics.llm import (
     html_text,
     language_id,
     near_duplicates,
+    oracle,
     packing,
     secret_scans,
     suffix_dedup,
@@ -43,4 +44,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
