@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once. A longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Rows with texts that go to Python at once.
+ROWS_AT_ONCE = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def in_batches(rows: DataFrame, step: Step, schema) -> DataFrame:
+    """``rows.mapInArrow`` for rows with texts: few rows at a time (this sets the session's Arrow batch to ROWS_AT_ONCE
+    if it is larger), and a worker gives memory back when its task ends, as the next one may need another step."""
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS_SETTING)) <= ROWS_AT_ONCE:
+        conf.set(_ROWS_SETTING, str(ROWS_AT_ONCE))
+
+    @wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
+
+    return rows.mapInArrow(run, schema)
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

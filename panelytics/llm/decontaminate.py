@@ -8,7 +8,6 @@ each match is confirmed on its bytes. The benchmark goes to the tasks in blocks
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelytics.llm.batches import LOWER, Words, byte_table, text_bytes, text_chunks, window_hashes, words_of
+from panelytics.llm.batches import LOWER, Words, byte_table, in_batches, text_bytes, text_chunks, window_hashes, words_of
 
 #: Words are runs of digits, letters a-z and every byte of a character beyond ASCII.
 IN_WORD = byte_table((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -181,7 +180,7 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     context = docs.sparkSession.sparkContext
     blocks = list(_block_broadcasts(context, items, window)) or [context.broadcast(block_of([], window))]
     for block in blocks:
-        out = out.mapInArrow(search(block), schema)
+        out = in_batches(out, search(block), schema)
     return out
 
 

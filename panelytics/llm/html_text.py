@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from panelytics.llm.batches import in_batches
+
 # Names of the page language, by what they mean for the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content isn't markup.
@@ -278,4 +280,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], *fields])
-    return pages.select("page_id", "url", "html").mapInArrow(step, schema)
+    return in_batches(pages.select("page_id", "url", "html"), step, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelytics.llm.batches import text_chunks
+from panelytics.llm.batches import in_batches, text_chunks
 
 #: What a text gets that is null or has no letter.
 UNKNOWN = "und"
@@ -41,13 +41,13 @@ def training_rows(docs: DataFrame, may_learn: Column | None = None, rows: int =
     no more than a dictionary holds is fetched."""
     some = F.col("lang").isNotNull() & F.col("text").isNotNull()
     labelled = docs.where(some if may_learn is None else some & may_learn)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        labelled.select("lang", "doc_id")
-        .withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= rows)
-        .select("lang", "doc_id")
-    )
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    dealt = labelled.select("lang", "doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(64)).alias("deal"))
+    chosen = dealt
+    for parts in (["lang", "deal"], ["lang"]):  # first in shares, so that a language's rows don't meet in one task
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
+        chosen = chosen.withColumn("_n", place).where(F.col("_n") <= rows).select("lang", "doc_id", "deal")
+    chosen = chosen.select("lang", "doc_id")
     sample = labelled.select("lang", "doc_id", F.substring("text", 1, DICTIONARY_BYTES).alias("text"))
     # MOST_LANGUAGES x SAMPLE_ROWS ids at most
     return sample.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], narrow: float = NARROW)
             T.StructField("rejected", T.BooleanType()),
         ]
     )
-    return docs.select("doc_id", "text").mapInArrow(step, schema)
+    return in_batches(docs.select("doc_id", "text"), step, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelytics.llm.batches import byte_table, mixed, text_bytes, text_chunks, window_hashes, words_of
+from panelytics.llm.batches import byte_table, in_batches, mixed, text_bytes, text_chunks, window_hashes, words_of
 from panelytics.llm.components import components
 from panelytics.llm.storage import stored
 
@@ -148,7 +148,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([chunk.column(0), *columns], ["doc_id", "n", "set", "registers"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(step, f"doc_id {kind}, n long, set binary, registers binary")
+    return in_batches(docs.select("doc_id", "text"), step, f"doc_id {kind}, n long, set binary, registers binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _hashed_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([chunk.column(0), sets], ["id", "set"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(step, f"id {kind}, set binary")
+    return in_batches(rows, step, f"id {kind}, set binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     kind = dict(pairs.dtypes)["a"]
-    return pairs.join(a, "a").join(b, "b").mapInArrow(step, f"a {kind}, b {kind}")
+    return in_batches(pairs.join(a, "a").join(b, "b"), step, f"a {kind}, b {kind}")
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _sketched(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(plausible(r_a, r_b, n_a, n_b, similar)))
 
     kind = dict(pairs.dtypes)["a"]
-    return pairs.join(a, "a").join(b, "b").mapInArrow(step, f"a {kind}, b {kind}")
+    return in_batches(pairs.join(a, "a").join(b, "b"), step, f"a {kind}, b {kind}")
 
 
 def _matrix(held: list[bytes]) -> np.ndarray:
@@ -223,7 +223,7 @@ def _detailed(sets: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digits, pa.binary())], ["id", "digits"])
 
     kind = dict(sets.dtypes)["id"]
-    digits = sets.mapInArrow(step, f"id {kind}, digits binary")
+    digits = in_batches(sets, step, f"id {kind}, digits binary")
     return stored(digits.join(classes.select("id", "n", "registers"), "id"))
 
 
@@ -249,8 +249,8 @@ def _pairs_across(rows: pa.Table, similar: int) -> pa.RecordBatch:
             return
         x, y = (np.concatenate(side) for side in zip(*waiting, strict=True))
         waiting.clear()
-        for at in range(0, len(x), 20_000):
-            a, b = x[at : at + 20_000], y[at : at + 20_000]
+        for at in range(0, len(x), 5_000):
+            a, b = x[at : at + 5_000], y[at : at + 5_000]
             kept = (by_band[a] == by_band[b]).argmax(1) == bands[a]
             a, b = a[kept], b[kept]
             kept = plausible(held[a], held[b], sizes[a], sizes[b], similar)
@@ -333,7 +333,7 @@ def _across(members: DataFrame, similar: int) -> DataFrame:
             yield _pairs_across(left, similar)
 
     kind = dict(members.dtypes)["id"]
-    return dealt.mapInArrow(compare, f"a {kind}, b {kind}")
+    return in_batches(dealt, compare, f"a {kind}, b {kind}")
 
 
 def class_components(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame:

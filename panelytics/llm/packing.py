@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelytics.llm.batches import in_batches
 from panelytics.llm.storage import stored
 from panelytics.llm.vocabularies import WORD_BPE, ChunkTokenizer
 
@@ -92,11 +93,11 @@ def pieces_of(docs: DataFrame, tokenizer_path: str = WORD_BPE, size: int = SEQUE
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank"]
             yield pa.RecordBatch.from_arrays([ids_of.take(pa.array(docs_of, pa.int64())), *columns], names)
+        encode.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, _part long, _rank long"
-    )
+    schema = f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, _part long, _rank long"
+    return in_batches(docs.select("doc_id", "text"), cut, schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str = WORD_BPE, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelytics.llm.anchors import NAME_BYTES, SEGMENT_BYTES, Hashes, Samples, sampled
-from panelytics.llm.batches import text_bytes, text_chunks
+from panelytics.llm.batches import in_batches, text_bytes, text_chunks
 from panelytics.llm.storage import stored
 
 #: Bytes of a repeated string.
@@ -87,7 +87,7 @@ def samples_of(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["name", "context", "doc_id", "packed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(step, f"name long, context long, doc_id {kind}, packed long")
+    return in_batches(docs.select("doc_id", "text"), step, f"name long, context long, doc_id {kind}, packed long")
 
 
 def _with_texts(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -132,7 +132,8 @@ def _contexts_with_bytes(docs: DataFrame, contexts: DataFrame, length: int) -> D
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), block]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    return rows.mapInArrow(
+    return in_batches(
+        rows,
         step,
         "name long, context long, single boolean, near long, far long, bytes binary,"
         " blocks array<struct<block:long,inner:long,outer:long>>",
@@ -163,7 +164,7 @@ def _strings_of(contexts: DataFrame, length: int) -> DataFrame:
                     ["name", "context", "single", "distance", "string"],
                 )
 
-    return contexts.mapInArrow(step, "name long, context long, single boolean, distance long, string long")
+    return in_batches(contexts, step, "name long, context long, single boolean, distance long, string long")
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
@@ -269,7 +270,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     schema = T.StructType(
         [T.StructField("doc_id", kind), *T._parse_datatype_string("n_bytes long, spans array<struct<start:long,end:long>>, kept binary")]
     )
-    return rows.mapInArrow(step, schema)
+    return in_batches(rows, step, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelytics.llm.batches import in_batches
 from panelytics.llm.vocabularies import BYTE_BPE
 
 
@@ -104,7 +105,7 @@ def count_tokens(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     fields = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_sections", "n_crossing")]
     sections = T.StructField("section_tokens", T.ArrayType(T.LongType()))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *fields, sections])
-    return docs.select("doc_id", "text").mapInArrow(step, schema)
+    return in_batches(docs.select("doc_id", "text"), step, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 #: Distinct pieces of text whose ids a task keeps.
-MOST_KEPT = 400_000
+MOST_KEPT = 250_000
 
 
 class ChunkTokenizer:
@@ -52,6 +52,11 @@ class ChunkTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def forget(self) -> None:
+        """Drop the kept ids: a worker goes on with other tasks."""
+        self._kept.clear()
+        self._parts.clear()
+
     def _parts_of(self, chunk: str) -> list[str] | None:
         """The parts of a piece; None where lower case or composition could depend on neighbours."""
         low = chunk.lower()
