@@ -11,12 +11,16 @@ from panelytics.llm.storage import stored
 
 
 class Kind(NamedTuple):
-    """A pattern; ``group`` is the secret itself and has at least ``least`` characters, or the match is dropped."""
+    """A pattern; ``group`` is the secret itself and has at least ``least`` characters, or the match is dropped.
+
+    ``noise`` matches what differs between copies of one secret; if anything else is left, that is the value counted.
+    """
 
     name: str
     pattern: str
     group: int
     least: int
+    noise: str | None = None
 
 
 # Patterns and least lengths of the base kinds. A run of hex digits or of an access key is matched
@@ -27,6 +31,22 @@ BASE_KINDS = (
     Kind("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     Kind("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+# A private key's block. Loops run over single characters only (no groups, which Java's engine recurses on) and stop at
+# dashes, so any length matches in linear time. Without an END line the key goes on to the last long run of base64 and the
+# line after it; a header without a key is a match of its own.
+_PEM_BEGIN = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+_PEM_BETWEEN = r"""\x09-\x0D\x20\\"'>#*|,;"""
+_PEM_ENCRYPTED = (
+    rf"""(?:[{_PEM_BETWEEN}nrt]*Proc-Type:\x20*[0-9],ENCRYPTED[{_PEM_BETWEEN}nrt]*DEK-Info:\x20*[A-Za-z0-9-]+,[0-9A-Fa-f]+)?"""
+)
+PEM = (
+    rf"{_PEM_BEGIN}(?:{_PEM_ENCRYPTED}[A-Za-z0-9+/={_PEM_BETWEEN}.:]*-----END [A-Z ]{{0,40}}PRIVATE KEY-----"
+    rf"|{_PEM_ENCRYPTED}[A-Za-z0-9+/={_PEM_BETWEEN}]*[A-Za-z0-9+/]{{16,}}={{0,2}}(?:(?:\r?\n|\\n)[\x20\x09]*[A-Za-z0-9+/]+={{0,2}})?)?"
+)
+PEM_NOISE = (
+    r"-----(?:BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----|Proc-Type:\x20*[0-9],ENCRYPTED|DEK-Info:\x20*[A-Za-z0-9-]+,[0-9A-Fa-f]+"
+    r"""|\\[nrt]|["'][\s+.]*["']|[^A-Za-z0-9+/=]"""
+)
 #: Formats of issued credentials that the base kinds miss or cut.
 FURTHER_KINDS = (
     Kind(
@@ -36,7 +56,7 @@ FURTHER_KINDS = (
         0,
         20,
     ),
-    Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 20),
+    Kind("pem", PEM, 0, 20, PEM_NOISE),
 )
 KINDS = BASE_KINDS + FURTHER_KINDS
 
@@ -55,8 +75,12 @@ def _found(text: Column, kind: Kind, order: int) -> Column:
     def step(so_far: Column, part: Column) -> Column:
         start = so_far["at"] + part["gap"]
         end = start + F.length(part["whole"])
+        value = part["secret"]
+        if kind.noise:
+            bare = F.regexp_replace(value, kind.noise, "")
+            value = F.when(bare != "", bare).otherwise(value)
         span = F.struct(
-            start.alias("start"), F.lit(order).alias("kind_no"), end.alias("end"), F.sha2(part["secret"], 256).alias("value")
+            start.alias("start"), F.lit(order).alias("kind_no"), end.alias("end"), F.sha2(value, 256).alias("value")
         )
         return F.struct(
             end.alias("at"),

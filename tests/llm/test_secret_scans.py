@@ -88,3 +88,38 @@ def test_only_built_in_functions(secrets, plan_of):
 def test_empty_table(secrets):
     df, _ = secrets
     assert ss.report(df.limit(0)).collect() == [] and ss.redact(df.limit(0)).collect() == []
+
+
+BODIES = ["".join(f"{c}{i:03d}QmFzZTY0/+" for i in range(30)) + "Zm9=" for c in "abcdefg"]
+
+
+def pem(body, kind="RSA ", width=64, end=True, new="\n", before=""):
+    lines = [body[i : i + width] for i in range(0, len(body), width)]
+    last = f"{new}{before}-----END {kind}PRIVATE KEY-----" if end else ""
+    return f"-----BEGIN {kind}PRIVATE KEY-----{new}" + new.join(before + line for line in lines) + last
+
+
+def test_private_keys_are_told_apart_and_replaced_whole(spark):
+    encrypted = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    texts = [(f"s{i}", f"my key {pem(b)} ok") for i, b in enumerate(BODIES[:4])]  # a key for each of four owners
+    texts += [("s4", f"cut {pem(BODIES[4], end=False)}\n\nNext, prose."), ("s5", f"x='{pem(BODIES[5], '', 70, True, chr(92) + 'n')}';")]
+    texts.append(("s6", pem(encrypted + BODIES[6], width=10**6)))
+    copies = [pem(BODIES[0].upper()), pem(BODIES[0].upper(), new="\r\n", before="    "), pem(BODIES[0].upper(), width=76, end=False)]
+    texts += [(f"t{i}", copy) for i, copy in enumerate(copies)]  # one example, laid out in three ways
+    texts.append(("u", "-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD" * 16 + ("\n" + "QUJD" * 16) * 40_000))
+    df = spark.createDataFrame([(i, t, o) for i, (o, t) in enumerate(texts)], "doc_id long, text string, source string")
+    spans = {r["doc_id"]: [s for s in r["spans"] if s["kind_no"] == 4] for r in ss.classify(df).collect()}
+    assert [[s["live"] for s in spans[i]] for i in range(11)] == [[True]] * 7 + [[False]] * 3 + [[True]]
+    assert spans[0][0]["value"] == hashlib.sha256(BODIES[0].encode()).hexdigest()
+    got = {r["doc_id"]: r["text"] for r in ss.redact(df).collect()}
+    assert [got[i] for i in range(4)] == ["my key [SECRET] ok"] * 4
+    assert got[4] == "cut [SECRET]\n\nNext, prose." and got[5] == "x='[SECRET]';" and got[6] == got[10] == "[SECRET]"
+    assert [got[7 + i] for i in range(3)] == copies
+
+
+def test_private_keys_match_as_in_sql():
+    duckdb = pytest.importorskip("duckdb")
+    texts = [pem(BODIES[0]), pem(BODIES[1], end=False) + "\nab cd", TEXTS[8], pem(BODIES[2], new="\\n"), pem("", "EC "), pem("...")]
+    for text in texts:
+        got = duckdb.execute("SELECT regexp_extract_all(?, ?)", [f"{text} x {text}", ss.PEM]).fetchone()[0]
+        assert got == [m[0] for m in re.finditer(ss.PEM, f"{text} x {text}")] and len(got) == 2
