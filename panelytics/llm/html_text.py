@@ -27,16 +27,25 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small"
     " span strike strong sub sup time tt u var wbr".split()
 )
-#: Elements that are never main text.
-OUTSIDE = frozenset("head nav header footer aside form button input menu dialog figure noscript fieldset".split())
-#: Roles and words in class or id that mark what isn't main text.
+#: Elements of the page's frame.
+OUTSIDE = frozenset("head nav header footer aside form button input menu dialog noscript fieldset".split())
+#: Of these, some are also put around whole pages.
+WRAPPERS = frozenset("header form fieldset".split())
+#: Roles and class or id tokens that mark the frame. A token counts as a whole: all its parts between hyphens are words
+#: of the frame or say which one (site-header), so has-sidebar or no-comments isn't one.
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-OUTSIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu"
-    r"|breadcrumb|breadcrumbs|sidebar|side-bar|aside|footer|header|masthead|cookie|cookies|consent|notice|notices|gdpr|popup"
-    r"|modal|newsletter|subscribe|signup|login|search|comment|comments|disqus|replies|respond|related|recommended|share"
-    r"|sharing|social|widget|toolbar|pagination|pager|skip|legal|copyright)(?:$|[\s_-])"
+OUTSIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb"
+    " breadcrumbs sidebar aside footer header masthead cookie cookies consent notice notices gdpr popup modal newsletter"
+    " subscribe signup login search comment comments disqus replies respond related recommended share sharing social widget"
+    " toolbar pagination pager skip legal copyright".split()
 )
+QUALIFIERS = frozenset(
+    "site page main global top bottom left right primary secondary side box bar container block area section list links link"
+    " button buttons form unit slot inner outer thread wrap wrapper".split()
+)
+#: What a head holds; any other element ends it.
+IN_HEAD = frozenset("meta link base basefont bgsound noscript".split())
 #: Elements that an opening tag of the key closes, if one is open above it in the same container.
 CLOSED_BY = {
     "li": ("li",),
@@ -66,37 +75,88 @@ _MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"(
 class Node:
     """An element that begins a block: its parts are texts and other nodes, in page order."""
 
-    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "gathered")
+    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "gathered", "frame", "closed")
 
-    def __init__(self, name: str, parent: Node | None):
+    def __init__(self, name: str, parent: Node | None, frame: str = ""):
         self.name, self.parent = name, parent
+        self.frame, self.closed = frame, False  # "" or how the element is marked as frame; whether its own tag closed it
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.gathered = 0.0
 
 
-def _is_outside(name: str, attrs: str) -> bool:
+def _is_frame_token(token: str) -> bool:
+    parts = re.split("[-_]+", token)
+    return not OUTSIDE_WORDS.isdisjoint(parts) and all(part in OUTSIDE_WORDS or part in QUALIFIERS for part in parts)
+
+
+def _frame_mark(name: str, attrs: str) -> str:
+    """Whether the element is marked as the page's frame: "surely", "likely" (a wrapper may be, too), or not ("")."""
     if name in OUTSIDE:
-        return True
+        return "likely" if name in WRAPPERS else "surely"
     if name in ("body", "html", "article", "main") or not attrs:
-        return False
+        return ""
+    found = ""
     for mark, *values in _MARKS.findall(attrs):
         mark, value = mark.lower(), "".join(values).lower()
-        if mark in ("class", "id") and OUTSIDE_WORDS.search(value):
-            return True
         if mark == "role" and value in OUTSIDE_ROLES or mark == "hidden" or mark == "aria-hidden" and value == "true":
+            return "surely"
+        if mark in ("class", "id") and any(map(_is_frame_token, value.split())):
+            found = "likely"
+    return found
+
+
+def _without_frame(root: Node) -> None:
+    """Cuts the elements marked as frame, but for those that hold the page's main part.
+
+    An element with a <main> stays; one with articles stays if they are most of the page's text, or if it isn't surely
+    frame and they are most of all articles, or if only a missing close tag put them into it. Where no article or main
+    is elsewhere, an element that isn't surely frame also stays with most of the page's text. Density decides on these.
+    """
+    nodes = _in_order(root)
+    chars = {id(n): 0 if n.name == "head" else n.chars for n in nodes}
+    articles, mains = dict.fromkeys(chars, 0), dict.fromkeys(chars, False)
+    for node in reversed(nodes):
+        own = id(node)
+        if node.name in ("article", "main"):
+            articles[own] = chars[own]
+            mains[own] |= node.name == "main"
+        if node.parent:
+            above = id(node.parent)
+            chars[above] += chars[own]
+            articles[above] += articles[own]
+            mains[above] |= mains[own]
+    page, in_articles, page_has_main = chars[id(root)], articles[id(root)], mains[id(root)]
+
+    def stays(node: Node) -> bool:
+        own = id(node)
+        if mains[own] or articles[own] and (not node.closed or 2 * articles[own] > page):
             return True
-    return False
+        if node.frame == "surely":
+            return False
+        if articles[own]:
+            return not page_has_main and 2 * articles[own] > in_articles
+        return not page_has_main and not in_articles and 2 * chars[own] > page
+
+    for node in nodes:  # parents first
+        parts: list[str | Node] = []
+        for part in node.parts:
+            if isinstance(part, str) or not part.frame:
+                parts.append(part)
+            elif stays(part):
+                part.frame = ""
+                parts.append(part)
+        node.parts = parts
 
 
 def tree_of(page: str) -> Node:
-    """The page's blocks, without what is never main text. Inline elements only count as tags, links also as such."""
+    """The page's blocks, without its frame. Inline elements only count as tags, links also as such."""
     root = node = Node("html", None)
-    outside: list[str] = []  # open elements from the first that isn't main text on
     in_link, at = False, 0
+    inline_frames: dict[int, int] = {}  # inline elements marked as frame: how many of their name are open in them
 
     def add(text: str) -> None:
-        if outside or not text:
+        if not text:
             return
         text = html.unescape(text)
         node.parts.append(text)
@@ -105,52 +165,66 @@ def tree_of(page: str) -> Node:
         if in_link:
             node.link_chars += size
 
+    def enclosing(name: str) -> Node | None:
+        above = node
+        while above and above.name != name:
+            above = above.parent
+        return above
+
+    def out_of_frames() -> Node:
+        above, out = node, node
+        while above:
+            if above.frame:
+                out = above.parent
+            above = above.parent
+        return out
+
     for token in _TOKEN.finditer(page):
         add(page[at : token.start()])
         at = token.end()
         name = (token["name"] or "").lower()
         if not name:
             continue
-        if outside:
-            if token["close"]:
-                if name in outside:
-                    while outside.pop() != name:
-                        pass
-                elif name in ("body", "html"):
-                    outside.clear()
-            elif name in ("article", "main") and "head" in outside or name == "body":
-                outside.clear()
-            elif name not in VOID and not token["attrs"].endswith("/"):
-                outside.append(name)
-            if outside or name not in ("body", "article", "main") or token["close"]:
-                continue
         if token["close"]:
             if name == "a":
                 in_link = False
             if name in INLINE:
+                above = enclosing(name) if inline_frames else None
+                if above:
+                    inline_frames[id(above)] -= 1
+                    if not inline_frames[id(above)]:
+                        above.closed = True
+                        node = above.parent
                 continue
-            above = node
-            while above and above.name != name:
-                above = above.parent
+            above = enclosing(name)
             if above and above.parent:
+                above.closed = True
                 node, in_link = above.parent, False
+            elif name in ("body", "html"):
+                node = out_of_frames()
             continue
+        if node.name == "head" and name not in IN_HEAD:
+            node = node.parent
+        if name == "body":
+            node = out_of_frames()
+        frame = _frame_mark(name, token["attrs"])
         if name in INLINE:
+            if inline_frames and (above := enclosing(name)) and name not in VOID:
+                inline_frames[id(above)] += 1
+            elif frame and name not in VOID:
+                child = Node(name, node, frame)
+                node.parts.append(child)
+                node = child
+                inline_frames[id(child)] = 1
+                continue
             node.tags += 1
             if name == "a":
                 in_link = True
                 node.link_tags += 1
-            elif name in ("br", "img", "wbr"):
-                if name == "br":
-                    add(" ")
-            elif _is_outside(name, token["attrs"]):
-                outside.append(name)
+            elif name == "br":
+                add(" ")
             continue
-        if _is_outside(name, token["attrs"]):
-            if name in CLOSES_P and node.name == "p":
-                node = node.parent
-            if name not in VOID:
-                outside.append(name)
+        if frame and name in VOID:
             continue
         if name in ("html", "body") and root is not node and name == "html":
             continue
@@ -159,15 +233,16 @@ def tree_of(page: str) -> Node:
             node = node.parent
         for closed in CLOSED_BY.get(name, ()):
             above = node
-            while above and above.name != closed and above.name not in CONTAINERS:
+            while above and above.name != closed and above.name not in CONTAINERS and not above.frame:
                 above = above.parent
             if above and above.name == closed:
                 node = above.parent
-        child = Node(name, node)
+        child = Node(name, node, frame)
         node.parts.append(child)
         if name not in VOID:
             node = child
     add(page[at:])
+    _without_frame(root)
     return root
 
 

@@ -88,3 +88,33 @@ def test_rows_stay_apart(spark):
     got = extract(df).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0)]))
     assert extract(df.limit(0)).collect() == []
+
+
+ARTICLE = "<p>Long paragraph of an article with words.</p><p>Another paragraph, with more words in it.</p>"
+ARTICLE_TEXT = "Long paragraph of an article with words.\n\nAnother paragraph, with more words in it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class='has-sidebar'><article>{}</article></div>",
+        "<body><div class='content with-sidebar no-comments'>{}</div>",
+        "<body><div id=sidebar><article>{}</article></div><div class=site-footer><p>Site</p></div>",
+        "<body><div id=search>{}</div><div class=left-sidebar><p>More</p></div>",
+        "<body><form id=aspnetForm><div>{}</div></form>",
+        "<body><div>{}</div><aside><article>A teaser</article></aside>",
+        "<body><article>{}</article><section id=comments>" + "<p>Longer than the article is what they say.</p>" * 9 + "</section>",
+    ],
+)
+def test_wrappers_are_not_taken_for_the_frame(page):
+    assert main_text(page.format(ARTICLE)) == ARTICLE_TEXT
+
+
+def test_figures_keep_their_text():
+    body = f"<article>{ARTICLE}<figure><pre>x = 1</pre><figcaption>Code</figcaption></figure></article>"
+    assert main_text(FRAME.format(body=body)) == f"{ARTICLE_TEXT}\n\nx = 1\n\nCode"
+
+
+def test_inline_frames_leave_their_line():
+    page = f"<article><p>Keep <span class=ad>cut <span>this</span> too</span> it.</p>{ARTICLE}</article>"
+    assert main_text(page) == f"Keep it.\n\n{ARTICLE_TEXT}"
