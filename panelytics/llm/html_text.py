@@ -72,6 +72,12 @@ _TOKEN = re.compile(
 _MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
+class Linked(str):
+    """Text that stands in a link."""
+
+    __slots__ = ()
+
+
 class Node:
     """An element that begins a block: its parts are texts and other nodes, in page order."""
 
@@ -85,6 +91,10 @@ class Node:
         self.density = self.gathered = 0.0
 
 
+def _size(text: str) -> int:
+    return len(text) - sum(map(text.count, " \n\t\r"))
+
+
 def _is_frame_token(token: str) -> bool:
     parts = re.split("[-_]+", token)
     return not OUTSIDE_WORDS.isdisjoint(parts) and all(part in OUTSIDE_WORDS or part in QUALIFIERS for part in parts)
@@ -159,8 +169,8 @@ def tree_of(page: str) -> Node:
         if not text:
             return
         text = html.unescape(text)
-        node.parts.append(text)
-        size = len(text) - sum(map(text.count, " \n\t\r"))
+        node.parts.append(Linked(text) if in_link else text)
+        size = _size(text)
         node.chars += size
         if in_link:
             node.link_chars += size
@@ -254,6 +264,21 @@ def _in_order(root: Node) -> list[Node]:
     return nodes
 
 
+def _density(chars: int, tags: int, linked: int, links: int, link_share: float) -> float:
+    if not chars:
+        return 0.0
+    tags, links = max(tags, 1), max(links, 1)
+    base = math.log(chars / max(chars - linked, 1) * linked + link_share * chars + math.e)
+    adjusted = chars / max(linked, 1) * tags / links
+    return chars / tags * max(math.log(max(adjusted, 1)) / math.log(max(base, 1.001)), 0.0)
+
+
+def _link_share(nodes: list[Node]) -> float:
+    """Of the weighed body's characters."""
+    body = next((n for n in nodes if n.name == "body"), nodes[0])
+    return body.link_chars / max(body.chars, 1)
+
+
 def weigh(root: Node) -> list[Node]:
     """Sets densities and their sums; the nodes, parents before children."""
     nodes = _in_order(root)
@@ -263,19 +288,34 @@ def weigh(root: Node) -> list[Node]:
             node.parent.tags += node.tags + 1
             node.parent.link_chars += node.link_chars
             node.parent.link_tags += node.link_tags
-    body = next((n for n in nodes if n.name == "body"), root)
-    link_share = body.link_chars / max(body.chars, 1)
+    link_share = _link_share(nodes)
     for node in reversed(nodes):
-        chars, tags, linked, links = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
-        if chars:
-            base = math.log(chars / max(chars - linked, 1) * linked + link_share * chars + math.e)
-            adjusted = chars / max(linked, 1) * tags / links
-            node.density = chars / tags * max(math.log(max(adjusted, 1)) / math.log(max(base, 1.001)), 0.0)
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, link_share)
         if node.parent:
             node.parent.gathered += node.density
     return nodes
 
 
+def _bare_runs(parts: list[str | Node]) -> Iterator[Node | list[str]]:
+    """The nodes among the parts, and the runs of bare text between them."""
+    run: list[str] = []
+    for part in parts:
+        if isinstance(part, str):
+            run.append(part)
+            continue
+        if run:
+            yield run
+            run = []
+        yield part
+    if run:
+        yield run
+
+
+def _run_density(run: list[str], link_share: float) -> float:
+    links = [part for part in run if isinstance(part, Linked)]
+    return _density(sum(map(_size, run)), len(links), sum(map(_size, links)), len(links), link_share)
+
+
 def _blocks(node: Node, out: list[str]) -> None:
     """Texts of the node's blocks, with white space as one blank, in page order."""
     open_text: list[str] = []
@@ -308,35 +348,43 @@ def main_text(page: str | None) -> str:
         best = max(nodes, key=lambda n: n.density)
     if not best.chars:
         return ""
-    # an article is whole: neither a part of it is chosen, nor what stands beside it
-    above = best
-    while above and above.name not in ("article", "main"):
+    # an article is whole: no part of it is chosen, and of nested ones (or a <main> around it) the outermost
+    above, marked = best, None
+    while above:
+        if above.name in ("article", "main"):
+            marked = above
         above = above.parent
-    if above:
-        best = above
+    best = marked or best
     threshold, above = best.density, best.parent
     while above and above.name != "html":
         if above.density:
             threshold = min(threshold, above.density)
         above = above.parent
-    in_article = best.name in ("article", "main")
     on_path, above = set(), best.parent
     while above:
         on_path.add(id(above))
         above = above.parent
+    # what stands beside the path is held to the threshold, bare text too
+    link_share = _link_share(nodes)
     out: list[str] = []
-    waiting = [nodes[0]]
+    waiting: list[Node | list[str]] = [nodes[0]]
     while waiting:
-        node = waiting.pop()
-        if id(node) not in on_path:
-            _blocks(node, out)
+        part = waiting.pop()
+        if isinstance(part, list):
+            if block := " ".join("".join(part).split()):
+                out.append(block)
             continue
-        for part in reversed(node.parts):
-            if isinstance(part, str):
-                continue
-            further = part.name in ("article", "main") if in_article else re.fullmatch("h[1-6]", part.name)
-            if part is best or id(part) in on_path or further or not in_article and part.density >= threshold:
-                waiting.append(part)
+        if id(part) not in on_path:
+            _blocks(part, out)
+            continue
+        for child in reversed([*_bare_runs(part.parts)]):
+            if isinstance(child, list):
+                kept = _run_density(child, link_share) >= threshold
+            else:
+                further = child.name in ("article", "main") if marked else re.fullmatch("h[1-6]", child.name)
+                kept = child is best or id(child) in on_path or further or child.density >= threshold
+            if kept:
+                waiting.append(child)
     return "\n\n".join(out)
 
 

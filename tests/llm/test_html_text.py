@@ -118,3 +118,32 @@ def test_figures_keep_their_text():
 def test_inline_frames_leave_their_line():
     page = f"<article><p>Keep <span class=ad>cut <span>this</span> too</span> it.</p>{ARTICLE}</article>"
     assert main_text(page) == f"Keep it.\n\n{ARTICLE_TEXT}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div><form><p>x</div><article>{}</article>",
+        "<body><div><div class=ad>x</div><article>{}</article>",
+        "<body><div><aside><p>x</div><div>{}</div>",
+        "<body><aside><p>x<article>{}</article></body>",
+        "<head><title>t</title><div>{}</div>",
+    ],
+)
+def test_unclosed_frames_end_with_what_holds_them(page):
+    assert main_text(page.format(ARTICLE)) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body>A lead as bare text, with a good many words and no link in it.<div class=body>{}</div>",
+        "<body><div>A lead as bare text, with a good many words and no link in it.<article>{}</article></div>",
+        "<article><p>A lead as bare text, with a good many words and no link in it.</p><article>{}</article></article>",
+        "<main><p>A lead as bare text, with a good many words and no link in it.</p><article>{}</article></main>",
+    ],
+)
+def test_leads_beside_the_choice_are_kept(page):
+    lead = "A lead as bare text, with a good many words and no link in it."
+    assert main_text(page.format(ARTICLE)) == f"{lead}\n\n{ARTICLE_TEXT}"
+    assert main_text(page.format(ARTICLE).replace(lead, f"<a>{lead}</a>").replace("body>", "body>Menu ", 1)).count("Menu") == 0
