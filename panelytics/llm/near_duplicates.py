@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from panelytics.llm.batches import byte_table, in_batches, mixed, text_bytes, text_chunks, window_hashes, words_of
 from panelytics.llm.components import components
-from panelytics.llm.storage import stored
+from panelytics.llm.storage import row_key, stored
 
 #: Fixed value: words are runs of all but blank, tab, line feed, vertical tab, form feed and carriage return.
 IN_WORD = ~byte_table((0x20, 0x20), (0x09, 0x0D))
@@ -133,7 +133,7 @@ def plausible(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.nda
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``n`` (shingles), ``set`` (128 bits of the set), ``registers`` of each row."""
+    """``row`` (its key), ``doc_id``, ``n`` (shingles), ``set`` (128 bits of the set), ``registers`` of each row."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,26 +145,29 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     names.append(np.array([own.sum(dtype=np.uint64), turned.sum(dtype=np.uint64)]).tobytes())
                     held.append(registers(own).tobytes())
                 columns = [pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(held, pa.binary())]
-                yield pa.RecordBatch.from_arrays([chunk.column(0), *columns], ["doc_id", "n", "set", "registers"])
+                yield pa.RecordBatch.from_arrays(
+                    [chunk.column(2), chunk.column(0), *columns], ["row", "doc_id", "n", "set", "registers"]
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_batches(docs.select("doc_id", "text"), step, f"doc_id {kind}, n long, set binary, registers binary")
+    rows = docs.select("doc_id", "text", row_key().alias("row"))
+    return in_batches(rows, step, f"row long, doc_id {kind}, n long, set binary, registers binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(id, band, key): a band's registers are its key, so members of a bucket agree in all of them."""
+    """(id, doc, band, key): a band's registers are its key, so members of a bucket agree in all of them."""
     digits = F.hex("registers")
     width = BAND * 4
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(digits, i * width + 1, F.lit(width)))
-    return classes.select("id", F.posexplode(F.transform(keys, lambda k: F.conv(k, 16, -10).cast("long"))).alias("band", "key"))
+    return classes.select("id", "doc", F.posexplode(F.transform(keys, lambda k: F.conv(k, 16, -10).cast("long"))).alias("band", "key"))
 
 
 def _hashed_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, set) with the full sorted shingle hashes of the documents ``ids``."""
+    """(id, set) with the full sorted shingle hashes of the rows with the keys ``ids``."""
     wanted = ids.select("id").distinct()
     if wanted.count() <= MOST_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+    rows = docs.select(row_key().alias("id"), "text").join(wanted, "id", "left_semi")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,8 +175,7 @@ def _hashed_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 sets = pa.array([own.tobytes() for own in shingles(chunk, size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([chunk.column(0), sets], ["id", "set"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_batches(rows, step, f"id {kind}, set binary")
+    return in_batches(rows, step, "id long, set binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -337,11 +339,12 @@ def _across(members: DataFrame, similar: int) -> DataFrame:
 
 
 def class_components(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame:
-    """(id, component) of the classes that are linked with others. ``classes``: id, n, registers; ids are doc_ids."""
+    """(id, component) of the classes that are linked with others. ``classes``: id (a row's key), doc (its
+    doc_id), n, registers. A bucket's leader is its smallest doc_id."""
     buckets = _buckets(classes)
-    leaders = buckets.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    leaders = stored(leaders)
-    shared = stored(buckets.join(leaders, ["band", "key"]))
+    leaders = buckets.groupBy("band", "key").agg(F.min(F.struct("doc", "id")).alias("first"), F.count("*").alias("n"))
+    leaders = stored(leaders.where("n > 1").select("band", "key", F.col("first.id").alias("a")))
+    shared = stored(buckets.drop("doc").join(leaders, ["band", "key"]))
     pairs = stored(_sketched(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), classes, similar))
     ids = shared.select("id").distinct()
     sets = stored(_hashed_sets(docs, ids, size).dropDuplicates(["id"]))
@@ -369,9 +372,29 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, similar: in
 
 
 def _as_classes(held: DataFrame) -> DataFrame:
-    """One row per distinct shingle set: its smallest document, its size and its registers."""
+    """One row per distinct shingle set: the key and doc_id of its smallest document, its size and its registers."""
     some = held.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    return some.groupBy("set", "n").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"))
+    first = some.groupBy("set", "n").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("registers").alias("registers"))
+    return first.select("set", "n", F.col("first.row").alias("id"), F.col("first.doc_id").alias("doc"), "registers")
+
+
+def _judged(docs: DataFrame, size: int, similar: int) -> DataFrame:
+    """The columns of ``near_duplicates`` and ``row``, the rows' keys."""
+    held = stored(sketches(docs, size))
+    classes = stored(_as_classes(held))
+    linked = class_components(docs, classes, size, similar).join(classes.select("id", "doc"), "id")
+    smallest = stored(linked.groupBy("component").agg(F.min("doc").alias("least")))
+    found = linked.join(smallest, "component").select("id", "least")
+    of_class = classes.select("set", "n", "id", "doc").join(found, "id", "left").select(
+        "set", "n", F.coalesce("least", "doc").alias("component")
+    )
+    return held.select("row", "doc_id", "n", "set").join(of_class, ["set", "n"], "left").select(
+        "row",
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        _component().alias("component_id"),
+        F.coalesce(_component() == F.col("doc_id"), F.lit(True)).alias("kept"),
+    )
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
@@ -379,18 +402,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR
 
     Rows are linked if 100 x intersection >= ``similar`` x union of their shingle sets; ``component_id`` is the smallest
     doc_id reachable over links. Rows without words are linked with nothing. ``kept`` is true for a component's smallest
-    doc_id. Rows that share a doc_id have that id's answer if their texts agree; a row without an id is linked with
-    nothing, has no component and is kept.
+    doc_id. Each row has its own answer, also if ids repeat; rows that share a doc_id have the same if their texts agree.
+    A row without an id is linked with nothing, has no component and is kept.
     """
-    held = stored(sketches(docs, size))
-    classes = stored(_as_classes(held))
-    found = class_components(docs, classes, size, similar)
-    of_class = classes.select("set", "n", "id").join(found, "id", "left").select(
-        "set", "n", F.coalesce("component", "id").alias("component")
-    )
-    return held.select("doc_id", "n", "set").join(of_class, ["set", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), _component().alias("component_id"), F.coalesce(_component() == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+    return _judged(docs, size, similar).drop("row")
 
 
 def _component() -> Column:
@@ -398,11 +413,10 @@ def _component() -> Column:
 
 
 def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; of rows with one doc_id, all or none."""
-    gone = near_duplicates(docs, size, similar).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stored(gone)
+    """The rows of ``docs`` that are kept, with all their columns; each row by its own answer, also if ids repeat."""
+    gone = stored(_judged(docs, size, similar).where(~F.col("kept")).select(F.col("row").alias("_gone")).distinct())
     if gone.count() <= MOST_BROADCAST_IDS:
         gone = F.broadcast(gone)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    kept = whole.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti")
+    kept = whole.join(gone, row_key("_row.doc_id", "_row.text") == F.col("_gone"), "left_anti")
     return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

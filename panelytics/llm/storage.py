@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folders: dict[str, str] = {}
 
@@ -43,3 +44,11 @@ def stored(df: DataFrame) -> DataFrame:
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
+    """A number for each row of documents that any pass over them finds again without storing the texts.
+
+    Rows whose ids repeat or are null are told apart by their texts, by 64 bits; those equal in both share a key.
+    """
+    return F.xxhash64(doc_id, text)

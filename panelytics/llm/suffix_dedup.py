@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from panelytics.llm.anchors import NAME_BYTES, SEGMENT_BYTES, Hashes, Samples, sampled
 from panelytics.llm.batches import in_batches, text_bytes, text_chunks
-from panelytics.llm.storage import stored
+from panelytics.llm.storage import row_key, stored
 
 #: Bytes of a repeated string.
 LENGTH = 200
@@ -41,7 +41,7 @@ def _longs(values: np.ndarray) -> pa.Array:
 
 
 def _checks(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """16 bits of each row's text, which tell rows of equal ids apart."""
+    """16 bits of each row's text, beside the 64 of its key."""
     held = memoryview(data)
     return np.array([zlib.crc32(held[a:b]) & 0xFFFF for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.int64)
 
@@ -64,7 +64,7 @@ def _in_segments(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[
 
 
 def samples_of(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(name, context, doc_id, packed) of every sampled suffix. Null texts and those below ``length`` have none."""
+    """(name, context, row, packed) of every sampled suffix. Null texts and those below ``length`` have none."""
     if not NAME_BYTES < length <= NAME_BYTES + 255:
         raise ValueError(f"strings of {NAME_BYTES + 1} to {NAME_BYTES + 255} bytes can be searched")
 
@@ -84,23 +84,24 @@ def samples_of(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         chunk.column(0).take(pa.array(row)),
                         _longs(packed),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["name", "context", "doc_id", "packed"])
+                    yield pa.RecordBatch.from_arrays(columns, ["name", "context", "row", "packed"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_batches(docs.select("doc_id", "text"), step, f"name long, context long, doc_id {kind}, packed long")
+    rows = docs.select(row_key().alias("row"), "text")
+    return in_batches(rows, step, "name long, context long, row long, packed long")
 
 
 def _with_texts(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with a list for each id, null ids included."""
-    lists = lists.withColumnRenamed("doc_id", "_id")
-    return docs.select("doc_id", "text").join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
+    """(doc_id, text) of ``docs`` joined with a list for each row."""
+    lists = lists.withColumnRenamed("row", "_of")
+    rows = docs.select("doc_id", "text", row_key().alias("_row"))
+    return rows.join(lists, F.col("_row") == F.col("_of"), how).drop("_row", "_of")
 
 
 def _contexts_with_bytes(docs: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
     """The bytes of contexts, and the hashes of their blocks of strings: of what a block's strings have in common, and
     of all they cover."""
     own = F.collect_list(F.struct("name", "context", "single", "packed")).alias("own")
-    rows = _with_texts(docs, contexts.groupBy("doc_id").agg(own), "inner")
+    rows = _with_texts(docs, contexts.groupBy("row").agg(own), "inner")
     block = pa.list_(pa.struct([("block", pa.int64()), ("inner", pa.int64()), ("outer", pa.int64())]))
     names = ["name", "context", "single", "near", "far", "bytes", "blocks"]
 
@@ -175,20 +176,20 @@ def _shared(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, packed, near, far): in the document, all strings that begin ``near`` to ``far`` bytes before the packed
+    """(row, packed, near, far): in the row's document, all strings that begin ``near`` to ``far`` bytes before the packed
     suffix also begin elsewhere. All such strings of all documents are given, some more than once."""
     samples = samples_of(docs, length)
     several = stored(samples.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     held = stored(samples.join(several, "name"))
     contexts = stored(
         held.groupBy("name", "context").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "packed")).alias("first")
+            F.count("*").alias("n"), F.min(F.struct("row", "packed")).alias("first")
         )
-    ).select("name", "context", (F.col("n") == 1).alias("single"), "first.doc_id", "first.packed")
+    ).select("name", "context", (F.col("n") == 1).alias("single"), "first.row", "first.packed")
     far, near = (F.shiftright("packed", n).bitwiseAND(F.lit(255)) for n in (24, 16))
     copied = contexts.where(~F.col("single")).select("name", "context")
     whole = held.join(copied, ["name", "context"], "left_semi").select(
-        "doc_id", "packed", near.alias("near"), far.alias("far")
+        "row", "packed", near.alias("near"), far.alias("far")
     )
 
     open_names = contexts.where("single").select("name").distinct()
@@ -217,7 +218,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         contexts.where("single"), ["name", "context"]
     )
     parts = single.select(
-        "doc_id", "packed", F.greatest("near", near).alias("near"), F.least("far", far).alias("far")
+        "row", "packed", F.greatest("near", near).alias("near"), F.least("far", far).alias("far")
     )
     return whole.union(parts)
 
@@ -244,10 +245,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A byte goes if any string of ``length`` bytes over it also begins elsewhere, in the same document or another;
     overlapping ones count, and all strings are judged on the input. Matches never cross documents. Null is empty; a
     text below ``length`` loses nothing; all but no bytes of exact copies of longer texts go, from every copy. Each row
-    is a document of its own, also if ids repeat or are null.
+    is a document of its own, also if ids repeat or are null; those equal in id and text have one answer.
     """
-    lists = repeated_starts(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("packed", "near", "far")).alias("ranges"))
-    rows = _with_texts(docs, lists, "left")
+    # as a set, so that rows equal in id and text don't lengthen their list; stored, so that Spark can split their join
+    lists = repeated_starts(docs, length).groupBy("row").agg(F.collect_set(F.struct("packed", "near", "far")).alias("ranges"))
+    rows = _with_texts(docs, stored(lists), "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

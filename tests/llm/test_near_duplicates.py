@@ -94,3 +94,16 @@ def test_components_of_chains_stars_and_random_links(spark, seed):
             part = {k: low if v == high else v for k, v in part.items()}
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r["id"]: r["component"] for r in got} == part
+
+
+def test_rows_of_one_id_have_their_own_answers(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(24)]
+    rows = [(100, t) for t in texts] + [(200 + i, f"{t} end") for i, t in enumerate(texts)]
+    rows += [(1, texts[0] + " start"), (300, "another text of its own"), (None, texts[1]), (None, texts[2])]
+    rows += [(250, "a text that is alone with its words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert sorted(map(str, (tuple(r) for r in nd.near_duplicates(df).collect()))) == sorted(map(str, want))
+    left = [r for r, b in zip(rows, want, strict=True) if b[3]]
+    assert sorted(map(str, (tuple(r) for r in nd.without_near_duplicates(df).collect()))) == sorted(map(str, left))

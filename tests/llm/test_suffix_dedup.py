@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -75,3 +77,21 @@ def test_segments_do_not_change_the_result(spark, monkeypatch):
     want[:1601], want[1800:4801] = 1, 1
     assert (covered == want).all() and (whole.place >= whole.high).all()
     assert batches.text_bytes.__doc__
+
+
+def test_rows_without_ids_are_told_apart(spark):
+    """Texts of one check, which only their keys tell apart, and copies of one row."""
+    rng = random.Random(5)
+    shared, own, other = ("".join(rng.choices("abcdefgh", k=k)) for k in (90, 200, 200))
+    check = zlib.crc32((shared + own).encode()) & 0xFFFF
+    clean = next(t for t in (f"{other}{i}" for i in range(10**7)) if zlib.crc32(t.encode()) & 0xFFFF == check)
+    texts = [shared + own, clean, shared + "xyz" * 9, shared * 2, shared * 2, None]
+
+    def answers(ids):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        out = remove_repeats(df, length=60).collect()
+        return sorted((r["n_bytes"], [tuple(s) for s in r["spans"]], bytes(r["kept"])) for r in out)
+
+    got = answers([None, None, 7, None, None, None])
+    assert got == answers(range(6)) == answers([3] * 6)
+    assert (len(clean), [], clean.encode()) in got and got[1][1] and got[-1][1]
