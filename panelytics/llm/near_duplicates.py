@@ -163,11 +163,11 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def _hashed_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, set) with the full sorted shingle hashes of the rows with the keys ``ids``."""
-    wanted = ids.select("id").distinct()
+    """(id, set) with the full sorted shingle hashes of the rows ``ids``: id, row (the row's key)."""
+    wanted = ids.select("id", "row").distinct()
     if wanted.count() <= MOST_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    rows = docs.select(row_key().alias("id"), "text").join(wanted, "id", "left_semi")
+    rows = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("id", "text")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,15 +339,16 @@ def _across(members: DataFrame, similar: int) -> DataFrame:
 
 
 def class_components(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame:
-    """(id, component) of the classes that are linked with others. ``classes``: id (a row's key), doc (its
-    doc_id), n, registers. A bucket's leader is its smallest doc_id."""
+    """(id, component) of the classes that are linked with others. ``classes``: id, row (the key of a row of
+    it), doc (its doc_id), n, registers. A bucket's leader is its smallest doc_id."""
     buckets = _buckets(classes)
     leaders = buckets.groupBy("band", "key").agg(F.min(F.struct("doc", "id")).alias("first"), F.count("*").alias("n"))
     leaders = stored(leaders.where("n > 1").select("band", "key", F.col("first.id").alias("a")))
     shared = stored(buckets.drop("doc").join(leaders, ["band", "key"]))
     pairs = stored(_sketched(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), classes, similar))
     ids = shared.select("id").distinct()
-    sets = stored(_hashed_sets(docs, ids, size).dropDuplicates(["id"]))
+    rows = ids.join(classes.select("id", "row"), "id")
+    sets = stored(_hashed_sets(docs, rows, size).dropDuplicates(["id"]))
     links = stored(_confirmed(pairs, sets, similar))
     known = stored(components(links))
     members = (
@@ -372,10 +373,15 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, similar: in
 
 
 def _as_classes(held: DataFrame) -> DataFrame:
-    """One row per distinct shingle set: the key and doc_id of its smallest document, its size and its registers."""
+    """One row per distinct shingle set: a number, the key and doc_id of its smallest document, its size, its registers.
+
+    The numbers, unlike the keys, are small on disk. They hold once the table is stored.
+    """
     some = held.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     first = some.groupBy("set", "n").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("registers").alias("registers"))
-    return first.select("set", "n", F.col("first.row").alias("id"), F.col("first.doc_id").alias("doc"), "registers")
+    return first.select(
+        "set", "n", F.monotonically_increasing_id().alias("id"), "first.row", F.col("first.doc_id").alias("doc"), "registers"
+    )
 
 
 def _judged(docs: DataFrame, size: int, similar: int) -> DataFrame:
