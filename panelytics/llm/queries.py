@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelytics.llm import (
+    conversations,
     decontaminate,
     embeddings,
     html_text,
     language_id,
+    merkle,
     near_duplicates,
     oracle,
     packing,
+    personal_data,
     secret_scans,
     suffix_dedup,
     token_counts,
@@ -40,6 +43,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_vectors": _over("embeddings", embeddings.near_vectors),
         "op9_token_counts": _over("documents", token_counts.report),
         "op10_url_filters": _over("pages", url_filters.judge),
+        "op11_merkle_manifest": _over("documents", merkle.report),
+        "op12_personal_data": _over("documents", personal_data.report),
+        "op13_conversation_repair": _over("conversations", conversations.report),
     }
 
 

@@ -37,5 +37,5 @@ def test_stages_one_after_another(spark, sf_dir):
 
 def test_entry_registers_all(spark):
     names = list(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names and 4 <= len(corpus_pipeline.STAGES) <= 5
