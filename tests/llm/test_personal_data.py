@@ -112,6 +112,7 @@ def corpus():
     texts = [say(rng.randint(0, 60)) for _ in range(150)] + [None, "", " \n", "x" * 9000]
     for mail, nick in (("Ann.b@ex.org", "zorro"), ("c%d@mail.example.com", "Élan"), ("+1 (988) 555-2485", "quux"), ("10.0.0.7", "boss")):
         texts += [f"{say(9)} {rng.choice([nick, nick.upper(), 'the'])} {say(2)} {mail}, {say(rng.randint(0, 8))}" for _ in range(9)]
+    texts += [f"{say(4)} {nick} {say(3)}" for nick in ("quux", "boss", "boss")]
     texts += [f"copied the passage zebra {'4111 1111 1111 1111'} and of"] * 8
     texts += ["a@b.c d@e.f g@h.i zorro 1.2.3.4 zorro", f"{'long text. ' * 4000} ann.b@ex.org zorro"]
     return texts
