@@ -6,6 +6,7 @@ against brute force.
 
 from __future__ import annotations
 
+from panelytics.llm.personal_data import CONTEXTS, GENERALISED, REMOVED, WINDOW
 from panelytics.llm.secret_scans import KINDS, WIDELY_COPIED
 from panelytics.llm.url_filters import LISTED_HOSTS, RULES
 
@@ -128,6 +129,214 @@ blocked AS (SELECT DISTINCT page_id FROM split JOIN listed ON host = h OR ends_w
 SELECT split.page_id, host, path, rule, coalesce(v, CASE WHEN blocked.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM split LEFT JOIN fits ON fits.page_id = split.page_id AND place = 1 LEFT JOIN blocked ON blocked.page_id = split.page_id"""
 
+# CRC-32 in SQL: the table by its rule, then a step for each byte of an ASCII text.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)
+)"""
+
+
+def _crc(text: str) -> str:
+    step = "xor(c >> 8, t[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce([4294967295] || [CAST(ascii(x) AS BIGINT) FOR x IN string_split({text}, '')], lambda c, b: {step}), 4294967295)"
+
+
+def _field(name: str) -> str:
+    text = f"CAST({name} AS VARCHAR)"
+    return f"coalesce(CAST(octet_length(encode({text})) AS VARCHAR) || ':' || {text}, '-')"
+
+
+_LOWERED_TEXT = f"translate(text, '{UPPER}', '{LOWER}')"
+_LEAF = " || ".join(_field(name) for name in ("doc_id", "source", "lang", "n_chars"))
+#: One level up in each tree (column g) with more than one node.
+_CLIMB = "SELECT g, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM {0} WHERE n > 1 GROUP BY g, lvl, pos // 8, n"
+_FLANKED = """SELECT a.g, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM {0} a JOIN {0} b ON a.g IS NOT DISTINCT FROM b.g AND a.lvl = b.lvl AND a.pos // 8 = b.pos // 8
+  WHERE a.n > 1 GROUP BY a.g, a.lvl, a.pos"""
+MANIFEST = f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM (
+    SELECT doc_id, lang, sha256({_LEAF} || {_field("text")}) AS leaf, CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0
+      THEN sha256({_LEAF} || {_field(_LOWERED_TEXT)}) ELSE sha256({_LEAF} || {_field("text")}) END AS changed
+    FROM documents, crc_table
+  )
+),
+tree(g, lvl, pos, h, n) AS (
+  SELECT lang, 0, pos, leaf, count(*) OVER (PARTITION BY lang) FROM leaves UNION ALL {_CLIMB.format("tree")}
+),
+over(g, lvl, pos, h, n) AS (
+  SELECT 0, 0, row_number() OVER (ORDER BY g NULLS FIRST) - 1, h, count(*) OVER () FROM tree WHERE n = 1
+  UNION ALL {_CLIMB.format("over")}
+),
+subroots AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS place FROM tree WHERE n = 1),
+below AS ({_FLANKED.format("tree")}),
+above AS ({_FLANKED.format("over")}),
+steps AS (
+  SELECT lang, leaves.pos, lvl, l, r FROM leaves JOIN below
+  ON leaves.lang IS NOT DISTINCT FROM below.g AND CAST(leaves.pos // CAST(8 ** lvl AS BIGINT) AS BIGINT) = below.pos
+  UNION ALL
+  SELECT lang, leaves.pos, 1000 + lvl, l, r FROM leaves JOIN subroots ON leaves.lang IS NOT DISTINCT FROM subroots.g
+  JOIN above ON place // CAST(8 ** lvl AS BIGINT) = above.pos
+),
+walk AS (
+  SELECT lang, pos, string_agg(l || r, '' ORDER BY lvl) AS proof, list(l || '*' || r ORDER BY lvl) AS up FROM steps GROUP BY lang, pos
+),
+done AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM over WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce([changed] || coalesce(up, []), lambda h, x: sha256(replace(x, '*', h))) AS folded_root
+  FROM leaves JOIN subroots ON leaves.lang IS NOT DISTINCT FROM subroots.g
+  LEFT JOIN walk ON leaves.lang IS NOT DISTINCT FROM walk.lang AND leaves.pos = walk.pos
+)
+SELECT *, folded_root = root AS verified FROM done"""
+
+_VALUES = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "lower(m)", "true"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "m", "list_max([CAST(p AS HUGEINT) FOR p IN string_split(m, '.')]) <= 255"),
+    (
+        "card",
+        r"[0-9](?:[\x20-]?[0-9])+",
+        "digits",
+        """len(digits) BETWEEN 12 AND 19 AND list_sum([CASE WHEN i % 2 = 1 THEN CAST(digits[-i] AS INT)
+          ELSE 2 * CAST(digits[-i] AS INT) - CASE WHEN digits[-i] >= '5' THEN 9 ELSE 0 END END
+          FOR i IN range(1, len(digits) + 1)]) % 10 = 0""",
+    ),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "digits", "len(digits) BETWEEN 9 AND 15"),
+)
+
+
+def _matches(texts: str, pattern: str, shown: str = "text") -> str:
+    """(doc_id, m, s, e): each match and its place, added up from the pieces between matches."""
+    return f"""SELECT doc_id, whole[i] AS m, s, s + length(whole[i]) AS e FROM (
+      SELECT doc_id, whole, i, CAST(list_sum([length(x) FOR x IN gap[1 : i]]) + coalesce(list_sum([length(x) FOR x IN whole[1 : i - 1]]), 0) AS BIGINT) AS s
+      FROM (SELECT doc_id, regexp_extract_all({shown}, {quoted(pattern)}) AS whole, string_split_regex({shown}, {quoted(pattern)}) AS gap FROM {texts}),
+      unnest(range(1, len(whole) + 1)) AS t(i))"""
+
+
+_KNOWN = " UNION ALL ".join(
+    f"""SELECT doc_id, {i} AS kind_no, '{name}' AS kind, s, e, {value} AS value
+    FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM ({_matches("given", pattern)})) WHERE {condition}"""
+    for i, (name, pattern, value, condition) in enumerate(_VALUES)
+)
+PERSONAL = f"""
+WITH given AS (SELECT doc_id, coalesce(text, '') AS text, {LOWERED} AS low FROM documents),
+known AS ({_KNOWN}),
+word AS ({_matches("given", "[^\\x00-\\x60\\x7B-\\x7F]+", "low")}),
+holds AS (SELECT m AS term, count(DISTINCT doc_id) AS n_documents FROM word GROUP BY m),
+free AS (
+  SELECT doc_id, list({{'m': m, 's': s, 'e': e}} ORDER BY s) AS words FROM word WHERE doc_id IN (SELECT doc_id FROM known)
+  AND NOT EXISTS (SELECT 1 FROM known WHERE known.doc_id = word.doc_id AND word.s < known.e AND known.s < word.e) GROUP BY doc_id
+),
+around AS (
+  SELECT doc_id, kind, value, list_filter(words, lambda w: w.e <= known.s)[-{WINDOW}:] || list_filter(words, lambda w: w.s >= known.e)[1 : {WINDOW}] AS words
+  FROM known JOIN free USING (doc_id)
+),
+near AS (
+  SELECT doc_id, kind, value, w.m AS term, w.s AS s, w.e AS e, context
+  FROM (SELECT *, array_to_string([x.m FOR x IN words], ' ') AS context FROM around), unnest(words) AS t(w)
+),
+n_values AS (SELECT kind, value, count(DISTINCT doc_id) AS n_entity FROM known GROUP BY kind, value),
+pairs AS (
+  SELECT kind, value, term, count(DISTINCT doc_id) AS n_both FROM near GROUP BY kind, value, term
+  HAVING count(DISTINCT context) >= {CONTEXTS}
+),
+shares AS (
+  SELECT kind, value, term, 1 + log2(n_both / n_documents) / nullif(log2((SELECT count(*) FROM documents) / n_entity), 0) AS share
+  FROM pairs JOIN n_values USING (kind, value) JOIN holds USING (term)
+),
+marked AS (
+  SELECT doc_id, s, e, max(share) AS share FROM near JOIN shares USING (kind, value, term) WHERE share >= {GENERALISED} GROUP BY doc_id, s, e
+),
+spans AS (
+  SELECT doc_id, kind_no, kind, s, e FROM known
+  UNION ALL SELECT doc_id, CASE WHEN share >= {REMOVED} THEN 5 ELSE 4 END, CASE WHEN share >= {REMOVED} THEN 'removed' ELSE 'general' END, s, e FROM marked
+),
+each AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind_no = {i}) AS n_{name}" for i, name in enumerate(("email", "ip", "card", "phone", "general", "removed")))},
+    string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, kind_no, e) FILTER (kind_no < 4) AS base,
+    string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, kind_no, e) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in ("email", "ip", "card", "phone", "general", "removed"))},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN each USING (doc_id)"""
+
+# The cheapest repair as a walk over the turns that keeps, for each place in the grammar (0 start, 1 system, 2 user,
+# 3 assistant), the cheapest edits so far and of those the least; up to two insertions come before a turn or the end.
+REPAIR = f"""
+WITH RECURSIVE {_CRC_TABLE},
+lots AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS lot
+  FROM conversations, crc_table
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role, copy,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM lots, unnest(range(CASE lot WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(copy)
+),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, left(role, 1) AS initial FROM damaged
+),
+faulty AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal,
+    CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM ordered
+),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM faulty GROUP BY conv_id
+),
+follows(a, b) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+inserted(a, b, edits) AS (
+  SELECT p, p, '' FROM range(4) AS r(p) UNION ALL SELECT a, b, 'I' FROM follows
+  UNION ALL SELECT f.a, g.b, 'II' FROM follows f JOIN follows g ON f.b = g.a
+),
+states AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS place, 0::BIGINT AS cost, '' AS audit FROM counts
+  UNION ALL
+  SELECT conv_id, i, place, best.cost, best.audit FROM (
+    SELECT conv_id, i, place, min(struct_pack(cost := cost, audit := audit)) AS best FROM (
+      SELECT s.conv_id, f.i, e.place, s.cost + 2 * length(edits) + e.cost AS cost, s.audit || edits || e.edit AS audit
+      FROM states s JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1
+      JOIN inserted ON inserted.a = s.place,
+      LATERAL (
+        SELECT 'D' AS edit, 3 AS cost, inserted.b AS place
+        UNION ALL SELECT 'K', CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END,
+          CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END
+          WHERE fault NOT IN ('blank', 'duplicate') AND (initial = 's' AND inserted.b = 0 OR initial = 'u' AND inserted.b <> 2 OR initial = 'a' AND inserted.b = 2)
+        UNION ALL SELECT 'R', 2 + CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END, CASE WHEN inserted.b = 2 THEN 3 ELSE 2 END
+          WHERE fault NOT IN ('blank', 'duplicate')
+      ) AS e
+    ) GROUP BY conv_id, i, place
+  )
+),
+audits AS (
+  SELECT conv_id, min(struct_pack(cost := cost + 2 * length(edits), audit := audit || edits)) AS best
+  FROM states JOIN counts USING (conv_id) JOIN inserted ON inserted.a = place AND inserted.b IN (0, 3) WHERE i = n GROUP BY conv_id
+),
+edits AS (
+  SELECT conv_id, k, best.audit[k] AS edit, length(replace(best.audit[1 : k], 'I', '')) AS i,
+    length(replace(best.audit, 'D', '')) % 2 AS has_system, length(replace(best.audit[1 : k], 'D', '')) AS made
+  FROM audits, unnest(range(1, length(best.audit) + 1)) AS t(k)
+),
+repaired AS (
+  SELECT edits.conv_id, string_agg(
+    CASE WHEN edit = 'K' THEN role WHEN (made - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END,
+    chr(10) ORDER BY k) AS text
+  FROM edits LEFT JOIN faulty ON edits.conv_id IS NOT DISTINCT FROM faulty.conv_id AND edits.i = faulty.i WHERE edit <> 'D' GROUP BY edits.conv_id
+)
+SELECT o.conv_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(repaired.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts ON o.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN audits ON o.conv_id IS NOT DISTINCT FROM audits.conv_id
+LEFT JOIN repaired ON o.conv_id IS NOT DISTINCT FROM repaired.conv_id"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -136,4 +345,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_secret_scans": SECRETS,
         "op8_near_vectors": NEAR_VECTORS,
         "op10_url_filters": URLS,
+        "op11_merkle_manifest": MANIFEST,
+        "op12_personal_data": PERSONAL,
+        "op13_conversation_repair": REPAIR,
     }
