@@ -176,7 +176,8 @@ def manifest(docs: DataFrame, *more: Column) -> Manifest:
     """The trees of ``docs``; ``more`` columns go with each leaf. Texts are hashed once and don't move."""
     item = F.struct("doc_id", "lang", *more).alias("item")
     leaves = docs.select(tree_key(F.col("lang")).alias("tree"), "doc_id", leaf().alias("node"), item)
-    rounds = climb(ranked(leaves, ["doc_id", "node"]))
+    # stored first, as range partitioning reads its input twice
+    rounds = climb(ranked(stored(leaves), ["doc_id", "node"]))
     lang = F.get(F.col("held.item.lang"), F.lit(0))
     if len(rounds) > 1:  # upper rounds carry no items; a tree's name tells its language
         lang = F.when(F.col("tree") != "", F.substring(F.col("tree"), F.lit(2), F.length("tree")))
