@@ -72,6 +72,7 @@ DATE_FORMATS = (
     "M/d/yy H:mm",
     "yyyy/M/d H:mm",
     "yyyy/M/d H:mm:ss",
+    "yyyy.M.d",
 )
 # Fixed value: the first two-digit year that means the 1900s.
 TWO_DIGIT_PIVOT = 69

@@ -53,7 +53,8 @@ def load(
     once rather than in every query; with ``buckets`` they are also saved as catalog tables bucketed by their key, and
     joined without a shuffle. ``unread_dates``: dates present that no layout reads become missing; "report" warns of
     their number and an example, "refuse" raises, "ignore" doesn't count them. With ``store`` they are counted while
-    writing, else by a pass over the date column.
+    writing, else by a pass over the files that also finds rows with surplus cells, and queries then split off only the
+    cells they ask for.
     """
     if unread_dates not in ("report", "refuse", "ignore"):
         raise ValueError(f"unknown choice for unread dates: {unread_dates}")
@@ -71,8 +72,11 @@ def load(
             typed = write_panel(written, f"{store.rstrip('/')}/{name}", cluster_by)
             found = seen.get if unread_dates != "ignore" else {"n": 0}
         else:
-            typed = panel.drop(_UNREAD)
-            found = panel.agg(*unread).first().asDict() if unread_dates != "ignore" else {"n": 0}
+            typed, found = panel.drop(_UNREAD), {"n": 0}
+            if unread_dates != "ignore":
+                found = panel.agg(*unread).first().asDict()
+                # that pass has split every row into all its cells; queries needn't
+                typed = clean_panel(read_csv_panel(spark, root, keyword, checked=False, **reader))
         if found["n"]:
             text = f"{name}: {found['n']} dates can't be read and are missing, such as {found['example']!r}"
             if unread_dates == "refuse":

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelytics.contract import MISSING_TOKENS
+from panelytics.contract import DATE_FORMATS, ISO, MISSING_TOKENS
 from panelytics.functions import nan_to_null, parse_date, parse_number
 from panelytics.operators import clean_panel, iso_dates, missingness, normalise_names
 
@@ -144,3 +145,55 @@ def test_cleaning_is_one_projection_without_python(spark, plan_of):
 def test_iso_text(spark):
     df = spark.createDataFrame([(dt.date(2021, 1, 2),), (None,)], "date date")
     assert [row[0] for row in iso_dates(df).collect()] == ["2021-01-02", None]
+
+
+def _tried_one_by_one(text, formats=DATE_FORMATS):
+    """The first layout that reads the text, each tried on every text."""
+
+    def read(layout):
+        if layout == ISO:
+            return F.trim(text).try_cast("date")
+        day = F.try_to_date(F.trim(text), layout)
+        if "yy" in layout.replace("yyyy", ""):
+            return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+        return day
+
+    return F.coalesce(*map(read, formats))
+
+
+def test_layouts_chosen_by_shape_read_what_trying_all_reads(spark):
+    rng = random.Random(4)
+    days = [dt.date(1960, 1, 1) + dt.timedelta(days=rng.randint(0, 40_000)) for _ in range(60)]
+    rows = [(day, layout) for layout in DATE_FORMATS if layout != ISO for day in days]
+    texts = F.lit(None).cast("string")
+    for layout in DATE_FORMATS:
+        texts = F.when(F.col("layout") == layout, F.date_format("day", "yyyy-MM-dd" if layout == ISO else layout)).otherwise(texts)
+    made = [r[0] for r in spark.createDataFrame(rows, "day date, layout string").select(texts).collect()]
+    odd = ["0/1/2020", "001/002/2020", "13/13/2020", "2/30/2020", "31/4/2020", "1//2020", "2020-13-01", "2020-02-30", "2020", "2020-05",
+           "2020-01-03T00:00Z", "2020-01-03 noon", "-2020-01-03", "99999-01-01", "20201301", "2020010", "Jnu 3, 2020", "may 3, 2020",
+           "Mayy 3 2020", "3 may 99", "soon", "day 17", "1/2/2020 25:00", "1/2/2020 7:5", "1.2.2020", "30.2.2020", "２/3/2020", "", " ", "/"]
+    for _ in range(1500):
+        text = rng.choice(made)
+        at = rng.randrange(len(text))
+        odd.append(text[:at] + rng.choice(["", "0", "1", "9", "/", "-", " ", "x", text[at] * 2]) + text[at + 1 :])
+    df = spark.createDataFrame([(t,) for t in [*made, *odd]], "t string")
+    got = df.select("t", parse_date(F.col("t")).cast("string").alias("got"), _tried_one_by_one(F.col("t")).cast("string").alias("want"))
+    # a doubled hyphen is no year before Christ
+    want = F.when(~F.col("want").startswith("-") | F.col("t").startswith("-"), F.col("want"))
+    assert [tuple(r) for r in got.where(~F.col("got").eqNullSafe(want)).collect()] == []
+    assert got.where("got is not null").count() > len(made)
+
+
+def test_weekdays_and_dots(spark):
+    texts = ["Fri, Jan 3, 2020", "friday 2020-01-03", "Thurs. 1/2/2020", "2020.1.3", "Sun", "Monday soon"]
+    want = [dt.date(2020, 1, 3), dt.date(2020, 1, 3), dt.date(2020, 1, 2), dt.date(2020, 1, 3), None, None]
+    assert _parsed(spark, parse_date, texts) == want
+
+
+def test_layouts_of_unknown_parts_keep_their_place(spark):
+    texts = ["2020-003", "1/2/2020", "2020w", "x2020-01-02"]
+    formats = ("yyyy-DDD", "M/d/yyyy", "yyyy'w'", "'x'yyyy-MM-dd")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(parse_date(F.col("t"), formats)).collect()]
+    assert got == [r[0] for r in df.select(_tried_one_by_one(F.col("t"), formats)).collect()]
+    assert got[0] == dt.date(2020, 1, 3) and got[3] == dt.date(2020, 1, 2)

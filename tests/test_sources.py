@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelytics.operators import clean_panel, join_panels
 from panelytics.sources import export, find_csv, read_csv_panel, register, run_sql, show_sql, write_panel
 from panelytics.sources import workspace as ws
+from panelytics.sources.csv_panels import cell_count
 
 
 def _write(path, text):
@@ -173,3 +176,54 @@ def test_panels_are_built_once_unless_refreshed(spark, sf_dir, panels):
     files = lambda loaded: loaded.outcomes.inputFiles()
     assert files(star_schema.load_panels(spark, sf_dir)) == files(panels)
     assert files(star_schema.load_panels(spark, sf_dir, refresh=True)) != files(panels)
+
+
+@pytest.mark.parametrize(
+    "row, cells",
+    [
+        ("a,b", 2),
+        ("", 1),
+        (",", 2),
+        ('"a,b",c', 2),
+        ('"a ""quoted"", b",c', 2),
+        ('5" pipe,6" pipe', 2),
+        ('"",""', 2),
+        ('"a,b', 1),
+        ('x,"a,b,c",,"d"', 4),
+        ('"""",","', 2),
+    ],
+)
+def test_cells_of_a_row_are_counted(spark, row, cells):
+    assert spark.createDataFrame([(row,)], "row string").select(cell_count(F.col("row"))).first()[0] == cells
+
+
+@pytest.mark.parametrize("surplus", [False, True])
+def test_long_rows_of_quotes_and_commas(spark, tmp_path, surplus):
+    """A megabyte with 50,000 quotes in one cell: padded where a cell is missing, refused where one is too many."""
+    cell = '"' + 'x,y""z,"" and more text' * 25_000 + '"'
+    (tmp_path / "a_death.csv").write_text("iso_code,date,n\n" + f"A,{cell}" + (",1,2" if surplus else "") + "\nB,2020-01-01,5\n")
+    started = time.monotonic()
+    read = read_csv_panel(spark, str(tmp_path), "death")
+    if surplus:
+        with pytest.raises(Exception, match="more than 3 cells"):
+            read.collect()
+    else:
+        rows = {r["iso_code"]: r for r in read.collect()}
+        assert rows["A"]["n"] is None and len(rows["A"]["date"]) == 25_000 * 21 and rows["B"]["n"] == "5"
+    assert time.monotonic() - started < 20
+
+
+def test_quotes_inside_plain_cells_hide_no_surplus(spark, tmp_path):
+    (tmp_path / "a_death.csv").write_text('a,b\n5" pipe,6" pipe,7\n')
+    with pytest.raises(Exception, match="more than 2 cells"):
+        read_csv_panel(spark, str(tmp_path), "death").collect()
+
+
+def test_checked_files_are_read_by_column(spark, tmp_path, plan_of):
+    (tmp_path / "a_death.csv").write_text("a,b,c\n1,2,3\n4\n")
+    plan = plan_of(read_csv_panel(spark, str(tmp_path), "death", checked=False).select("b"))
+    assert "ReadSchema: struct<b:string>" in plan
+    assert sorted(map(str, read_csv_panel(spark, str(tmp_path), "death", checked=False).select("b").collect())) == [
+        "Row(b='2')",
+        "Row(b=None)",
+    ]
