@@ -18,6 +18,9 @@ def build_session(
 ) -> SparkSession:
     """Get a session with UTC dates, ANSI arithmetic and adaptive execution.
 
+    Expressions don't record where in Python they were built: that costs about a millisecond for each call, which for a
+    query of some hundred expressions is longer than it runs.
+
     Shuffles start with ``shuffle_partitions`` parts (many by default, for large inputs), and adaptive execution merges
     small ones.
     """
@@ -28,6 +31,7 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+from fractions import Fraction
 
 import pandas as pd
 import pytest
@@ -190,3 +191,42 @@ def test_long_forms(spark):
 def test_correlated_columns_may_have_any_name(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], "i double, `a b` double")
     assert [row["column"] for row in corr_matrix(df, ["i", "a b"]).collect()] == ["i", "a b"]
+
+
+def _exact(rows):
+    """Correlation in fractions, over pairs where both are present."""
+    pairs = [(Fraction(a), Fraction(b)) for a, b in rows if a is not None and b is not None]
+    n = len(pairs)
+    mean = [sum(p[i] for p in pairs) / n for i in (0, 1)]
+    sxy, sxx, syy = (sum((p[i] - mean[i]) * (p[j] - mean[j]) for p in pairs) for i, j in ((0, 1), (0, 0), (1, 1)))
+    if not sxx or not syy:
+        return None
+    squared = sxy * sxy / (sxx * syy)
+    return math.sqrt(squared) * (1 if sxy > 0 else -1)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_values_of_all_sizes_in_one_column(spark, seed):
+    rng = random.Random(seed)
+    sizes = [(1e160, 1.0), (1e-170, 1e300), (1.0, 1e-300), (5e-324, 8e307), (1e-170, 1e-171)]
+    for a_size, b_size in sizes:
+        rows = []
+        for _ in range(60):
+            a, b = rng.uniform(-1, 1), rng.uniform(-1, 1)
+            a_scale, b_scale = rng.choice([a_size, a_size, 1.0]), rng.choice([b_size, 1e60])
+            rows.append((a * a_scale, (a + b) * b_scale if rng.random() < 0.9 else None))
+        df = spark.createDataFrame(rows, "a double, b double").repartition(3)
+        got = {(r["x"], r["y"]): r["corr"] for r in corr_pairs(df, ["a", "b"]).collect()}
+        assert got["a", "b"] == pytest.approx(_exact(rows), abs=1e-9)
+
+
+def test_a_constant_beside_values_of_all_sizes(spark):
+    df = spark.range(300).select(F.lit(0.1).alias("a"), F.pow(F.lit(10.0), F.col("id") * 2 - 300).alias("b"))
+    got = {(r["x"], r["y"]): r["corr"] for r in corr_pairs(df, ["a", "b"]).collect()}
+    assert got == {("a", "a"): None, ("a", "b"): None, ("b", "b"): 1.0}
+
+
+def test_correlation_reads_its_input_once(spark, plan_of, tmp_path):
+    spark.range(10).selectExpr("id * 1.5D AS a", "id * id * 1D AS b").write.parquet(str(tmp_path / "t"))
+    plan = plan_of(corr_matrix(spark.read.parquet(str(tmp_path / "t")), ["a", "b"]))
+    assert plan.count("FileScan parquet") == 1 and "Subquery" not in plan
