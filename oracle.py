@@ -105,8 +105,12 @@ FULLY = share("people_fully_vaccinated", "population", "fully_vaccinated_pct")
 BOOSTED = share("total_boosters", "population", "booster_pct")
 
 
+#: Before the query itself, so that it can be asked again in another.
+MARK = "\n\n"
+
+
 def with_panels(query: str, *ctes: str) -> str:
-    return "WITH " + ",\n".join([PANELS, *ctes]) + "\n" + query
+    return "WITH " + ",\n".join([PANELS, *ctes]) + MARK + query
 
 
 def peaks(columns, source: str, keys: str = "continent, location") -> str:
@@ -394,6 +398,7 @@ BY_LOCATION = """SELECT location, count(*) AS days, max(total_cases) AS total_ca
 
 
 def operators() -> dict[str, str]:
+    texts = catalogue()
     line_measures = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return {
         "source_csv_panel": with_panels(f"SELECT {', '.join(OUTCOMES_COLUMNS)} FROM outcomes"),
@@ -402,7 +407,35 @@ def operators() -> dict[str, str]:
         "running_doses_repeated": with_panels(
             "SELECT * FROM running ORDER BY location, date",
             MATCHED.replace("FROM outcomes o", "FROM (SELECT * FROM outcomes UNION ALL SELECT * FROM outcomes) o"),
-            running("location IN ('NATION_1', 'NATION_5')"),
+            running("true"),
+        ),
+        "running_doses_folded": with_panels(
+            "SELECT * FROM running ORDER BY location, date",
+            MATCHED.replace("FROM outcomes o", "FROM (SELECT * FROM outcomes UNION ALL SELECT * FROM outcomes) o").replace(
+                "JOIN program p", "JOIN (SELECT program.* FROM program, range(3)) p"
+            ),
+            """folded AS (SELECT iso_code, date, continent, location, max(population) AS population,
+              sum(new_vaccinations) AS new_vaccinations FROM matched GROUP BY ALL)""",
+            running("true").replace("FROM matched", "FROM folded"),
+        ),
+        "joined_bucketed_panels": with_panels(
+            """SELECT o.continent, o.location, count(*) AS days, max(total_cases) AS total_cases,
+              max(people_vaccinated) AS people_vaccinated, sum(new_vaccinations) AS new_vaccinations
+            FROM outcomes o JOIN program p USING (iso_code, date) GROUP BY o.continent, o.location"""
+        ),
+        "shared_summary_reports": with_panels(
+            " UNION ALL ".join(
+                f"SELECT '{name}' AS report, location, CAST({by} AS DOUBLE) AS value FROM ({texts[question].rpartition(MARK)[2]})"
+                for name, question, by in (
+                    ("top_cases", "q03_top_cases", "total_cases"),
+                    ("top_infection_rate", "q04_top_infection_rate", "infected_population_pct"),
+                    ("top_deaths", "q05_top_deaths", "total_deaths"),
+                    ("top_coverage", "q09_top_coverage", "fully_vaccinated_pct"),
+                    ("bottom_coverage", "q10_bottom_coverage", "fully_vaccinated_pct"),
+                    ("top_positive_rate", "q12_positive_rate", "avg_positive_rate_pct"),
+                )
+            ),
+            MATCHED,
         ),
         "source_shapes": " UNION ALL ".join(
             f"SELECT '{name}' AS \"table\", count(*) AS rows, CAST({width} AS BIGINT) AS columns FROM {name}"
@@ -465,4 +498,7 @@ def operators() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**catalogue(), **operators()}
+    texts = {**catalogue(), **operators()}
+    for name in ("running_value", "trailing_value"):
+        texts[f"{name}_over_ranges"] = texts[f"{name}_by_event_type"]
+    return texts

@@ -8,6 +8,11 @@ removed; the input is read once for the summaries and once for the rows. Running
 coarse to fine, and carry totals from level to level, so no window holds more rows than a unit has parts. Totals of
 fractions may differ from those of one window in their last bits, as they are added in another order; whole numbers and
 trailing means of the same rows don't.
+
+``spread`` needs no unit of time and holds whatever the keys are, a single instant with a third of all rows included: rows
+are sorted once into ranges of even size, which are stored. A running total then adds to each range the totals of the
+entity's ranges before it, and a trailing mean runs over blocks of BLOCK_ROWS rows by their place, each with the last n-1
+rows of the block before.
 """
 
 from __future__ import annotations
@@ -20,6 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelytics.contract import ENTITY, TIME, TRAILING_ROWS
+from panelytics.sources.sinks import write_panel
+from panelytics.sources.workspace import workspace
+
+#: Rows of an entity in one window of a spread trailing mean.
+BLOCK_ROWS = 1 << 16
+_ID, _PART, _SHIFT, _BEFORE, _PLACE, _BLOCK = "_row_id", "_part", "_shift", "_before", "_place", "_block"
+_PART_BITS = 33  # monotonically_increasing_id: the bits above count partitions
 
 _CHUNK, _OWN, _ADDED, _COARSE, _ABOVE = "_chunk", "_own_row", "_added", "_coarse", "_above"
 
@@ -35,13 +47,19 @@ def running_total(
     entity: Sequence[str] = (ENTITY,),
     order: Sequence[str] = (TIME,),
     chunk: str | Sequence[str] | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` from the entity's first row to this one, missing counted as 0.
 
     ``order`` should identify a row within the entity; the first column is the time that ``chunk`` (a unit, or nested
-    units from coarse to fine) truncates.
+    units from coarse to fine) truncates. ``spread`` stores the sorted rows when called.
     """
     amount = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    if spread:
+        rows = _with_ranges(df.withColumn(_ADDED, amount), entity, order)
+        in_range = Window.partitionBy(*entity, _PART).orderBy(_ID)
+        here = F.sum(_ADDED).over(in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return rows.withColumn(out, here + F.col(_BEFORE)).drop(_ADDED, _ID, _PART, _SHIFT, _BEFORE)
     if chunk is None:
         so_far = Window.partitionBy(*entity).orderBy(*_ascending(order))
         return df.withColumn(out, F.sum(amount).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -64,6 +82,28 @@ def running_total(
     )
 
 
+def _with_ranges(rows: DataFrame, entity: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` sorted by entity and order into stored ranges of even size, each row with its range, a number that
+    counts up within it, what to add to that for its place in the entity, and the sum of ``_added`` in earlier ranges."""
+    keys = _ascending([*entity, *order])
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(_ID, F.monotonically_increasing_id())
+    folder = workspace(rows.sparkSession)
+    dealt = write_panel(dealt, f"{folder}/rows").withColumn(_PART, F.shiftright(_ID, _PART_BITS))
+    # a row for each range and entity that meet: together no more than both
+    parts = dealt.groupBy(*entity, _PART).agg(
+        F.min(_ID).alias("_first"), F.count(F.lit(1)).alias("_held"), F.sum(_ADDED).alias("_total")
+    )
+    earlier = Window.partitionBy(*entity).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, none: F.coalesce(F.sum(c).over(earlier), F.lit(none))
+    known = parts.select(
+        *entity, _PART, (so_far("_held", 0) - F.col("_first")).alias(_SHIFT), so_far("_total", 0.0).alias(_BEFORE)
+    )
+    known = write_panel(known, f"{folder}/ranges")
+    same = [F.col(f"w.`{c}`").eqNullSafe(F.col(f"a.`{c}`")) for c in [*entity, _PART]]
+    both = dealt.alias("w").join(known.alias("a"), reduce(and_, same))
+    return both.select("w.*", f"a.{_SHIFT}", f"a.{_BEFORE}")
+
+
 def _carried(totals: DataFrame, entity: Sequence[str], units: Sequence[str]) -> DataFrame:
     """Per chunk of the last unit, the sum of all earlier chunks of its entity; NULL for the first.
 
@@ -97,6 +137,7 @@ def trailing_mean(
     n: int = TRAILING_ROWS,
     suffix: str | None = None,
     chunk: str | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Add, per value, the mean of the last ``n`` rows: NULL before row ``n`` or if any of the ``n`` is missing.
 
@@ -110,6 +151,16 @@ def trailing_mean(
             {f"{v}{suffix}": F.when(F.count(v).over(frame) == n, F.avg(v).over(frame)) for v in values}
         )
 
+    if spread and n > 1:
+        rows = _with_ranges(df.withColumn(_ADDED, F.lit(0.0)), entity, order)
+        placed = rows.withColumn(_PLACE, F.col(_ID) + F.col(_SHIFT)).drop(_ADDED, _ID, _PART, _SHIFT, _BEFORE)
+        size = max(BLOCK_ROWS, n)
+        own = F.floor(F.col(_PLACE) / size)
+        goes_on = F.col(_PLACE) % size >= size - (n - 1)  # what the next block has to know
+        blocks = F.explode(F.when(goes_on, F.array(own, own + 1)).otherwise(F.array(own)))
+        means = add_means(placed.withColumn(_BLOCK, blocks), [*entity, _BLOCK], [_PLACE])
+        return means.filter(F.col(_BLOCK) == own).drop(_BLOCK, _PLACE)
+
     if chunk is None or n == 1:
         return add_means(df, entity, order)
 

@@ -252,10 +252,17 @@ def matched_doses(outcomes: DataFrame, program: DataFrame, repeated_keys: str =
 
     A key held m times on one side and n on the other would make m x n days and inflate every later total.
     ``repeated_keys``: "refuse" counts the keys of both panels first (a job each) and raises if any repeats; "unique"
-    says they are known not to; "join" asks for all m x n rows.
+    says they are known not to; "join" asks for all m x n rows; "fold" for one row per key with the doses that those
+    rows would add up to, m times the sum of the n, without ever forming them.
     """
-    if repeated_keys not in ("refuse", "unique", "join"):
+    if repeated_keys not in ("refuse", "unique", "join", "fold"):
         raise ValueError(f"unknown choice for repeated keys: {repeated_keys}")
+    if repeated_keys == "fold":
+        days = real_entities(outcomes).groupBy(*KEYS, GROUP, ENTITY)
+        days = days.agg(F.max("population").alias("population"), F.count(F.lit(1)).alias("_copies"))
+        doses = program.groupBy(*KEYS).agg(F.sum("new_vaccinations").alias("_doses"))
+        joined = join_panels(days, doses)
+        return joined.withColumn("new_vaccinations", F.col("_copies") * F.col("_doses")).drop("_copies", "_doses")
     if repeated_keys == "refuse":
         for panel in (real_entities(outcomes), program):
             assert_unique_keys(panel)

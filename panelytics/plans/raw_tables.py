@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelytics.contract import OUTCOMES_KEYWORD, OUTCOMES_TABLE
+from panelytics.contract import OUTCOMES_KEYWORD, OUTCOMES_TABLE, PROGRAM_TABLE
 from panelytics.functions.measures import pct
 from panelytics.functions.parsing import iso_text
 from panelytics.operators.clean import clean_panel
@@ -19,6 +20,7 @@ from panelytics.operators.rank import top_k
 from panelytics.operators.rollup import entity_peaks, flow_totals
 from panelytics.operators.windows import running_total, trailing_mean
 from panelytics.plans.questions import matched_peaks, model_table, running_doses
+from panelytics.plans.workflow import reports
 from panelytics.sources.csv_panels import read_csv_panel
 from panelytics.sources.sinks import export
 from panelytics.sources.star_schema import cents, load_panels, read_table, supplier_days
@@ -258,7 +260,62 @@ def running_quantity_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_doses_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running doses where every key of the outcomes panel occurs twice and joining all its rows is asked for."""
     outcomes, program = load_panels(spark, sf_dir)
-    return running_doses(outcomes.unionByName(outcomes), program, ["NATION_1", "NATION_5"], repeated_keys="join")
+    return running_doses(outcomes.unionByName(outcomes), program, repeated_keys="join")
+
+
+def running_doses_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running doses where keys occur twice in one panel and three times in the other, from one row per key and side."""
+    outcomes, program = load_panels(spark, sf_dir)
+    thrice = program.unionByName(program).unionByName(program)
+    return running_doses(outcomes.unionByName(outcomes), thrice, repeated_keys="fold")
+
+
+_bucketed: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def _bucketed_panels(spark: SparkSession, sf_dir: str, buckets: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Both panels as tables bucketed by their key, saved on first use in an application."""
+    key = (spark.conf.get("spark.app.id"), sf_dir)
+    if key not in _bucketed:
+        folder = workspace(spark)
+        names = tuple(f"{table}_{folder.rsplit('-', 1)[-1]}" for table in (OUTCOMES_TABLE, PROGRAM_TABLE))
+        for name, panel in zip(names, load_panels(spark, sf_dir)):
+            register(panel, name, persistent=True, buckets=buckets, path=f"{folder}/{name}")
+        _bucketed[key] = names
+    outcomes, program = _bucketed[key]
+    return spark.table(outcomes), spark.table(program)
+
+
+def joined_bucketed_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched days per entity from saved tables whose join moves no row of either."""
+    days = join_panels(*_bucketed_panels(spark, sf_dir))
+    return days.groupBy("continent", "location").agg(
+        F.count(F.lit(1)).alias("days"),
+        F.max("total_cases").alias("total_cases"),
+        F.max("people_vaccinated").alias("people_vaccinated"),
+        F.sum("new_vaccinations").alias("new_vaccinations"),
+    )
+
+
+#: Reports over the two stored summaries, and what each ranks by.
+_SHARED_REPORTS = {
+    "top_cases": "total_cases",
+    "top_infection_rate": "infected_population_pct",
+    "top_deaths": "total_deaths",
+    "top_coverage": "fully_vaccinated_pct",
+    "bottom_coverage": "fully_vaccinated_pct",
+    "top_positive_rate": "avg_positive_rate_pct",
+}
+
+
+def shared_summary_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six rankings, of which three each read one summary that is worked out and stored once."""
+    answers = reports(*load_panels(spark, sf_dir), store=workspace(spark), unique_keys=True)
+    parts = [
+        answers[name]().select(F.lit(name).alias("report"), "location", F.col(by).cast("double").alias("value"))
+        for name, by in _SHARED_REPORTS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _events_in_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,6 +340,17 @@ def trailing_value_by_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trailing_mean(events, ["cents"], ["event_type"], ["ts", "event_id"], chunk=EVENT_UNITS[-1])
 
 
+def running_value_over_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running totals of ``running_value_by_event_type`` over sorted ranges, whatever the spread of event times."""
+    return running_total(
+        _events_in_cents(spark, sf_dir), "cents", "running_cents", ["event_type"], ["ts", "event_id"], spread=True
+    )
+
+
+def trailing_value_over_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trailing_mean(_events_in_cents(spark, sf_dir), ["cents"], ["event_type"], ["ts", "event_id"], spread=True)
+
+
 def correlation_with_infinities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line measures of which some are infinite and some NaN; only pairs of finite values count."""
     odd = F.when(F.col("l_orderkey") % 7 == 0, F.lit(float("inf"))).when(F.col("l_orderkey") % 11 == 0, F.lit(float("-inf")))

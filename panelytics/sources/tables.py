@@ -12,12 +12,18 @@ from panelytics.sources.sinks import write_panel
 
 
 def register(
-    df: DataFrame, name: str, persistent: bool = False, buckets: int | None = None, keys: Sequence[str] = KEYS
+    df: DataFrame,
+    name: str,
+    persistent: bool = False,
+    buckets: int | None = None,
+    keys: Sequence[str] = KEYS,
+    path: str | None = None,
 ) -> DataFrame:
     """Make ``df`` queryable as ``name``, replacing an earlier table of that name.
 
     A temporary view by default. ``persistent`` saves a catalog table; with ``buckets`` it is bucketed and sorted
-    by the panel key, so joining two panels saved with the same number of buckets shuffles neither.
+    by the panel key, so joining two panels saved with the same number of buckets shuffles neither. Its files go to
+    ``path``, or else to the warehouse.
     """
     spark = df.sparkSession
     if not persistent:
@@ -28,6 +34,8 @@ def register(
         writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
     else:
         writer = df.write
+    if path is not None:
+        writer = writer.option("path", path)
     writer.mode("overwrite").saveAsTable(name)
     return spark.table(name)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import check_oracle
 import oracle
-from panelytics.operators import entity_peaks
+from panelytics.operators import entity_peaks, join_panels
 from panelytics.plans import questions as q
 from panelytics.sources import run_sql
 from panelytics.sources.star_schema import build_outcomes, build_program
@@ -221,3 +222,41 @@ def test_unread_dates_are_reported_or_refused(spark, tmp_path, stored):
     assert outcomes.filter("date IS NULL").count() == 3
     with pytest.raises(ValueError, match="soon"):
         load(spark, str(tmp_path), store, unread_dates="refuse")
+
+
+def test_bucketed_panels_join_without_a_shuffle(spark, sf_dir, plan_of):
+    from panelytics.plans import raw_tables
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = plan_of(join_panels(*raw_tables._bucketed_panels(spark, sf_dir)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in joined and "Exchange" not in joined
+
+
+def test_reports_read_their_summary_and_not_the_panels(spark, sf_dir, plan_of, panels):
+    """Six scans, all of the two stored summaries."""
+    from panelytics.plans import raw_tables
+
+    df = raw_tables.shared_summary_reports(spark, sf_dir)
+    scans = [line for line in plan_of(df).splitlines() if "FileScan parquet" in line]
+    assert len(scans) == 6
+    read = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+    assert read == {"country_peaks", "matched_peaks"}
+
+
+def test_folded_doses_equal_those_of_all_joined_rows(spark):
+    outcomes, program = [], []
+    for i in range(40):
+        day = dt.date(2021, 1, 1) + dt.timedelta(days=i)
+        outcomes += [("X", day, "Asia", "E", 100.0)] * (i % 4) + [("Y", day, "Asia", "E", 50.0)] * (i % 3)
+        program += [("X", day, None if (i + k) % 5 == 0 else float(i + k)) for k in range(i % 3 + 1)] + [("Y", day, 1.0)] * 2
+    keys = "iso_code string, date date"
+    left = spark.createDataFrame(outcomes, f"{keys}, continent string, location string, population double")
+    right = spark.createDataFrame(program, f"{keys}, new_vaccinations double")
+    joined = q.matched_doses(left, right, "join").groupBy("iso_code", "date").agg({"new_vaccinations": "sum"})
+    folded = q.matched_doses(left, right, "fold")
+    assert sorted(joined.collect(), key=str) == sorted(folded.select("iso_code", "date", "new_vaccinations").collect(), key=str)
+    last = q.running_days(folded).agg({"rolling_vaccination_doses": "max"}).first()[0]
+    assert last == q.running_days(q.matched_doses(left, right, "join")).agg({"rolling_vaccination_doses": "max"}).first()[0]

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelytics.operators import running_total, trailing_mean
+from panelytics.operators import running_total, trailing_mean, windows
 
 SCHEMA = "location string, iso_code string, date date, x double, y double"
 START = dt.date(2020, 11, 20)
@@ -157,3 +157,48 @@ def test_last_running_value_is_the_sum(panels):
     totals = running_total(o, "new_cases", "t", order=["date", "iso_code"], chunk="month")
     last = totals.groupBy("location").agg(F.max("t").alias("t"), F.sum("new_cases").alias("s"))
     assert last.filter("t <> s").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 7])
+@pytest.mark.parametrize("block", [1, 5, 1 << 16])
+def test_spread_windows_equal_plain_ones(spark, monkeypatch, n, block):
+    monkeypatch.setattr(windows, "BLOCK_ROWS", block)
+    rng = random.Random(f"{n}{block}")
+    series = [
+        [
+            (rng.choice([0, 1, 1, 1, 2, 40]), rng.choice("ab"), rng.choice([None, *map(float, range(9))]))
+            for _ in range(rng.choice([1, 2, 5, 300]))
+        ]
+        for _ in range(25)
+    ]
+    rows = _rows(series)
+    order = ["date", "iso_code"]
+    total = running_total(spark.createDataFrame(rows, SCHEMA).repartition(5), "x", "total", order=order, spread=True)
+    means = trailing_mean(total, ["x", "y"], order=order, n=n, spread=True)
+    assert means.columns == ["location", "iso_code", "date", "x", "y", "total", f"x_{n}d", f"y_{n}d"]
+    got = {(r["location"], r["iso_code"], r["date"]): tuple(r)[5:] for r in means.collect()}
+    assert got == _expected(rows, n)
+
+
+def test_one_instant_with_all_rows_is_spread(spark, plan_of):
+    """No window over more than a range or block, and the input is read by one scan."""
+    rows = spark.range(4000).select(
+        F.lit(None).cast("string").alias("location"), F.lit(START).alias("date"), F.col("id").alias("iso_code"), F.lit(1.0).alias("x")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        total = running_total(rows, "x", "t", order=["date", "iso_code"], spread=True)
+        assert total.agg(F.min(F.col("t") - F.col("iso_code")), F.max(F.col("t") - F.col("iso_code"))).first() == (1.0, 1.0)
+        tasks = total.groupBy(F.spark_partition_id() + (F.col("t") * 0).cast("int")).count().collect()
+        assert len(tasks) > 1 and max(r["count"] for r in tasks) < 4000
+        assert plan_of(total).count("FileScan parquet") == 2  # the stored ranges and their totals
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+
+
+def test_spread_without_an_entity_or_rows(spark):
+    df = spark.range(100).select(F.col("id").alias("date"), (F.col("id") * 1.0).alias("x")).repartition(4)
+    out = running_total(df, "x", "t", entity=(), spread=True).orderBy("date")
+    assert [r["t"] for r in out.collect()] == [sum(range(i + 1)) for i in range(100)]
+    empty = spark.createDataFrame([], SCHEMA)
+    assert trailing_mean(running_total(empty, "x", "t", spread=True), ["x"], spread=True).collect() == []
