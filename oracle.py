@@ -405,7 +405,7 @@ def operators() -> dict[str, str]:
         "source_sql_view": with_panels(BY_LOCATION),
         "source_show_sql": with_panels(BY_LOCATION),
         "running_doses_repeated": with_panels(
-            "SELECT * FROM running ORDER BY location, date",
+            "SELECT * FROM running ORDER BY location, date, rolling_vaccination_doses",
             MATCHED.replace("FROM outcomes o", "FROM (SELECT * FROM outcomes UNION ALL SELECT * FROM outcomes) o"),
             running("true"),
         ),

@@ -290,7 +290,9 @@ _RUNNING_COLUMNS = [
 
 def running_days(days: DataFrame, entities: Sequence[str] | None = None) -> DataFrame:
     """Doses accumulated per entity and per 100 people over ``matched_doses``; every entity unless some are named."""
-    return _running(days, entities).orderBy(ENTITY, TIME, CODE).select(*_RUNNING_COLUMNS)
+    # the rows of a repeated key differ by their totals only
+    order = [ENTITY, TIME, CODE, "rolling_vaccination_doses"]
+    return _running(days, entities).orderBy(*order).select(*_RUNNING_COLUMNS)
 
 
 def running_days_tail(days: DataFrame, entities: Sequence[str] | None = None, k: int = 10) -> DataFrame:
