@@ -15,16 +15,38 @@ import regex
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-#: Distinct pieces of text whose ids a task keeps.
-MOST_KEPT = 250_000
+#: Distinct pieces of text whose ids a task keeps anew before those not met since the last time go.
+MOST_KEPT = 150_000
+
+
+class Kept(dict):
+    """What was met lately: once MOST_KEPT are new, what was met neither since then nor in the round before goes."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        found = self.before.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > MOST_KEPT:
+            self.before = dict(self)
+            self.clear()
+
+    def forget(self) -> None:
+        self.before = {}
+        self.clear()
 
 
 class ChunkTokenizer:
     """A tokenizer that drops white space, so that the ids of a text are those of its pieces between blanks.
 
     The tokenizer in turn cuts a piece into words, numbers and signs by a pattern of its file, and the ids of each are
-    its own. Ids of pieces and of their parts are kept while there are fewer than MOST_KEPT; then the memory starts
-    anew. Results don't depend on it.
+    its own. Ids of pieces and of their parts are kept in two rounds of MOST_KEPT. Results don't depend on it.
     """
 
     _loaded: dict[str, ChunkTokenizer] = {}
@@ -35,13 +57,14 @@ class ChunkTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each
         self._tokenizer = Tokenizer.from_file(path)
-        self._kept: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self._kept = Kept()
+        self._parts = Kept()
         with open(path, encoding="utf-8") as file:
             first = json.load(file)["pre_tokenizer"]["pretokenizers"][0]
         if (first["type"], first["behavior"], first["invert"]) != ("Split", "Removed", True):
             raise ValueError(f"{path} doesn't cut texts by a pattern of parts that it keeps")
-        self._model = self._tokenizer.model
+        self._tokenize = self._tokenizer.model.tokenize
+        self._names: dict[str, str] = {}
         self._named = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self._find = regex.compile(first["pattern"]["Regex"]).findall
 
@@ -54,8 +77,8 @@ class ChunkTokenizer:
 
     def forget(self) -> None:
         """Drop the kept ids: a worker goes on with other tasks."""
-        self._kept.clear()
-        self._parts.clear()
+        self._kept.forget()
+        self._parts.forget()
 
     def _parts_of(self, chunk: str) -> list[str] | None:
         """The parts of a piece; None where lower case or composition could depend on neighbours."""
@@ -64,6 +87,10 @@ class ChunkTokenizer:
             len(low) != len(chunk) or "Σ" in chunk or not unicodedata.is_normalized("NFC", chunk)
         ):
             return None
+        if low.isalpha():  # letters to Python are letters to the pattern; most pieces are a word, or one and a sign
+            return [low]
+        if low[-1:] in ",.;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
         return None if "<|" in chunk else self._find(low)
 
     def _encode(self, chunk: str) -> bytes:
@@ -71,29 +98,34 @@ class ChunkTokenizer:
         own = self._parts_of(chunk)
         if own is None:
             return array("I", self._tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        parts, out = self._parts, []
+        parts, names, out = self._parts, self._names, []
         for part in own:
-            ids = parts.get(part)
+            ids = parts.get(part) or parts[part]
             if ids is None:
-                # signs in print are their own bytes' names; others are named by the byte-level step
-                plain = part if part.isascii() and part.isprintable() else self._named(part)[0][0]
-                ids = parts[part] = array("I", [t.id for t in self._model.tokenize(plain)]).tobytes()
+                # signs in print are their own bytes' names; others are named by the byte-level step, one by one
+                plain = part if part.isascii() and part.isprintable() else "".join([names.get(c) or self._name(c) for c in part])
+                ids = parts[part] = array("I", [t.id for t in self._tokenize(plain)]).tobytes()
+            if len(own) == 1:
+                return ids
             out.append(ids)
         return b"".join(out)
 
+    def _name(self, sign: str) -> str:
+        name = self._names[sign] = self._named(sign)[0][0]
+        return name
+
     def ids(self, text: str) -> np.ndarray:
         """The ids of the whole text, without special tokens around it."""
         chunks = text.replace("\n", " ").split(" ")
         kept = self._kept
-        for memory in (kept, self._parts):
-            if len(memory) > MOST_KEPT:
-                memory.clear()
+        kept.turn()
+        self._parts.turn()
         found = list(map(kept.get, chunks))
         if None in found:
             for i, ids in enumerate(found):
                 if ids is None:
                     chunk = chunks[i]
-                    ids = kept.get(chunk)
+                    ids = kept[chunk]
                     if ids is None:
                         ids = kept[chunk] = self._encode(chunk)
                     found[i] = ids
