@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from panelytics.llm.batches import byte_table, in_batches, mixed, text_bytes, text_chunks, window_hashes, words_of
 from panelytics.llm.components import components
-from panelytics.llm.storage import row_key, stored
+from panelytics.llm.storage import free, row_key, stored
 
 #: Fixed value: words are runs of all but blank, tab, line feed, vertical tab, form feed and carriage return.
 IN_WORD = ~byte_table((0x20, 0x20), (0x09, 0x0D))
@@ -386,8 +386,10 @@ def _as_classes(held: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame, size: int, similar: int) -> DataFrame:
     """The columns of ``near_duplicates`` and ``row``, the rows' keys."""
-    held = stored(sketches(docs, size))
-    classes = stored(_as_classes(held))
+    sketched = stored(sketches(docs, size))
+    classes = stored(_as_classes(sketched))
+    held = stored(sketched.drop("registers"))
+    free(sketched)
     linked = class_components(docs, classes, size, similar).join(classes.select("id", "doc"), "id")
     smallest = stored(linked.groupBy("component").agg(F.min("doc").alias("least")))
     found = linked.join(smallest, "component").select("id", "least")

@@ -55,6 +55,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(table: DataFrame) -> None:
+    """Remove the files of a ``stored`` table. All that was read from it has to be stored by then."""
+    spark = table.sparkSession
+    for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
     """A number for each row of documents that any pass over them finds again without storing the texts.
 
