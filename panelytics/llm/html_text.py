@@ -20,8 +20,10 @@ from panelytics.llm.batches import in_batches
 
 # Names of the page language, by what they mean for the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content isn't markup.
-RAW = ("script", "style", "textarea", "noscript", "template", "title", "iframe", "svg", "select", "object", "xmp")
+#: Elements whose content isn't markup, up to their close tag or the end of the page.
+RAW = ("script", "style", "textarea", "title", "xmp")
+#: Elements whose content isn't text of the page. Without a close tag of its own, one ends before the next block.
+SKIPPED = ("noscript", "template", "iframe", "svg", "select", "object")
 #: Elements that run inside a line of text; all others begin and end a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small"
@@ -44,8 +46,11 @@ QUALIFIERS = frozenset(
     "site page main global top bottom left right primary secondary side box bar container block area section list links link"
     " button buttons form unit slot inner outer thread wrap wrapper".split()
 )
+#: Tokens that mark what readers wrote; further parts of such a token are of the frame, a number or of COMMENT_PARTS.
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+COMMENT_PARTS = frozenset("author body content count entry item meta reader readers reply text thread user users".split())
 #: What a head holds; any other element ends it.
-IN_HEAD = frozenset("meta link base basefont bgsound noscript".split())
+IN_HEAD = frozenset("meta link base basefont bgsound noscript template object".split())
 #: Elements that an opening tag of the key closes, if one is open above it in the same container.
 CLOSED_BY = {
     "li": ("li",),
@@ -62,13 +67,22 @@ CLOSES_P = frozenset(
     " h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 
+_COMMENT = r"<!---?>|<!--.*?(?:--!?>|\Z)"
+_RAW = r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"{_COMMENT}{_RAW}"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_SKIPPED = re.compile(
+    rf"{_COMMENT}{_RAW}"
+    r"|<(?P<close>/?)(?P<name>" + "|".join(SKIPPED) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?(?:>|\Z)",
+    re.S | re.I,
+)
+_NEXT_BLOCK = re.compile(
+    r"</?(?:" + "|".join(sorted(CLOSES_P | CONTAINERS | {"aside", "head", "td", "th", "tr", "li", "dt", "dd"})) + r")(?=[\s/>])", re.I
+)
 _MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -100,15 +114,26 @@ def _is_frame_token(token: str) -> bool:
     return not OUTSIDE_WORDS.isdisjoint(parts) and all(part in OUTSIDE_WORDS or part in QUALIFIERS for part in parts)
 
 
+def _is_comment_token(token: str) -> bool:
+    first, *rest = re.split("[-_]+", token)
+    return first in COMMENT_WORDS and all(
+        part in COMMENT_WORDS or part in COMMENT_PARTS or part in QUALIFIERS or part.isdigit() for part in rest
+    )
+
+
 def _frame_mark(name: str, attrs: str) -> str:
-    """Whether the element is marked as the page's frame: "surely", "likely" (a wrapper may be, too), or not ("")."""
+    """Whether the element is marked as the page's frame: "surely", "likely" (a wrapper may be, too), "comments" of
+    readers (also if each is an article of its own), or not ("")."""
+    if attrs and name not in ("body", "html", "main"):
+        marks = [(mark.lower(), "".join(values).lower()) for mark, *values in _MARKS.findall(attrs)]
+        if any(mark in ("class", "id") and any(map(_is_comment_token, value.split())) for mark, value in marks):
+            return "comments"
     if name in OUTSIDE:
         return "likely" if name in WRAPPERS else "surely"
     if name in ("body", "html", "article", "main") or not attrs:
         return ""
     found = ""
-    for mark, *values in _MARKS.findall(attrs):
-        mark, value = mark.lower(), "".join(values).lower()
+    for mark, value in marks:
         if mark == "role" and value in OUTSIDE_ROLES or mark == "hidden" or mark == "aria-hidden" and value == "true":
             return "surely"
         if mark in ("class", "id") and any(map(_is_frame_token, value.split())):
@@ -122,13 +147,20 @@ def _without_frame(root: Node) -> None:
     An element with a <main> stays; one with articles stays if they are most of the page's text, or if it isn't surely
     frame and they are most of all articles, or if only a missing close tag put them into it. Where no article or main
     is elsewhere, an element that isn't surely frame also stays with most of the page's text. Density decides on these.
+    What readers wrote never counts, however long it is, and stays out unless it holds a <main>, or an article that only
+    a missing close tag put into it.
     """
     nodes = _in_order(root)
-    chars = {id(n): 0 if n.name == "head" else n.chars for n in nodes}
+    by_readers: set[int] = set()
+    for node in nodes:  # parents first; an article that isn't itself marked counts below an unclosed mark
+        if node.frame == "comments" or node.parent and id(node.parent) in by_readers:
+            if node.frame == "comments" or node.name not in ("article", "main"):
+                by_readers.add(id(node))
+    chars = {id(n): 0 if n.name == "head" or id(n) in by_readers else n.chars for n in nodes}
     articles, mains = dict.fromkeys(chars, 0), dict.fromkeys(chars, False)
     for node in reversed(nodes):
         own = id(node)
-        if node.name in ("article", "main"):
+        if node.name in ("article", "main") and own not in by_readers:
             articles[own] = chars[own]
             mains[own] |= node.name == "main"
         if node.parent:
@@ -140,6 +172,8 @@ def _without_frame(root: Node) -> None:
 
     def stays(node: Node) -> bool:
         own = id(node)
+        if node.frame == "comments":
+            return mains[own] or bool(articles[own]) and not node.closed
         if mains[own] or articles[own] and (not node.closed or 2 * articles[own] > page):
             return True
         if node.frame == "surely":
@@ -159,9 +193,28 @@ def _without_frame(root: Node) -> None:
         node.parts = parts
 
 
+def _ends_of_skipped(page: str) -> dict[int, int]:
+    """Where each SKIPPED element that has a close tag starts and ends. Elements of one name may nest."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {name: [] for name in SKIPPED}
+    for tag in _SKIPPED.finditer(page):
+        if not (name := (tag["name"] or "").lower()):
+            continue
+        if not tag["close"]:
+            if not tag[0].endswith("/>"):
+                opened[name].append(tag.start())
+        elif opened[name]:
+            ends[opened[name].pop()] = tag.end()
+    return ends
+
+
 def tree_of(page: str) -> Node:
-    """The page's blocks, without its frame. Inline elements only count as tags, links also as such."""
+    """The page's blocks, without its frame. Inline elements only count as tags, links also as such.
+
+    Of SKIPPED elements a self-closed one is empty, and one without a close tag ends before the next block.
+    """
     root = node = Node("html", None)
+    ends = _ends_of_skipped(page)
     in_link, at = False, 0
     inline_frames: dict[int, int] = {}  # inline elements marked as frame: how many of their name are open in them
 
@@ -189,12 +242,19 @@ def tree_of(page: str) -> Node:
             above = above.parent
         return out
 
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, at):
         add(page[at : token.start()])
         at = token.end()
         name = (token["name"] or "").lower()
         if not name:
             continue
+        if name in SKIPPED:
+            if token.start() in ends:
+                at = max(at, ends[token.start()])
+            elif not token["close"] and not token[0].endswith("/>"):
+                following = _NEXT_BLOCK.search(page, at)
+                at = following.start() if following else len(page)
+            continue
         if token["close"]:
             if name == "a":
                 in_link = False

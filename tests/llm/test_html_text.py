@@ -147,3 +147,54 @@ def test_leads_beside_the_choice_are_kept(page):
     lead = "A lead as bare text, with a good many words and no link in it."
     assert main_text(page.format(ARTICLE)) == f"{lead}\n\n{ARTICLE_TEXT}"
     assert main_text(page.format(ARTICLE).replace(lead, f"<a>{lead}</a>").replace("body>", "body>Menu ", 1)).count("Menu") == 0
+
+
+@pytest.mark.parametrize(
+    "odd",
+    [
+        "<svg class=i/>",
+        "<svg class='i' />",
+        "<object data='a'/>",
+        "<object data='a'>",
+        "<iframe src='a' />",
+        "<noscript>",
+        "<noscript><img src=a>",
+        "<noscript><img src=a><noscript>none</noscript>",
+        "<select><option>One<option>Two",
+        "<template><i>x</i>",
+        "<svg><path d='M0 0'><g></g>",
+        "<svg><title>A star</title><svg></svg><text>star</text></svg>",
+        "<object data='a'><object data='b'>no player</object>neither</object>",
+        "<script>var a = '<svg>';</script>",
+        "<!-- <svg> -->",
+        "<!-->",
+        "<!--->",
+        "<!-- odd --!>",
+    ],
+)
+def test_skipped_elements_end_where_they_should(odd):
+    for body in (f"{odd}<article>{ARTICLE}</article>", f"<article>{odd}{ARTICLE}</article>", f"<div>{odd}</div><div>{ARTICLE}</div>"):
+        assert main_text(f"<html><head><title>t</title></head><body>{body}</body></html>") == ARTICLE_TEXT
+        assert main_text(f"<body>{body}<p><svg></svg></p></body>".replace("</p><p>", f"</p>{odd}<p>")) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("times", [1, 5, 200])
+@pytest.mark.parametrize(
+    "comments",
+    [
+        "<div class=comments>{}</div>",
+        "<section id='comments' class='section'><ol class=comment-list><li id=comment-17>{}</li></ol></section>",
+        "<div id=comments><article class='comment-body'>{}</article></div>",
+        "<div><article class=comment id=comment-3>{}</article></div>",
+        "<div id=disqus_thread>{}",
+    ],
+)
+@pytest.mark.parametrize("body", ["<div class=content>{}</div>", "<article>{}</article>", "<div><main>{}</main></div>"])
+def test_comments_of_readers_stay_out_however_long(times, comments, body):
+    said = "<p>What a long and winding comment a reader has left below the article.</p>" * times
+    assert main_text(f"<body>{body.format(ARTICLE)}{comments.format(said)}</body>") == ARTICLE_TEXT
+
+
+def test_many_unclosed_elements_take_linear_time():
+    page = "<noscript><select><svg>" * 50_000 + f"<article>{ARTICLE}</article>"
+    assert main_text(page) == ARTICLE_TEXT
