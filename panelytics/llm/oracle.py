@@ -7,7 +7,7 @@ against brute force.
 from __future__ import annotations
 
 from panelytics.llm.personal_data import CONTEXTS, GENERALISED, REMOVED, WINDOW
-from panelytics.llm.secret_scans import KINDS, WIDELY_COPIED
+from panelytics.llm.secret_scans import MANY_REPOSITORIES, WIDELY_COPIED
 from panelytics.llm.url_filters import LISTED_HOSTS, RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,14 +67,44 @@ part AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM part LEFT JOIN sizes USING (doc_id)"""
 
+# kind, pattern, group of the secret, its least length, what differs between copies of one secret
+_BODY = r"\x09-\x0D\x20\\\"'>#*|,;A-Za-z0-9+/="
+_PEM_HEAD = r"(?:[\x09-\x0D\x20\\\"'>#*|,;nrt]*Proc-Type:\x20*[0-9],ENCRYPTED[\x09-\x0D\x20\\\"'>#*|,;nrt]*DEK-Info:\x20*[A-Za-z0-9-]+,[0-9A-Fa-f]+)?"
+_SECRET_KINDS = (
+    ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, None),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20, None),
+    ("hex", r"[0-9a-f]+", 0, 24, None),
+    (
+        "issued",
+        r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,}"
+        r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})",
+        0,
+        20,
+        None,
+    ),
+    (
+        "pem",
+        rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_PEM_HEAD}[{_BODY}.:]*-----END [A-Z ]{{0,40}}PRIVATE KEY-----"
+        rf"|{_PEM_HEAD}[{_BODY}]*[A-Za-z0-9+/]{{16,}}={{0,2}}(?:(?:\r?\n|\\n)[\x20\x09]*[A-Za-z0-9+/]+={{0,2}})?)?",
+        0,
+        20,
+        r"-----(?:BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----|Proc-Type:\x20*[0-9],ENCRYPTED|DEK-Info:\x20*[A-Za-z0-9-]+,[0-9A-Fa-f]+"
+        r"|\\[nrt]|[\"'][\s+.]*[\"']|[^A-Za-z0-9+/=]",
+    ),
+)
 _FOUND = " UNION ALL ".join(
-    f"""SELECT doc_id, source, {i} AS kind_no, '{kind.name}' AS kind, {kind.least} AS least,
-    regexp_extract_all(coalesce(text, ''), {quoted(kind.pattern)}) AS whole,
-    regexp_extract_all(coalesce(text, ''), {quoted(kind.pattern)}, {kind.group}) AS secret,
-    string_split_regex(coalesce(text, ''), {quoted(kind.pattern)}) AS gap FROM documents"""
-    for i, kind in enumerate(KINDS)
+    f"""SELECT doc_id, source, {i} AS kind_no, '{kind}' AS kind, {least} AS least,
+    regexp_extract_all(coalesce(text, ''), {quoted(pattern)}) AS whole,
+    regexp_extract_all(coalesce(text, ''), {quoted(pattern)}, {group}) AS secret,
+    string_split_regex(coalesce(text, ''), {quoted(pattern)}) AS gap FROM documents"""
+    for i, (kind, pattern, group, least, noise) in enumerate(_SECRET_KINDS)
+)
+_BASE = 3
+_VALUES = " UNION ALL ".join(
+    f"""SELECT *, {f"coalesce(nullif(regexp_replace(secret, {quoted(noise)}, '', 'g'), ''), secret)" if noise else "secret"} AS value
+    FROM span WHERE kind_no = {i} AND length(secret) >= least"""
+    for i, (_, _, _, _, noise) in enumerate(_SECRET_KINDS)
 )
-_BASE = len([kind for kind in KINDS if kind.name in ("assign", "access", "hex")])
 SECRETS = f"""
 WITH found AS ({_FOUND}),
 span AS (
@@ -83,15 +113,20 @@ span AS (
     length(whole[i]) AS size
   FROM found, unnest(range(1, len(whole) + 1)) AS t(i)
 ),
-kept AS (SELECT *, concat(kind, ':', CAST(s AS BIGINT), ':', CAST(s + size AS BIGINT)) AS named FROM span WHERE length(secret) >= least),
-owners AS (SELECT secret, count(DISTINCT coalesce(source, '')) AS n FROM kept GROUP BY secret),
+kept AS (SELECT *, concat(kind, ':', CAST(s AS BIGINT), ':', CAST(s + size AS BIGINT)) AS named FROM ({_VALUES})),
+owners AS (
+  SELECT value, count(DISTINCT coalesce(source, '')) AS n,
+    count(DISTINCT (coalesce(source, ''), coalesce(CAST(doc_id AS VARCHAR), ''))) AS places
+  FROM kept GROUP BY value
+),
+told AS (SELECT value, n >= {WIDELY_COPIED} OR n >= 2 AND places >= {MANY_REPOSITORIES} AS copied FROM owners),
 each AS (
   SELECT doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access,
     count(*) FILTER (kind_no = 2) AS n_hex,
     string_agg(named, ',' ORDER BY s, kind_no) FILTER (kind_no < {_BASE}) AS base,
     string_agg(named, ',' ORDER BY s, kind_no) AS spans,
-    count(*) FILTER (owners.n < {WIDELY_COPIED}) AS n_live, count(*) FILTER (owners.n >= {WIDELY_COPIED}) AS n_example
-  FROM kept JOIN owners USING (secret) GROUP BY doc_id
+    count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_example
+  FROM kept JOIN told USING (value) GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,

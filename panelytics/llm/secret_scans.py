@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -60,8 +61,52 @@ FURTHER_KINDS = (
 )
 KINDS = BASE_KINDS + FURTHER_KINDS
 
-#: A value seen in this many sources is a copied example.
-WIDELY_COPIED = 3
+#: A value is a copied example if this many owners hold it, or if two owners do in so many repositories together. A value
+#: of one owner is live in however many repositories it stands.
+WIDELY_COPIED, MANY_REPOSITORIES = 3, 20
+
+#: Values folded one after another before the next block starts, and code points of a block that texts are cut from.
+_BLOCK, _CUT = 256, 1024
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often lambdas in ``use`` refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """For each of ``values`` the fold of those before it, from 0, and that of all at the end.
+
+    An array only grows by copying it, so values are folded in blocks, then the blocks: work grows with the number of
+    values, not with its square.
+    """
+
+    def folds(part: Column) -> Column:
+        return F.aggregate(
+            part, F.array(F.lit(0)), lambda so_far, x: F.concat(so_far, F.array(fold(F.element_at(so_far, -1), x)))
+        )
+
+    def joined(blocks: Column) -> Column:
+        carried = folds(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return _let(
+            carried,
+            lambda c: F.concat(
+                F.flatten(
+                    F.zip_with(
+                        blocks,
+                        F.slice(c, 1, F.size(blocks)),
+                        lambda b, so_far: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: fold(so_far, x)),
+                    )
+                ),
+                F.array(F.element_at(c, -1)),
+            ),
+        )
+
+    def in_blocks(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(_BLOCK))
+        return _let(F.transform(starts, lambda at: folds(F.slice(v, at, _BLOCK))), joined)
+
+    return _let(values, in_blocks)
 
 
 def _found(text: Column, kind: Kind, order: int) -> Column:
@@ -69,28 +114,27 @@ def _found(text: Column, kind: Kind, order: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     secret = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)) if kind.group else whole
     gaps = F.transform(F.split(text, kind.pattern, -1), F.length)
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), secret.alias("secret"))
-    shape = "struct<at:int,spans:array<struct<start:int,kind_no:int,end:int,value:string>>>"
+    parts = F.arrays_zip(gaps.alias("gap"), F.transform(whole, F.length).alias("size"), secret.alias("secret"))
+
+    def spans(found: Column) -> Column:
+        ends = _before(F.transform(found, lambda part: part["gap"] + part["size"]), lambda x, y: x + y)
+        placed = F.arrays_zip(found.alias("part"), F.slice(ends, 2, F.size(found)).alias("end"))
+        return F.transform(F.filter(placed, lambda p: F.length(p["part"]["secret"]) >= kind.least), span)
 
-    def step(so_far: Column, part: Column) -> Column:
-        start = so_far["at"] + part["gap"]
-        end = start + F.length(part["whole"])
-        value = part["secret"]
+    def span(placed: Column) -> Column:
+        value, end = placed["part"]["secret"], placed["end"]
         if kind.noise:
             bare = F.regexp_replace(value, kind.noise, "")
             value = F.when(bare != "", bare).otherwise(value)
-        span = F.struct(
-            start.alias("start"), F.lit(order).alias("kind_no"), end.alias("end"), F.sha2(value, 256).alias("value")
-        )
+        start = end - placed["part"]["size"]
         return F.struct(
-            end.alias("at"),
-            F.when(F.length(part["secret"]) >= kind.least, F.concat(so_far["spans"], F.array(span)))
-            .otherwise(so_far["spans"])
-            .alias("spans"),
+            start.alias("start"), F.lit(order).alias("kind_no"), end.alias("end"), F.sha2(value, 256).alias("value")
         )
 
-    start = F.from_json(F.lit('{"at":0,"spans":[]}'), shape)
-    return F.when(text.rlike(kind.pattern), F.aggregate(parts, start, step)["spans"]).otherwise(start["spans"])
+    # the last gap is that behind all matches
+    matches = _let(parts, lambda all_parts: spans(F.slice(all_parts, 1, F.size(all_parts) - 1)))
+    none = F.from_json(F.lit("[]"), "array<struct<start:int,kind_no:int,end:int,value:string>>")
+    return F.when(text.rlike(kind.pattern), matches).otherwise(none)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -117,16 +161,28 @@ def ownership(found: DataFrame, owner: str = "source", repository: str = "doc_id
     return each.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"))
 
 
-def classify(docs: DataFrame, owner: str = "source", repository: str = "doc_id", widely: int = WIDELY_COPIED) -> DataFrame:
-    """One row per row of ``docs``: its spans, each with ``n_owners`` and ``live``.
+def _is_copied(widely: int, many: int) -> Column:
+    """Whether a row of ``ownership`` is a copied example."""
+    return (F.col("n_owners") >= widely) | (F.col("n_owners") >= 2) & (F.col("n_repositories") >= many)
+
+
+def classify(
+    docs: DataFrame,
+    owner: str = "source",
+    repository: str = "doc_id",
+    widely: int = WIDELY_COPIED,
+    many: int = MANY_REPOSITORIES,
+) -> DataFrame:
+    """One row per row of ``docs``: its spans, each with ``n_owners``, ``n_repositories`` and ``live``.
 
-    A value with ``widely`` or more owners is a copied example; all other values are live. Texts are scanned once.
-    Rows with equal ids stay apart. The text itself isn't returned.
+    A value with ``widely`` or more owners, or with two or more in ``many`` repositories, is a copied example; all other
+    values are live. Texts are scanned once. Rows with equal ids stay apart. The text itself isn't returned.
     """
     found = stored(scan(docs.select(*dict.fromkeys(["doc_id", "text", owner, repository]))).drop("text"))
     found = found.withColumn("_row", F.monotonically_increasing_id())
     some = found.where(F.size("spans") > 0)
-    owners = ownership(some, owner, repository).select("value", "n_owners")
+    # stored, so that the join's inputs are bare shuffles, of which Spark splits a value that a third of the rows hold
+    owners = stored(ownership(some, owner, repository).withColumn("copied", _is_copied(widely, many)))
     marked = (
         some.select("_row", F.explode("spans").alias("s"))
         .select("_row", "s.*")
@@ -135,7 +191,7 @@ def classify(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
         .agg(
             F.array_sort(
                 F.collect_list(
-                    F.struct("start", "kind_no", "end", "value", "n_owners", (F.col("n_owners") < widely).alias("live"))
+                    F.struct("start", "kind_no", "end", "value", "n_owners", "n_repositories", (~F.col("copied")).alias("live"))
                 )
             ).alias("_marked")
         )
@@ -169,6 +225,30 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_marks(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``mark`` for each run of overlapping ``spans``. Spans are sorted by start.
+
+    What lies between is cut from blocks of the text, since a position is found by walking there from the beginning.
+    """
+
+    def between(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _CUT).cast("int")
+        held = F.slice(blocks, first + 1, F.floor(end / _CUT).cast("int") - first + 1)
+        return F.substring(F.array_join(held, ""), start - first * _CUT + 1, end - start)
+
+    def pieces(blocks: Column, reach: Column) -> Column:
+        runs = F.filter(
+            F.arrays_zip(spans.alias("span"), F.slice(reach, 1, F.size(spans)).alias("reach")),
+            lambda run: run["span"]["start"] >= run["reach"],
+        )
+        cut = F.transform(runs, lambda run: between(blocks, run["reach"], run["span"]["start"]))
+        return F.concat(cut, F.array(between(blocks, F.element_at(reach, -1), F.length(text))))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0))
+    reach = _before(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    return F.array_join(_let(blocks, lambda b: _let(reach, lambda r: pieces(b, r))), mark)
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each live secret replaced by ``mark`` in ``text``, overlapping spans by one; examples stay.
 
@@ -176,27 +256,17 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
     found = stored(scan(docs.select("doc_id", "text", "source", whole))).withColumn("_row", F.monotonically_increasing_id())
-    owners = ownership(found.where(F.size("spans") > 0)).where(F.col("n_owners") < WIDELY_COPIED).select("value")
+    some = found.where(F.size("spans") > 0)
+    owners = stored(ownership(some).where(~_is_copied(WIDELY_COPIED, MANY_REPOSITORIES)).select("value"))
     live = (
-        found.where(F.size("spans") > 0)
-        .select("_row", F.explode("spans").alias("s"))
+        some.select("_row", F.explode("spans").alias("s"))
         .select("_row", "s.start", "s.end", "s.value")
         .join(owners, "value", "left_semi")
         .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_live"))
     )
-    text = F.col("text")
-
-    def step(so_far: Column, span: Column) -> Column:
-        piece = F.substring(text, so_far["at"] + 1, span["start"] - so_far["at"])
-        return F.when(
-            span["start"] >= so_far["at"],
-            F.struct(span["end"].alias("at"), F.concat(so_far["out"], F.array(piece)).alias("out")),
-        ).otherwise(F.struct(F.greatest(so_far["at"], span["end"]).alias("at"), so_far["out"].alias("out")))
-
-    start = F.from_json(F.lit('{"at":0,"out":[]}'), "struct<at:int,out:array<string>>")
-    pieces = F.aggregate("_live", start, step, lambda x: F.concat(x["out"], F.array(F.substring(text, x["at"] + 1, F.length(text)))))
-    out = found.join(live, "_row", "left").withColumn("_new", F.when(F.col("_live").isNotNull(), F.array_join(pieces, mark)))
+    new_text = F.when(F.col("_live").isNotNull(), _with_marks(F.col("text"), F.col("_live"), mark))
+    out = found.join(live, "_row", "left").withColumn("_new", new_text)
     new = {"text": F.coalesce("_new", "text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

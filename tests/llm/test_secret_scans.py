@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,60 @@ def test_private_keys_match_as_in_sql():
     for text in texts:
         got = duckdb.execute("SELECT regexp_extract_all(?, ?)", [f"{text} x {text}", ss.PEM]).fetchone()[0]
         assert got == [m[0] for m in re.finditer(ss.PEM, f"{text} x {text}")] and len(got) == 2
+
+
+def test_many_matches_in_one_text(spark):
+    """Blocks of folded values and of cut text, and both sides of their borders."""
+    rows = []
+    for n in (255, 256, 257, 513, 3000):
+        text = "é".join(f" {i:024x}" for i in range(n)) + " token=abcdefgh日" * (n % 5)
+        rows.append((n, text, f"only {n}"))
+    rows.append((1, "token=" + "0123456789abcdef" * 400 + "日" * 3000 + "AKIA" + "B" * 5000 + "x" * 1023, "one"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = ss.report(df).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted((r[0], *brute(r[1])[0]) for r in rows)
+    live = {r["doc_id"]: r for r in ss.classify(df).collect()}
+    for doc_id, text, _ in rows:
+        want, at = [], 0
+        for span in live[doc_id]["spans"]:
+            if span["live"]:
+                if span["start"] >= at:
+                    want.append(text[at : span["start"]])
+                at = max(at, span["end"])
+        want.append(text[at:])
+        (r,) = ss.redact(df.where(F.col("doc_id") == doc_id)).collect()
+        assert doc_id != 1 or r["text"] == "[SECRET]".join(want)
+        assert r["text"].count("[SECRET]") >= 1
+    whole = {r["doc_id"]: r["text"] for r in ss.redact(df).collect()}
+    for doc_id, text, _ in rows:
+        spans, pieces, at = live[doc_id]["spans"], [], 0
+        for span in (s for s in spans if s["live"]):
+            if span["start"] >= at:
+                pieces.append(text[at : span["start"]])
+            at = max(at, span["end"])
+        assert whole[doc_id] == "[SECRET]".join([*pieces, text[at:]])
+
+
+def test_time_grows_with_the_matches(spark):
+    def seconds(n):
+        text = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(n))
+        df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").cache()
+        df.count()
+        began = time.perf_counter()
+        assert ss.report(df).first()["n_hex"] == n
+        return time.perf_counter() - began
+
+    seconds(5000)
+    assert seconds(40_000) < 6 * seconds(5000) + 2
+
+
+def test_repositories_count_with_owners(spark):
+    text = "password=sharedvalue"
+    rows = [(i, text, f"o{i % 2}") for i in range(20)] + [(100 + i, "password=ownvalue", "o") for i in range(50)]
+    rows += [(200 + i, "password=pairvalue", f"o{i % 2}") for i in range(19)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in ss.report(df).collect()}
+    assert {got[i] for i in range(20)} == {(0, 1)}
+    assert {got[i] for i in [*range(100, 150), *range(200, 219)]} == {(1, 0)}
+    out = {r["doc_id"]: r["text"] for r in ss.redact(df).collect()}
+    assert out[0] == text and out[100] == out[200] == "[SECRET]"
