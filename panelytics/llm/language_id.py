@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -13,69 +14,76 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelytics.llm.batches import in_batches, text_chunks
+from panelytics.llm.storage import row_key, stored
 
 #: What a text gets that is null or has no letter.
 UNKNOWN = "und"
-#: Most rows of each language that a dictionary is made from, and its most bytes. Both bound the driver's memory; the
-#: rows are those with the smallest hashes of their ids.
-SAMPLE_ROWS, DICTIONARY_BYTES = 600, 64 << 10
-#: Most languages.
-MOST_LANGUAGES = 400
+#: Most rows of each language that a dictionary is made from (those with the smallest keys, see ``row_key``), its most
+#: bytes, and the most bytes of all dictionaries together: with very many languages each is as much smaller.
+SAMPLE_ROWS, DICTIONARY_BYTES, MODEL_BYTES = 600, 64 << 10, 16 << 20
 #: A text is compressed in blocks of about so many bytes, each with the dictionary alone, so that the end of a long
 #: text counts like its beginning. All blocks count.
 BLOCK_BYTES = 2048
 LEVEL = 6
+#: Logarithms of the compressor's tables, large enough for a dictionary; the level's own would take 3 MB a language.
+TABLES = {"window_log": 17, "chain_log": 16, "hash_log": 16}
 #: Bytes that end each block. The format stores a block as it is unless that saves enough; this constant run saves it,
 #: so that even a word is stored by its matches in the dictionary.
 ENDING = bytes(32)
 #: Smallest share by which the second smallest size must exceed the smallest; a text below that is rejected.
 NARROW = 0.002
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters and signs of numbers; ``str.isalpha`` tells these apart.
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _BLANK = re.compile(r"\s+")
 
 
+def _has_letter(text: str) -> bool:
+    return any(found[0].isalpha() for found in _MAYBE_LETTER.finditer(text))
+
+
 def training_rows(docs: DataFrame, may_learn: Column | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` (lang, doc_id, text) of each language: those of the smallest hashes of their ids, from all rows
-    with text and language for which ``may_learn`` holds. Only ids move before the choice is made, and of a longer text
-    no more than a dictionary holds is fetched."""
+    """At most ``rows`` (lang, key, text) of each language: those of the smallest keys, from all rows with text and
+    language for which ``may_learn`` holds. A row that repeats counts once, whatever the id is, null too. Only keys
+    move before the choice is made, and of a longer text no more than a dictionary holds is fetched."""
     some = F.col("lang").isNotNull() & F.col("text").isNotNull()
-    labelled = docs.where(some if may_learn is None else some & may_learn)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    dealt = labelled.select("lang", "doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(64)).alias("deal"))
-    chosen = dealt
-    for parts in (["lang", "deal"], ["lang"]):  # first in shares, so that a language's rows don't meet in one task
-        place = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
-        chosen = chosen.withColumn("_n", place).where(F.col("_n") <= rows).select("lang", "doc_id", "deal")
-    chosen = chosen.select("lang", "doc_id")
-    sample = labelled.select("lang", "doc_id", F.substring("text", 1, DICTIONARY_BYTES).alias("text"))
-    # MOST_LANGUAGES x SAMPLE_ROWS ids at most
-    return sample.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+    labelled = docs.where(some if may_learn is None else some & may_learn).select(
+        F.col("lang").cast("string").alias("lang"),
+        row_key().alias("key"),
+        F.substring("text", 1, DICTIONARY_BYTES).alias("text"),
+    )
+    chosen = labelled.select("lang", "key").distinct().withColumn("deal", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(64)))
+    for parts in (["lang", "deal"], ["lang"]):  # first in shares, so that a language's keys don't meet in one task
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy("key"))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= rows).drop("place")
+    # stored, so that Spark knows its size when it chooses the join
+    return labelled.join(stored(chosen.drop("deal")), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
+
+
+def dictionary(texts: Iterable[str], size: int) -> bytes:
+    """At most ``size`` bytes of raw text, of each text a like share, so that no single long one fills it."""
+    ordered = sorted({_plain(text) for text in texts if _has_letter(text)}, key=lambda text: (len(text), text))
+    share = max(256, size // max(1, len(ordered)))
+    parts, room = [], size
+    for i, text in enumerate(ordered):
+        part = text[: max(share, room // (len(ordered) - i))]
+        parts.append(part)
+        room = max(0, room - len(part))
+    return b"".join(parts)[:size]
 
 
 def dictionaries(docs: DataFrame, may_learn: Column | None = None) -> dict[str, bytes]:
-    """For each language a dictionary of raw text, as long as for the others: pieces of the sampled rows, the same
-    share of each, so that no single long text fills it."""
-    if (n := docs.select("lang").distinct().limit(MOST_LANGUAGES + 2).count()) > MOST_LANGUAGES + 1:
-        raise ValueError(f"{n} languages; at most {MOST_LANGUAGES} are meant")
-    texts: dict[str, list[tuple[str, str]]] = {}
-    for lang, doc_id, text in training_rows(docs, may_learn).collect():  # MOST_LANGUAGES x SAMPLE_ROWS rows at most
-        texts.setdefault(lang, []).append((str(doc_id), text))
-    out = {}
-    for lang, rows in sorted(texts.items()):
-        distinct = list(dict.fromkeys(_plain(text) for _, text in sorted(rows) if _LETTER.search(text)))
-        share = max(256, DICTIONARY_BYTES // max(1, len(distinct)))
-        parts, room = [], DICTIONARY_BYTES
-        ordered = sorted(distinct, key=len)
-        for i, text in enumerate(ordered):
-            part = text[: max(share, room // (len(ordered) - i))]
-            parts.append(part)
-            room = max(0, room - len(part))
-        out[lang] = b"".join(parts)[:DICTIONARY_BYTES]
-    least = min((len(d) for d in out.values() if d), default=0)
-    if least >= DICTIONARY_BYTES // 8:
-        return {lang: d[:least] for lang, d in out.items() if d}
-    return {lang: d for lang, d in out.items() if d}
+    """For each language with letters a dictionary of raw text, made where its sampled rows meet. One language's rows
+    never change another's dictionary; only the number of languages does, beyond MODEL_BYTES / DICTIONARY_BYTES."""
+    sample = stored(training_rows(docs, may_learn))
+    size = min(DICTIONARY_BYTES, MODEL_BYTES // max(1, sample.select("lang").distinct().count()))
+
+    def make(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": group["lang"].iloc[:1], "dictionary": [dictionary(group["text"], size)]})
+
+    # SAMPLE_ROWS x DICTIONARY_BYTES characters a group at most, MODEL_BYTES in all
+    made = sample.select("lang", "text").groupBy("lang").applyInPandas(make, "lang string, dictionary binary").collect()
+    return {lang: bytes(found) for lang, found in sorted(made) if found}
 
 
 def _plain(text: str) -> bytes:
@@ -89,7 +97,7 @@ class Compressors:
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
         parameters = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False
+            LEVEL, **TABLES, write_content_size=False, write_checksum=False, write_dict_id=False
         )
         self._compressors = []
         for lang in self.languages:
@@ -106,7 +114,7 @@ class Compressors:
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """The language and the margin: by which share the next size is above the smallest. 1.0 if there is no next."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not _has_letter(text):
             return UNKNOWN, 0.0
         sizes = self.sizes(_plain(text))
         order = np.argsort(sizes, kind="stable")
@@ -124,7 +132,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], narrow: float = NARROW)
     shuffle; equal texts get equal answers.
     """
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(samples)  # MOST_LANGUAGES x DICTIONARY_BYTES at most
+    shared = context.broadcast(samples)  # MODEL_BYTES at most
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Compressors(shared.value)
