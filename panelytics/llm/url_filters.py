@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -26,8 +27,11 @@ RULES = (
 LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
 #: Bits a key in a filter, and the number of its hash functions.
 BITS_PER_KEY, PROBES = 20, 7
-#: Filters and lists above this size aren't broadcast; the keys are then joined.
+#: A filter is broadcast; lists that need a larger one are split by hash into as many cascades as keep below this.
 MOST_FILTER_BYTES = 64 << 20
+_LEAST_FILTER_BYTES = 64
+#: Filters reach the driver in pages of this power of two of 64-bit words.
+_PAGE_POWER = 10
 
 
 def host_of(url: Column) -> Column:
@@ -41,12 +45,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys under which a URL may be listed, the longest first: each suffix of the host's labels, without and with
-    the path's first characters, as many as some listed path has. An empty host or path gives none of that kind."""
-    labels = F.split(host, r"\.")
+def keys_of(host: Column, path: Column, lengths: list[int], labels: list[int]) -> Column:
+    """All keys under which a URL may be listed, the longest first: the host's last labels, as many as some listed host
+    has, without and with the path's first characters, as many as some listed path has. An empty host or path gives
+    none of that kind. A long host gives no more keys than the list has such numbers."""
+    parts = F.split(host, r"\.")
+    counts = F.array(*(F.lit(n) for n in sorted(labels, reverse=True))).cast("array<int>")
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+        F.filter(counts, lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".")
     )
     heads = F.filter(
         F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths, reverse=True))),
@@ -82,7 +88,8 @@ def _passes(words: np.ndarray, one: np.ndarray, two: np.ndarray, level: int) ->
 
 
 def _filter_of(keys: DataFrame, n_keys: int, level: int) -> Broadcast:
-    """The filter of ``keys``: tasks set bits, equal words are joined with OR, and the driver gets the words."""
+    """The filter of ``keys``: tasks set bits, join equal words with OR and put them together in pages of 8 KB; the
+    driver gets the pages one by one and sends the whole to the tasks."""
     n_words = max(1, -(-n_keys * BITS_PER_KEY // 64))
 
     def words(batches):
@@ -95,11 +102,19 @@ def _filter_of(keys: DataFrame, n_keys: int, level: int) -> Broadcast:
             np.bitwise_or.at(joined, where, mask)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(joined.view(np.int64))], ["word", "bits"])
 
-    rows = keys.select("one", "two").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits"))
-    out = np.zeros(n_words, np.uint64)
-    for word, bits in rows.collect():  # no more rows than the filter has words, and its size was checked
-        out[word] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
-    return keys.sparkSession.sparkContext.broadcast(out)
+    def page(own: pa.Table) -> pa.Table:
+        word, bits = (own.column(c).to_numpy() for c in ("word", "bits"))
+        out = np.zeros(1 << _PAGE_POWER, np.int64)
+        out[word & ((1 << _PAGE_POWER) - 1)] = bits
+        return pa.table({"page": pa.array([int(word[0]) >> _PAGE_POWER], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    rows = keys.select("one", "two").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    pages = rows.groupBy(F.shiftright("word", _PAGE_POWER).alias("of")).applyInArrow(page, "page long, bits binary")
+    size = 1 << _PAGE_POWER
+    out = np.zeros(-(-n_words // size) * size, np.uint64)
+    for number, bits in pages.toLocalIterator():
+        out[number * size : (number + 1) * size] = np.frombuffer(bits, np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(out[:n_words])
 
 
 def _passing(keys: DataFrame, words: Broadcast, level: int) -> DataFrame:
@@ -118,7 +133,8 @@ def build(listed: DataFrame, universe: DataFrame) -> Cascade | None:
 
     The first filter holds the listed keys; the second those keys of the universe that wrongly pass it; the third the
     listed keys that wrongly pass the second; and so on, until none passes wrongly. None if a filter would be larger
-    than MOST_FILTER_BYTES; the caller then joins. Null keys are in no list. An empty list gives an empty first filter.
+    than MOST_FILTER_BYTES; ``cascades`` then splits the keys. Null keys are in no list. An empty list gives an empty
+    first filter.
     """
     ours = listed.where(F.col("key").isNotNull()).select("key").distinct().select("key", *_hashed())
     inside, outside, filters = stored(ours), None, []
@@ -126,7 +142,8 @@ def build(listed: DataFrame, universe: DataFrame) -> Cascade | None:
     while True:
         level = len(filters)
         count = inside.count()
-        if count * BITS_PER_KEY > MOST_FILTER_BYTES * 8:
+        if count * BITS_PER_KEY > max(MOST_FILTER_BYTES, _LEAST_FILTER_BYTES) * 8:
+            _drop(filters)
             return None
         if level and not count:
             return Cascade(tuple(filters))
@@ -138,6 +155,15 @@ def build(listed: DataFrame, universe: DataFrame) -> Cascade | None:
         inside, outside = stored(outside), inside
 
 
+def _drop(filters) -> None:
+    for words in filters:
+        words.unpersist()
+
+
+def _in_part(number: int, of: int) -> Callable[[Column], Column]:
+    return lambda key: F.pmod(F.xxhash64(F.lit(2), key), F.lit(of)) == number
+
+
 def members(one: np.ndarray, two: np.ndarray, cascade: Cascade) -> np.ndarray:
     """Which keys are listed: those that leave the cascade after an odd number of filters."""
     listed, going = np.zeros(len(one), bool), np.arange(len(one))
@@ -175,17 +201,36 @@ def listed_keys(rows: DataFrame, cascade: Cascade, out: str, keys: str = "keys")
 
 
 def _listed(rows: DataFrame, listed: DataFrame, universe: DataFrame, out: str) -> DataFrame:
-    cascade = build(listed, universe)
-    if cascade:
+    """``rows`` with ``out``: those of the row's ``keys`` that are listed.
+
+    A list too large for one broadcast is split by hash; each part has a cascade of its own over its part of the
+    universe, and the parts are looked up one after another, so that a task holds the filters of one part only.
+    """
+    bounded = max(MOST_FILTER_BYTES, _LEAST_FILTER_BYTES)
+    listed = stored(listed.where(F.col("key").isNotNull()).select("key").distinct())
+    parts = max(1, -(-listed.count() * BITS_PER_KEY // (8 * bounded)))
+    if parts == 1 and (cascade := build(listed, universe)):
         return listed_keys(rows, cascade, out)
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    found = (
-        numbered.select("_row", F.explode("keys").alias("key"))
-        .join(listed.select("key").distinct(), "key", "left_semi")
-        .groupBy("_row")
-        .agg(F.collect_list("key").alias(out))
-    )
-    return numbered.join(found, "_row", "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>"))).drop("_row")
+    rows = rows.withColumn(out, F.array().cast("array<string>"))
+    parts = max(2, parts)
+    to_do = [(number, parts) for number in range(parts)]
+    while to_do:
+        number, of = to_do.pop()
+        own = _in_part(number, of)
+        cascade = build(listed.where(own(F.col("key"))), universe.where(own(F.col("key"))))
+        if cascade is None:  # too many keys passed wrongly for one filter: this part divides in two
+            to_do += [(number, 2 * of), (number + of, 2 * of)]
+            continue
+        some = rows.withColumn("_own", F.filter("keys", own))
+        found = listed_keys(some, cascade, "_found", "_own")
+        rows = stored(found.withColumn(out, F.concat(out, "_found")).drop("_own", "_found"))
+        _drop(cascade.filters)
+    return rows
+
+
+def _table(spark, rows, schema: str) -> DataFrame:
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return rows.select(*names) if isinstance(rows, DataFrame) else spark.createDataFrame([*rows], schema)
 
 
 def judge(pages: DataFrame, rules=RULES, hosts=LISTED_HOSTS) -> DataFrame:
@@ -194,23 +239,32 @@ def judge(pages: DataFrame, rules=RULES, hosts=LISTED_HOSTS) -> DataFrame:
     The longest fitting rule decides (of two as long, the one with the longer host); ``rule`` is its host and path.
     Without one ``rule`` is null, and the verdict is block if the host or a parent of it is among ``hosts``, else
     allow. Null URLs and those without ``://`` have empty host and path, which no rule fits. Repeated rows are judged
-    alike. Which of a URL's keys are listed is told by one cascade for each list.
+    alike. Which of a URL's keys are listed is told by one cascade for each list. ``rules`` (host, path, verdict) and
+    ``hosts`` (host) are rows or tables of any size; a rule or host with a null is in no list.
     """
     spark = pages.sparkSession
+    rules = _table(spark, rules, "host string, path string, verdict string")
+    hosts = _table(spark, hosts if isinstance(hosts, DataFrame) else [(h,) for h in hosts], "host string")
+    key = F.concat("host", "path").alias("key")
     lists = {
-        "_allow": [host + path for host, path, verdict in rules if verdict == "allow"],
-        "_block": [host + path for host, path, verdict in rules if verdict == "block"],
-        "_host": list(hosts),
+        "_allow": rules.where("verdict = 'allow'").select(key),
+        "_block": rules.where("verdict = 'block'").select(key),
+        "_host": hosts.select(F.col("host").alias("key")),
     }
-    lengths = sorted({len(path) for _, path, _ in rules if path})
+    # numbers of characters and labels that are in use: no more of them than the longest path and host have
+    lengths = [n for (n,) in rules.where("path <> ''").select(F.length("path")).distinct().collect()]
+    labels = [
+        n
+        for (n,) in rules.select("host").union(hosts).where("host is not null").select(F.size(F.split("host", r"\."))).distinct().collect()
+    ]
     rows = stored(
         pages.select("page_id", "url")
         .withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-        .withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
+        .withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths, labels))
     )
     universe = stored(rows.select(F.explode("keys").alias("key")).distinct())
     for out, keys in lists.items():
-        rows = _listed(rows, spark.createDataFrame([(k,) for k in keys], "key string"), universe, out)
+        rows = _listed(rows, keys, universe, out)
 
     def fitting(name: str, verdict: str) -> Column:
         slash = lambda k: F.when(F.instr(k, "/") > 0, F.instr(k, "/")).otherwise(F.length(k) + 1)

@@ -72,6 +72,35 @@ def test_a_cascade_is_exact_over_its_universe(spark, monkeypatch, bits):
     assert got[300] == got[301] == []
 
 
+def test_lists_as_tables_in_parts(spark, monkeypatch):
+    """Lists beyond one filter are split, and a part divides again if too many keys pass wrongly."""
+    monkeypatch.setattr(uf, "MOST_FILTER_BYTES", 100)
+    monkeypatch.setattr(uf, "BITS_PER_KEY", 5)
+    rng = random.Random(3)
+    names = [".".join("ab"[rng.randrange(2)] + str(rng.randrange(9)) for _ in range(rng.randint(1, 4))) for _ in range(1500)]
+    hosts = rng.sample(names, 900) + [None]
+    rules = [(rng.choice(names), rng.choice(["", "/", "/x", "/x/y/"]), rng.choice(["allow", "block"])) for _ in range(40)]
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    urls = [f"http://{rng.choice(names)}{rng.choice(['', '/', '/x', '/x/y/z'])}" for _ in range(600)] + URLS
+    parts = []
+    build = uf.build
+    monkeypatch.setattr(uf, "build", lambda *a: parts.append(build(*a)) or parts[-1])
+    table = spark.createDataFrame([*rules, (None, "/", "block"), ("x.org", None, "allow")], "host string, path string, verdict string")
+    listed = spark.createDataFrame([(h, 1) for h in hosts], "host string, key int")
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {tuple(r) for r in uf.judge(df, table, listed).collect()}
+    own = set(hosts) - {None}
+    assert got == {(i, *brute(u, rules, own)) for i, u in enumerate(urls)}
+    assert sum(p is not None for p in parts) > 3
+
+
+def test_long_hosts_give_few_keys(spark):
+    """As many keys as listed hosts and paths have sizes, however many labels a host has."""
+    df = spark.createDataFrame([("a." * 20_000 + "x.com", "/fr/" * 5000)], "host string, path string")
+    keys = df.select(uf.keys_of(F.col("host"), F.col("path"), [1, 4], [1, 3])).first()[0]
+    assert keys == ["a.x.com/fr/", "a.x.com/", "com/fr/", "com/", "a.x.com", "com"]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert uf.judge(df).collect() == []
