@@ -39,3 +39,12 @@ def test_entry_registers_all(spark):
     names = list(entry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_odd_rows_and_empty_tables(spark, docs, no_docs, sf_dir):
+    """Nulls, repeated rows, long texts and clashing names go through each stage with their columns; so does nothing."""
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        after = stored(stage(spark, docs, sf_dir))
+        assert after.columns == docs.columns, name
+        assert after.where("text is null").count() == docs.where("text is null").count(), name
+        assert stage(spark, no_docs, sf_dir).count() == 0, name
