@@ -267,10 +267,12 @@ def _pairs_across(rows: pa.Table, similar: int) -> pa.RecordBatch:
         small = own[~in_main[own]]
         first = small[block[small] == i[start]]
         second = own[in_main[own]] if j[start] < 0 else small[block[small] == j[start]]
+        if j[start] == -1:  # the small block meets itself here, too
+            second = np.append(second, first)
         x, y = np.repeat(first, len(second)), np.tile(second, len(first))
         kept = parts[x] != parts[y]
-        if j[start] == i[start]:
-            kept &= x < y
+        if j[start] == -1:
+            kept &= in_main[y] | (x < y)
         waiting.append((x[kept], y[kept]))
         due += kept.sum()
         if due > 200_000:
@@ -281,11 +283,13 @@ def _pairs_across(rows: pa.Table, similar: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *side])) for side in (out_a, out_b)], ["a", "b"])
 
 
-def _across(members: DataFrame, similar: int) -> DataFrame:
-    """Plausible pairs (a, b) of members of one bucket that lie in different components.
+def _across(members: DataFrame, detailed: DataFrame, similar: int) -> DataFrame:
+    """Plausible pairs (a, b) of ``members`` (id, band, key, component) of one bucket that lie in different components.
 
     The largest component of a bucket is only compared with the other members, not with itself; both are dealt out in
-    blocks, and a task's unit of work is two blocks, so its memory is bounded.
+    blocks, and a task's unit of work is two blocks, so its memory is bounded. A small block is compared with itself in
+    its first unit with the largest component, so members of a bucket of two blocks are dealt out once. Sketches
+    (``detailed``) join when all units are known and are shuffled with their members once.
     """
     held = members.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     buckets = stored(
@@ -305,15 +309,18 @@ def _across(members: DataFrame, similar: int) -> DataFrame:
     rows = rows.withColumn(
         "block", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("n_wide")).otherwise(F.col("n_blocks"))).cast("int")
     )
-    # a unit's name: (small block, other block), the others being small blocks from 0 on and wide blocks from -1 down
+    # a unit's name: (small block, other block), the others being other small blocks from 0 on and wide ones from -1 down
     others = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     wides = F.transform(F.sequence(F.lit(0), F.col("n_wide") - 1), lambda j: F.struct(F.col("block").alias("i"), (-1 - j).alias("j")))
-    small = F.transform(others, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    small = F.transform(
+        F.array_remove(others, F.col("block")), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))
+    )
     mains = F.transform(others, lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j")))
     unit = ["band", "key", "i", "j"]
     dealt = (
         rows.withColumn("unit", F.explode(F.when(F.col("in_main"), mains).otherwise(F.concat(small, wides))))
-        .select("band", "key", "unit.i", "unit.j", "id", "component", "n", "registers", "digits", "in_main", "block")
+        .select("band", "key", "unit.i", "unit.j", "id", "component", "in_main", "block")
+        .join(detailed, "id")
         .repartition(*unit)
         .sortWithinPartitions(*unit)
     )
@@ -364,9 +371,11 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, similar: in
     )
     members = stored(members.join(stored(several), ["band", "key"], "left_semi"))
     open_sets = sets.join(stored(members.select("id").distinct()), "id", "left_semi")
-    detailed = members.join(_detailed(open_sets, classes), "id")
-    further = stored(_across(detailed, similar).join(pairs, ["a", "b"], "left_anti"))
+    detailed = _detailed(open_sets, classes)
+    further = stored(_across(members, detailed, similar).join(pairs, ["a", "b"], "left_anti"))
+    free(detailed)
     more = stored(_confirmed(further, sets, similar))
+    free(sets)
     if more.isEmpty():
         return known
     return components(links.union(more))

@@ -57,6 +57,79 @@ def test_no_link_is_lost_to_a_bucket_of_many_components(spark, monkeypatch):
     assert sorted(got) == sorted(brute(rows))
 
 
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def test_sketches_are_shuffled_once_with_the_members_of_buckets(spark, monkeypatch):
+    """Beside the exchange that brings them to their members; and no member of a small bucket is dealt out twice."""
+    monkeypatch.setattr(nd, "BLOCK", 256)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    plain_stored, plain_batches = nd.stored, nd.in_batches
+    exchanges, dealt = [], []
+
+    def stored(df):
+        nodes = list(_nodes(df._jdf.queryExecution().executedPlan()))
+        outputs = [n.output().mkString(" ") for n in nodes if n.nodeName() == "Exchange"]
+        exchanges.append(sum("digits#" in names for names in outputs))
+        return plain_stored(df)
+
+    def in_batches(rows, step, schema):
+        if {"band", "digits"} <= set(rows.columns):
+            dealt.extend(rows.select("band", "key", "id").collect())
+        return plain_batches(rows, step, schema)
+
+    monkeypatch.setattr(nd, "stored", stored)
+    monkeypatch.setattr(nd, "in_batches", in_batches)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(30):
+        own = list(base)
+        for k in rng.sample(range(100), rng.randint(0, 9)):
+            own[k] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(own)))
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = [tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == sorted(brute(rows))
+    assert max(exchanges) == 2
+    assert dealt and len(dealt) == len(set(dealt))
+
+
+@pytest.mark.parametrize("block, wide", [(1, 1), (2, 3), (4, 100), (100, 2)])
+def test_units_compare_each_pair_across_components(spark, monkeypatch, block, wide):
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "WIDE_BLOCK", wide)
+    rng = np.random.default_rng(7)
+    own = rng.integers(0, 2**63, 50).astype(np.uint64)
+    part = {i: 0 if i < 9 else i // 2 for i in range(20)}  # one large component and others of two
+    members = [(i, 0, bucket, part[i]) for bucket in range(2) for i in range(20) if i % 2 == bucket or i < 4]
+    members += [(30, 0, 5, 30), (31, 0, 5, 30)]  # nothing to compare
+    sketch = (len(own), nd.registers(own).tobytes(), nd._digits(own).tobytes())
+    detailed = [(i, *sketch) for i in [*range(20), 30, 31]]
+    pairs = nd._across(
+        spark.createDataFrame(members, "id long, band int, key long, component long"),
+        spark.createDataFrame(detailed, "id long, n long, registers binary, digits binary"),
+        80,
+    ).collect()
+    want = {
+        (a, b)
+        for bucket in range(2)
+        for a in range(20)
+        for b in range(a + 1, 20)
+        if part[a] != part[b] and all(i % 2 == bucket or i < 4 for i in (a, b))
+    }
+    assert {tuple(p) for p in pairs} == want
+
+
 def test_empty_table(no_docs):
     assert nd.near_duplicates(no_docs).collect() == []
 
